@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, mixing, repetition
+from quern.llm import bpe, mixing, nearpairs, repetition, vectors
 
 QUERIES = {}
 ORACLE = {}
@@ -19,6 +19,21 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query
+def p5_found(spark, sf):
+    return vectors.similar_pairs(_table(spark, sf, "vector_records"))
+
+
+@_query
+def p6_found(spark, sf):
+    return nearpairs.near_pairs(_table(spark, sf, "vector_records"))
+
+
+@_query
+def p6_groups(spark, sf):
+    return nearpairs.near_groups(_table(spark, sf, "vector_records"))
+
+
 @_query
 def p8_ids(spark, sf):
     return bpe.encode_corpus(_table(spark, sf, "documents"))
