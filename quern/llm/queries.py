@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, mixing, nearpairs, repetition, vectors
+from quern.llm import bpe, mixing, nearpairs, parsing, repetition, vectors
 
 QUERIES = {}
 ORACLE = {}
@@ -34,6 +34,16 @@ def p6_groups(spark, sf):
     return nearpairs.near_groups(_table(spark, sf, "vector_records"))
 
 
+@_query
+def p7_found(spark, sf):
+    return parsing.check_files(_table(spark, sf, "code_chunks")).filter("not ok").select("file_path")
+
+
+@_query
+def p7_rates(spark, sf):
+    return parsing.rates(parsing.check_files(_table(spark, sf, "code_chunks")), _table(spark, sf, "repos"))
+
+
 @_query
 def p8_ids(spark, sf):
     return bpe.encode_corpus(_table(spark, sf, "documents"))
