@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, mixing, nearpairs, parsing, repetition, vectors
+from quern.llm import bpe, functions, languages, mixing, nearpairs, parsing, repetition, vectors
 
 QUERIES = {}
 ORACLE = {}
@@ -19,6 +19,27 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query
+def p2_found(spark, sf):
+    model = languages.train(_table(spark, sf, "documents"))
+    return languages.shares(_table(spark, sf, "code_chunks"), model).filter("share >= 0.05").select("file_path", "lang")
+
+
+@_query
+def p2_shares(spark, sf):
+    return languages.shares(_table(spark, sf, "code_chunks"), languages.train(_table(spark, sf, "documents")))
+
+
+@_query
+def p3_found(spark, sf):
+    return functions.documented_ids(_table(spark, sf, "code_chunks"))
+
+
+@_query
+def p3_pairs(spark, sf):
+    return functions.pairs(_table(spark, sf, "code_chunks"))
+
+
 @_query
 def p5_found(spark, sf):
     return vectors.similar_pairs(_table(spark, sf, "vector_records"))
