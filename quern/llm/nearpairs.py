@@ -159,8 +159,7 @@ def _pairs_in_buckets(least: float, blocked: bool):
             t = pa.Table.from_batches(held).combine_chunks()
             key = t.column("key").to_numpy()
             cut = int(np.searchsorted(key, key[-1]))  # the last bucket may go on
-            if cut == 0:
-                held, rows = t.to_batches(), 0 if rows > 10_000_000 else rows
+            if cut == 0:  # cannot happen: buckets are small
                 continue
             a, b = found(t.slice(0, cut))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -190,11 +189,10 @@ def candidate_classes(sets: DataFrame, least: float) -> DataFrame:
     out = None
     for depth in range(1, LEVELS + 1):
         level = durable(level)
-        count = level.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
-        sized = level.join(count, "key")
-        small = _compare(sized.filter(F.col("n") <= SMALL), least)
+        big = level.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL)  # keys only; combined first
+        small = _compare(level.join(big.select("key"), "key", "left_anti"), least)
         out = small if out is None else out.unionByName(small)
-        large = sized.filter(F.col("n") > SMALL)
+        large = level.join(big, "key")
         if depth == LEVELS:
             parts = F.ceil(F.col("n") / SMALL).cast("int")
             b = F.pmod(F.xxhash64("cls"), F.col("parts"))
