@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quern.llm import bpe, functions, languages, mixing, nearpairs, parsing, repetition, vectors
+from quern.llm import bpe, functions, handwritten, languages, mixing, nearpairs, parsing, repetition, vectors
 
 QUERIES = {}
 ORACLE = {}
@@ -19,6 +19,16 @@ def _table(spark, sf, name):
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@_query
+def p1_found(spark, sf):
+    return handwritten.not_handwritten(_table(spark, sf, "vector_records"))
+
+
+@_query
+def p1_scores(spark, sf):
+    return handwritten.scored(_table(spark, sf, "vector_records"))
+
+
 @_query
 def p2_found(spark, sf):
     model = languages.train(_table(spark, sf, "documents"))
