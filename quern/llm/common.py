@@ -19,6 +19,15 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """About ``n`` rows, at most ``2 * n``, by a hash of ``key``; all rows if there are no more than ``n``.
+
+    The share is taken by a threshold where the rows lie, so no task sends the driver more than its part of the sample.
+    """
+    share = min(1.0, n / max(1, df.count()))
+    return df.filter(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * n)
+
+
 def current(df: DataFrame, *cols: str) -> DataFrame:
     """The current row of every id: the greatest ``indexed_at``, nulls first, and among equals the greatest values.
 

@@ -10,8 +10,8 @@ code, or if literals in tables make up more than half of it. Mentions of such wo
 sentence about something else are no notices.
 
 Defined results: only current rows count; the chunks of a file are put together by line, each line once; null content
-counts as no lines and a file without text is hand-written; null paths are left out. The training sample is bounded
-by ``SAMPLE`` files of each label, taken in the order of a hash of the path; every file is scored.
+counts as no lines and a file without text is hand-written; null paths are left out. The training sample is about
+``SAMPLE`` files of each label (never more than twice as many), by a hash of the path; every file is scored.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import lexers
 from quern.llm.blocks import per_block
-from quern.llm.common import current, durable
+from quern.llm.common import bounded_sample, current, durable
 from quern.llm.parsing import assemble, language_of
 
 SAMPLE = 3000
@@ -218,13 +218,12 @@ def fit_folds(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[Forest]:
 
 
 def train(m: DataFrame) -> list[Forest] | None:
-    """Forests from at most ``SAMPLE`` files with and without a notice; None if a fold lacks either kind."""
+    """Forests from about ``SAMPLE`` files with and without a notice; None if a fold lacks either kind."""
     label = F.col("tool") | F.col("named")
     table = NAMES.index("table")
     part = m.filter(~F.col("copied") & (label | (F.col("x")[table] <= 0.5)))
-    order = (F.xxhash64("file_path"), "file_path")
-    pos = part.filter(label).orderBy(*order).limit(SAMPLE).select("fold", "x").collect()  # bounded
-    neg = part.filter(~label).orderBy(*order).limit(SAMPLE).select("fold", "x").collect()  # bounded
+    pos = bounded_sample(part.filter(label), "file_path", SAMPLE).select("fold", "x").collect()
+    neg = bounded_sample(part.filter(~label), "file_path", SAMPLE).select("fold", "x").collect()
     for rows in (pos, neg):
         if len({r.fold for r in rows}) < FOLDS:
             return None

@@ -5,8 +5,8 @@ Code-like lines, queries, paths, keys, directives and bare tags are taken out, t
 least five words (eight characters in Chinese and Japanese). A naive Bayes model over character n-grams (1 to 3,
 hashed) names the language of each sentence, without looking at identifiers; its characters count for the file.
 
-The model is trained on bundled sentences and on at most ``TRAIN`` documents with a language label, taken in the
-order of a hash of their id; labels are trimmed, lower-cased and cut to two letters, so wrong ones are a minority.
+The model is trained on bundled sentences and on about ``TRAIN`` documents with a language label (never more than
+twice as many), sampled by a hash of their id; labels are trimmed, lower-cased and cut to two letters, so wrong ones are a minority.
 
 Defined results: one row per file and language with text; null content and docstrings count as absent; a file with no
 text has no row; repeated rows and lines count once; a docstring counts only if its words do not stand in a content of
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import lexers
 from quern.llm.blocks import per_block
+from quern.llm.common import bounded_sample
 from quern.llm.functions import _CJK, _DIRECTIVE, _MARK, _TAG, code_like
 from quern.llm.parsing import assemble, files
 
@@ -87,13 +88,13 @@ def fit(labelled: list[tuple[str, str]]) -> np.ndarray:
 
 
 def train(documents: DataFrame) -> np.ndarray:
-    """The model, from at most ``TRAIN`` labelled documents."""
+    """The model, from a bounded sample of labelled documents."""
     lang = F.substring(F.lower(F.regexp_replace("lang", r"^\s+", "")), 1, 2)
-    rows = (
+    part = (
         documents.filter("text is not null and lang is not null and (text_format is null or text_format <> 'source')")
         .select("doc_id", lang.alias("lang"), "text").filter(F.col("lang").isin(*LANGS))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN).collect()  # bounded by TRAIN
     )
+    rows = bounded_sample(part, "doc_id", TRAIN).collect()
     labelled = []
     for r in rows:
         for s in sentences_of("\n".join(x for x in r.text.split("\n") if not code_like(x)))[:40]:

@@ -33,6 +33,7 @@ RUNS = 10
 LEVELS = 4
 LAMBDA = 0.7
 SMALL = 64  # sets in a bucket that is compared without splitting
+BROADCAST_KEYS = 200_000  # keys of large buckets (16 bytes each) that may be broadcast
 _WORD = re.compile("[A-Za-z0-9_]+")
 
 
@@ -189,7 +190,9 @@ def candidate_classes(sets: DataFrame, least: float) -> DataFrame:
     out = None
     for depth in range(1, LEVELS + 1):
         level = durable(level)
-        big = level.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL)  # keys only; combined first
+        big = durable(level.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL))  # keys only; combined first
+        if big.count() <= BROADCAST_KEYS:  # else the joins below are shuffled
+            big = F.broadcast(big)
         small = _compare(level.join(big.select("key"), "key", "left_anti"), least)
         out = small if out is None else out.unionByName(small)
         large = level.join(big, "key")
