@@ -27,4 +27,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-from quern.plans import chunk_queries, graph_queries, incremental_queries, search_queries, session_queries  # noqa: E402,F401
+from quern.plans import (  # noqa: E402,F401
+    chunk_queries,
+    graph_queries,
+    incremental_queries,
+    pipeline_queries,
+    search_queries,
+    session_queries,
+)
