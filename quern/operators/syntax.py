@@ -31,16 +31,25 @@ _TOKEN = re.compile(
 _C_COMMENT = re.compile(r"(?:/\*[\s\S]*?\*/|//[^\n]*)\s*\Z")
 
 
-def _statements(text: str) -> Iterator[tuple[int, int, list[str], bool]]:
-    """(start, end, first words and marks, has a braced body) of the top-level statements of a bracketed language."""
-    depth, start, words, body, assigned = 0, -1, [], False, False
+_OPEN_END = frozenset("= => , + - * / | & ? : . < > ( [ {".split()) | {"&&", "||"}
+_GOES_ON = re.compile(r"\s*(?:[.?:=|&+\-*/,({]|extends\b|implements\b|else\b|catch\b|finally\b|instanceof\b|in\b)")
+
+
+def _statements(text: str, by_line: bool = False) -> Iterator[tuple[int, int, list[str], bool]]:
+    """(start, end, first words and marks, has a braced body) of the top-level statements of a bracketed language.
+
+    ``by_line``: a line end closes a statement that cannot go on, as in languages without needed semicolons.
+    """
+    depth, start, words, body, assigned, last = 0, -1, [], False, False, ""
     for m in _TOKEN.finditer(text):
         kind = m.lastgroup
         if kind == "nl":
-            if depth == 0 and start >= 0 and assigned and words and words[-1] not in ("=", "=>", ",", "+", "|", "&", "(") and body:
+            if by_line and depth == 0 and start >= 0 and last not in _OPEN_END and not _GOES_ON.match(text, m.end()):
                 yield start, m.start(), words, body
                 start, words, body, assigned = -1, [], False, False
             continue
+        if kind != "skip" or m[0][0] != "/":
+            last = m[0]
         if kind == "skip":
             if start >= 0 and depth == 0 and m[0][0] not in "/":
                 words.append("''")

@@ -3,8 +3,16 @@
 from pyspark.sql import types as T
 
 
+_KINDS = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "array<float>": T.ArrayType(T.FloatType())}
+
+
 def _struct(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from "name type [not null], ..."; needs no session, unlike the library's parser."""
+    fields = []
+    for part in text.split(", "):
+        name, kind, *rest = part.split()
+        fields.append(T.StructField(name, _KINDS[kind], not rest))
+    return T.StructType(fields)
 
 
 _CHUNK = (
