@@ -32,7 +32,7 @@ _C_COMMENT = re.compile(r"(?:/\*[\s\S]*?\*/|//[^\n]*)\s*\Z")
 
 
 _OPEN_END = frozenset("= => , + - * / | & ? : . < > ( [ {".split()) | {"&&", "||"}
-_GOES_ON = re.compile(r"\s*(?:[.?:=|&+\-*/,({]|extends\b|implements\b|else\b|catch\b|finally\b|instanceof\b|in\b)")
+_GOES_ON = re.compile(r"\s*(?:[.?:=|&+\-*,({]|/(?![/*])|extends\b|implements\b|else\b|catch\b|finally\b|instanceof\b|in\b)")
 
 
 def _statements(text: str, by_line: bool = False) -> Iterator[tuple[int, int, list[str], bool]]:
