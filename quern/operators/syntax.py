@@ -28,6 +28,7 @@ Edge = tuple  # (target_symbol, edge_type, module_path)
 _TOKEN = re.compile(
     r"(?P<skip>//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|(?P<open>[({\[])|(?P<shut>[)}\]])|(?P<end>;)|(?P<word>[^\W\d][\w$]*)|(?P<nl>\n)|(?P<other>[^\s\w])"
 )
+_DIRECTIVE = re.compile(r"(?m)^[ \t]*#[^\n]*")
 _C_COMMENT = re.compile(r"(?:/\*[\s\S]*?\*/|//[^\n]*)\s*\Z")
 
 
@@ -151,7 +152,8 @@ def _line_at(offsets: list[int], pos: int) -> int:
 def scan_units(lang: str, text: str) -> list[Unit]:
     offsets = _line_offsets(text)
     out = []
-    for a, b, words, body in _statements(re.sub(r"(?m)^[ \t]*#(?:include|define|if|ifdef|ifndef|endif|else|elif|undef|pragma)[^\n]*", lambda m: " " * len(m[0]), text) if lang in ("c", "cpp") else text):
+    code = _DIRECTIVE.sub(lambda m: " " * len(m[0]), text) if lang in ("c", "cpp") else text
+    for a, b, words, body in _statements(code, lang in ("go", "typescript", "tsx", "javascript", "jsx")):
         kind = _classify(lang, words, body)
         if kind and kind[0] in LANGUAGES[lang]["types"]:
             doc = _C_COMMENT.search(text, max(0, a - 4000), a)
