@@ -125,6 +125,18 @@ def _header(lang: str, text: str, start: int):
     return None
 
 
+def _names(kinds: list[str], p: int) -> bool:
+    """Whether the token at ``p`` stands where a function's name does: after its keyword, or before parameters or ``=``."""
+    if p and kinds[p - 1] in ("def", "fn"):
+        return True
+    if "def" in kinds or "fn" in kinds:
+        return False
+    q = p + 1
+    while q < len(kinds) and kinds[q] in ("?", "ANGLES", "BRACKETS"):
+        q += 1
+    return q < len(kinds) and (kinds[q] == "PARENS" or kinds[q] == "=" or kinds[q] == ":" and "=" in kinds[q:]) and ("=" not in kinds or q <= kinds.index("="))
+
+
 def _parse_header(lang: str, kinds: list[str]) -> int | None:
     """Index of the function's name token if the header is one of a function, -1 if it has no name."""
     key = (lang == "javascript" and "typescript" or lang, *kinds)
@@ -137,15 +149,7 @@ def _parse_header(lang: str, kinds: list[str]) -> int | None:
         if len(kinds) in r.ends.get((g.start, 0), ()):
             name = g.number["name"]
             found = [p for (rule, p), ends in r.ends.items() if rule == name and ends]
-            last = max((i for i, k in enumerate(kinds) if k in ("PARENS", "=")), default=len(kinds))
-            if "=" in kinds:
-                last = kinds.index("=")
-            elif lang == "go":
-                parens = [i for i, k in enumerate(kinds) if k == "PARENS"]
-                last = parens[1] if len(parens) > 1 and parens[0] == 1 else parens[0]
-            else:
-                last = kinds.index("PARENS")
-            at = max((p for p in found if p < last), default=-1)
+            at = max((p for p in found if _names(kinds, p)), default=-1)
         _shapes[key] = at
     return _shapes[key]
 

@@ -34,7 +34,9 @@ from quern.llm.parsing import assemble, language_of
 SAMPLE = 3000
 TREES, DEPTH, LEAF, BINS = 40, 7, 6, 64
 FOLDS = 3  # a file is scored by the forest that has not seen it
-LEAST = 0.65
+LEAST = 0.5
+ROUNDS = 3
+DOUBT = 0.3  # unlabelled files above this score are no examples of hand-written ones
 
 _LINE = r"^[ \t]*(?:/\*+!?|\*|//+!?|#+!?|--|<!--)"
 # Notices of tools, in the comment block at the head of a file.
@@ -76,7 +78,7 @@ def table_share(text: str) -> float:
 
 def features(lang: str, text: str) -> list[float]:
     """The features of a text whose head is cut off, in the order of ``NAMES``."""
-    body = text[len(head(text)) :]
+    body = text[len(head(text)) :].strip()  # not even the line after a notice may tell
     n = max(1, len(body))
     raw = body.encode("utf-8", "replace")
     tokens = _TOKEN.findall(body)
@@ -119,15 +121,14 @@ class Forest:
         self.cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
         b = np.stack([np.searchsorted(c, v, side="right") for c, v in zip(self.cuts, x.T)], 1)
         # Both labels weigh the same in each tree.
-        pos, neg = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+        weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
         self.trees = []
         for _ in range(self.n):
-            m = min(len(pos), len(neg), 1500)
-            at = np.concatenate((rng.choice(pos, m), rng.choice(neg, m)))
-            self.trees.append(self._tree(b[at], y[at], rng))
+            at = rng.choice(len(y), min(len(y), 3000))
+            self.trees.append(self._tree(b[at], y[at], weight[at], rng))
         return self
 
-    def _tree(self, b, y, rng):
+    def _tree(self, b, y, weight, rng):
         feature, cut, left, right, value = [], [], [], [], []
         todo = [(np.arange(len(y)), 0, None, 0)]
         while todo:
@@ -135,7 +136,9 @@ class Forest:
             me = len(feature)
             if parent is not None:
                 (left if side == 0 else right)[parent] = me
-            share = y[rows].mean() if len(rows) else 0.5
+            w = weight[rows]
+            total, ones = w.sum(), (w * y[rows]).sum()
+            share = ones / total if len(rows) else 0.5
             for a, v in ((feature, -1), (cut, 0), (left, -1), (right, -1), (value, share)):
                 a.append(v)
             if depth == self.depth or len(rows) < 2 * LEAF or share in (0.0, 1.0):
@@ -143,13 +146,14 @@ class Forest:
             best = (1e-9, -1, 0)
             for f in rng.choice(b.shape[1], max(2, int(math.sqrt(b.shape[1])) + 1), replace=False):
                 v = b[rows, f]
-                all_, ones = np.bincount(v, minlength=BINS + 1), np.bincount(v, weights=y[rows], minlength=BINS + 1)
-                nl, pl = np.cumsum(all_)[:-1], np.cumsum(ones)[:-1]
-                nr, pr = len(rows) - nl, ones.sum() - pl
+                count = np.cumsum(np.bincount(v, minlength=BINS + 1))[:-1]
+                nl = np.cumsum(np.bincount(v, weights=w, minlength=BINS + 1))[:-1]
+                pl = np.cumsum(np.bincount(v, weights=w * y[rows], minlength=BINS + 1))[:-1]
+                nr, pr = total - nl, ones - pl
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gini = np.where((nl >= LEAF) & (nr >= LEAF), pl * (nl - pl) / nl + pr * (nr - pr) / nr, np.inf)
+                    gini = np.where((count >= LEAF) & (len(rows) - count >= LEAF), pl * (nl - pl) / nl + pr * (nr - pr) / nr, np.inf)
                 k = int(gini.argmin())
-                gain = share * (1 - share) * len(rows) - gini[k]
+                gain = share * (1 - share) * total - gini[k]
                 if gain > best[0]:
                     best = (gain, int(f), k)
             if best[1] < 0:
@@ -205,15 +209,15 @@ def measured(records: DataFrame) -> DataFrame:
 
 
 def fit_folds(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[Forest]:
-    """One forest per fold, trained on the other folds. Unlabelled files that the first round takes for positives are
-    left out of the second: a missing notice does not make a file hand-written."""
+    """One forest per fold, trained on the other folds. Unlabelled files that a round doubts are left out of the
+    next: a missing notice does not make a file hand-written."""
     keep = np.ones(len(y), bool)
-    for _ in range(2):
+    for _ in range(ROUNDS):
         forests = [Forest(seed=7 + k).fit(x[keep & (fold != k)], y[keep & (fold != k)]) for k in range(FOLDS)]
         score = np.zeros(len(y))
         for k in range(FOLDS):
             score[fold == k] = forests[k].score(x[fold == k])
-        keep = (y == 1) | (score < LEAST)
+        keep = (y == 1) | (score < DOUBT)
     return forests
 
 

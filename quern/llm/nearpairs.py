@@ -2,7 +2,8 @@
 
 Every record becomes the set of its word shingles (64-bit hashes). Equal sets form one class and are joined once. In
 each of ``RUNS`` independent runs, a set goes to one bucket for each of its shingles whose seeded hash lies under
-``1 / (LAMBDA * size)``: about 1.4 buckets, and two sets meet with a probability that grows with their overlap. A
+``1 / (LAMBDA * size)``, and for the least one: about 1.7 buckets, and two sets meet with a probability that grows
+with their overlap and is at least their similarity. A
 bucket of up to ``SMALL`` sets is compared pair by pair over 256-bit odd sketches; a larger one is split again by
 the shingles chosen with the next level's seed, down to ``LEVELS``. What is still larger there (sets that share so
 many sampled shingles are mostly near-duplicates) is compared exactly too, in pairs of blocks, so no bucket is capped.
@@ -12,8 +13,8 @@ Defined results: null content or signature counts as empty; a record with fewer
 repeated rows count once and of superseded rows only the current one counts; the pair is (smaller id, greater id).
 Extra columns are ignored; an empty table gives no pairs.
 
-Recall: a pair at Jaccard 0.7 meets in one run on the first level with a probability of at least 0.63 and in one of
-the 10 runs with 0.99995; tests/llm measures the whole join against brute force.
+Recall: a pair at Jaccard 0.7 meets in one run on a level with a probability of at least 0.7, so on the first level in
+one of the 10 runs with 0.999994; tests/llm measures the whole join, dense buckets included, against brute force.
 """
 
 from __future__ import annotations
@@ -74,9 +75,7 @@ def _seed(run: int, level: int) -> np.uint64:
     return mix64(np.array([run * 64 + level + 1], np.uint64))[0]
 
 
-_BUCKET = "key bigint, cls bigint, size int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, " + ", ".join(
-    f"c{k} array<int>" for k in range(2, LEVELS + 1)
-)
+_BUCKET = "key bigint, cls bigint, size int, s0 bigint, s1 bigint, s2 bigint, s3 bigint, choices array<int>"
 
 
 def _choose(t: pa.Table) -> pa.Table:
@@ -94,18 +93,23 @@ def _choose(t: pa.Table) -> pa.Table:
     cls = t.column("cls").to_numpy()
     parts = []
     for run in range(RUNS):
-        chosen = []
+        level_rows, level_tokens = [], []
         for level in range(1, LEVELS + 1):
-            at = np.flatnonzero(mix64(flat ^ _seed(run, level)).astype(np.float64) < bound)
-            chosen.append((row[at], flat[at]))
-        r, token = chosen[0]
+            v = mix64(flat ^ _seed(run, level))
+            # The least is always chosen: no set drops out of a path for want of a choice.
+            at = np.flatnonzero((v.astype(np.float64) < bound) | (v == np.minimum.reduceat(v, first)[row])) if n else np.zeros(0, np.int64)
+            level_rows.append(row[at])
+            level_tokens.append(flat[at])
+        r, token = level_rows[0], level_tokens[0]
         cols = {"key": mix64(token ^ _seed(run, 63)).view(np.int64), "cls": cls[r], "size": size[r].astype(np.int32)}
         cols |= {f"s{k}": sketch[k][r] for k in range(4)}
-        for level in range(2, LEVELS + 1):
-            cr, ct = chosen[level - 1]
-            off = np.searchsorted(cr, np.arange(n + 1))
-            lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array((ct >> U(33)).astype(np.int32)))
-            cols[f"c{level}"] = lists.take(pa.array(r))
+        # Choices of the further levels: 28 bits of the token below the number of the level.
+        cr = np.concatenate(level_rows[1:])
+        cv = np.concatenate([(x >> U(36)) | U(k << 28) for k, x in enumerate(level_tokens[1:], 2)])
+        order = np.argsort(cr, kind="stable")
+        off = np.searchsorted(cr[order], np.arange(n + 1))
+        lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(cv[order].astype(np.int32)))
+        cols["choices"] = lists.take(pa.array(r))
         parts.append(pa.table(cols))
     return pa.concat_tables(parts)
 
@@ -208,7 +212,8 @@ def candidate_classes(sets: DataFrame, least: float) -> DataFrame:
             )
             out = out.unionByName(_compare(large, least, blocked=True))
         else:
-            level = large.withColumn("token", F.explode(f"c{depth + 1}")).withColumn("key", F.xxhash64("key", "token")).drop("n", "token")
+            here = F.expr(f"filter(choices, x -> shiftright(x, 28) = {depth + 1})")
+            level = large.withColumn("token", F.explode(here)).withColumn("key", F.xxhash64("key", "token")).drop("n", "token")
     return out.distinct()
 
 

@@ -73,7 +73,11 @@ def _slow_error(lang: str, text: str, toks: list[str]) -> tuple[int, str] | None
     else:
         stream = [(t, 0, False) for t in toks]
     d = rec.first
+    before = ""
     for i, (t, line, broke) in enumerate(stream):
+        if script and broke and (t in ("++", "--") or before in ("return", "break", "continue", "throw", "yield")) and d[";"] is not None:
+            d = d[";"]  # productions that a line end cuts
+        before = t
         nxt = d[t] if t else d
         if nxt is None and script and (broke or t == "}"):
             filled = d[";"]
