@@ -32,11 +32,12 @@ from quern.llm.common import bounded_sample, current, durable
 from quern.llm.parsing import assemble, language_of
 
 SAMPLE = 3000
-TREES, DEPTH, LEAF, BINS = 40, 7, 6, 64
+TREES, DEPTH, BINS = 40, 7, 64
+LEAF, LEAF_SHARE = 5, 150  # a leaf holds at least LEAF rows and one in LEAF_SHARE of a tree's rows
 FOLDS = 3  # a file is scored by the forest that has not seen it
-LEAST = 0.5
-ROUNDS = 3
-DOUBT = 0.3  # unlabelled files above this score are no examples of hand-written ones
+LEAST = 0.55
+ROUNDS = 2
+DOUBT = 0.5  # unlabelled files above this score are no examples of hand-written ones
 
 _LINE = r"^[ \t]*(?:/\*+!?|\*|//+!?|#+!?|--|<!--)"
 # Notices of tools, in the comment block at the head of a file.
@@ -130,6 +131,7 @@ class Forest:
 
     def _tree(self, b, y, weight, rng):
         feature, cut, left, right, value = [], [], [], [], []
+        leaf = max(LEAF, len(y) // LEAF_SHARE)
         todo = [(np.arange(len(y)), 0, None, 0)]
         while todo:
             rows, depth, parent, side = todo.pop()
@@ -141,7 +143,7 @@ class Forest:
             share = ones / total if len(rows) else 0.5
             for a, v in ((feature, -1), (cut, 0), (left, -1), (right, -1), (value, share)):
                 a.append(v)
-            if depth == self.depth or len(rows) < 2 * LEAF or share in (0.0, 1.0):
+            if depth == self.depth or len(rows) < 2 * leaf or share in (0.0, 1.0):
                 continue
             best = (1e-9, -1, 0)
             for f in rng.choice(b.shape[1], max(2, int(math.sqrt(b.shape[1])) + 1), replace=False):
@@ -151,7 +153,7 @@ class Forest:
                 pl = np.cumsum(np.bincount(v, weights=w * y[rows], minlength=BINS + 1))[:-1]
                 nr, pr = total - nl, ones - pl
                 with np.errstate(divide="ignore", invalid="ignore"):
-                    gini = np.where((count >= LEAF) & (len(rows) - count >= LEAF), pl * (nl - pl) / nl + pr * (nr - pr) / nr, np.inf)
+                    gini = np.where((count >= leaf) & (len(rows) - count >= leaf), pl * (nl - pl) / nl + pr * (nr - pr) / nr, np.inf)
                 k = int(gini.argmin())
                 gain = share * (1 - share) * total - gini[k]
                 if gain > best[0]:

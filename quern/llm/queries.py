@@ -93,7 +93,7 @@ def p9_drawn(spark, sf):
 @_query
 def p10_found(spark, sf):
     d = repetition.repeated_share(_table(spark, sf, "documents"))
-    return d.filter((F.col("n_words") >= 40) & (F.col("n_repeated") >= 0.3 * F.col("n_words"))).select("doc_id")
+    return d.filter((F.col("n_words") >= 40) & (F.col("n_repeated") * 10 >= F.col("n_words") * 3)).select("doc_id")
 
 
 @_query
