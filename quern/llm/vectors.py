@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import current, durable
 
-DIMS, BITS, CURVES = 8, 6, 8
+DIMS, BITS, CURVES = 8, 6, 12
 BLOCK, HALO = 384, 128
 SPREAD = 3.0  # standard deviations of a projected coordinate on either side
 
