@@ -5,11 +5,12 @@ from __future__ import annotations
 import argparse
 import json
 
-from quern import render
+from quern import __version__, render
 
 
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="quern", description="Index source files and search them.")
+    p.add_argument("--version", action="version", version=f"quern {__version__}")
     p.add_argument("--root", help="folder to index (else QUERN_ROOT, else the working folder)")
     p.add_argument("--store", required=True, help="folder of the index")
     p.add_argument("--json", action="store_true")

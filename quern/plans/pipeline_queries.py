@@ -35,12 +35,12 @@ def embed_docs(spark, sf):
 def stream_sessions(spark, sf):
     """The session stream over all events, run to its end; the last state of every session."""
     import tempfile
+    import uuid
 
     from quern.streaming.sessions import session_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.removeprefix("file://") if shared else None
-    work = tempfile.mkdtemp(prefix="quern-", dir=base)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")  # its own only where unset
+    work = f"{shared.rstrip('/')}/sessions-{uuid.uuid4().hex}"
     session_log(spark, sf).write.parquet(f"{work}/in")
     events = spark.readStream.schema(spark.read.parquet(f"{work}/in").schema).parquet(f"{work}/in")
     out = session_stream(events, ttl_s=None).writeStream.foreachBatch(lambda b, n: b.write.parquet(f"{work}/out/{n}")).outputMode("update")

@@ -211,3 +211,51 @@ def test_session_stream_expires(spark, tmp_path):
     q = session_stream(s, ttl_s=None).writeStream.outputMode("update").foreachBatch(lambda b, n: got.extend(b.collect())).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert [(r.session_id, r.visited_count, r.log_count, r.last_seq) for r in got] == [("a", 1, 1, 2)]
+
+
+def test_change_source(spark, tmp_path):
+    import os
+    import time
+
+    from quern.sources.changes import FileChanges, listing
+
+    root = tmp_path / "w"
+    (root / "node_modules").mkdir(parents=True)
+    for n in ("a.py", "b.ts", "c.txt", "node_modules/d.py"):
+        (root / n).write_text("x = 1")
+    old = time.time() - 60
+    for p in root.rglob("*.*"):
+        os.utime(p, (old, old))
+    assert {os.path.basename(p) for p in listing(str(root), 500)} == {"a.py", "b.ts"}
+    os.utime(root / "a.py")
+    assert {os.path.basename(p) for p in listing(str(root), 5000)} == {"b.ts"}
+    os.utime(root / "a.py", (old, old))
+    spark.dataSource.register(FileChanges)
+    got = []
+
+    def run():
+        s = spark.readStream.format("quern_changes").option("path", str(root)).option("settle_ms", "0").load()
+        q = s.writeStream.foreachBatch(lambda b, n: got.extend((os.path.basename(r.file_path), r.kind, r.content) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+
+    run()
+    assert sorted(got) == [("a.py", "add", "x = 1"), ("b.ts", "add", "x = 1")]
+    got.clear()
+    (root / "a.py").write_text("x = 22")
+    (root / "b.ts").unlink()
+    run()
+    assert sorted(got, key=str) == [("a.py", "change", "x = 22"), ("b.ts", "unlink", None)]
+
+
+def test_log_lines(capsys):
+    import json
+    import logging
+
+    from quern.log import setup
+
+    setup({"QUERN_LOG_FORMAT": "json", "QUERN_LOG_LEVEL": "warn"})
+    logging.getLogger("quern.x").info("no")
+    logging.getLogger("quern.x").warning("yes %s", 1)
+    lines = capsys.readouterr().err.strip().split("\n")
+    assert len(lines) == 1 and json.loads(lines[0])["message"] == "yes 1" and json.loads(lines[0])["component"] == "quern.x"
