@@ -5,6 +5,10 @@ projections gives a Hilbert key. Each curve's keys are range-partitioned by Spar
 the rows of its key window (its block of ``BLOCK`` successive rows and the ``HALO`` rows before it) over 8-bit copies
 of the vectors. The best candidates of all curves are merged and reranked with the full vectors.
 
+A row with more than ``CROWD`` partners in some window lies in a group that windows cannot hold: it is searched exactly.
+Crowded rows are put into cells around centres of a sample; a cell meets every point that, by the triangle inequality,
+may be close enough to one of its rows, in pairs of blocks. Work there grows with the square of a group, memory does not.
+
 Defined results: of superseded rows only the current one counts, repeated rows count once; vectors that are null, of
 another length, all zero or not finite are left out; ids with the same vector are one point of the index and expand
 to the ``k + 1`` least ids; equal cosines rank by id. Extra columns are ignored; an empty table gives no rows.
@@ -17,10 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import current, durable
+from quern.llm.blocks import per_block
+from quern.llm.common import bounded_sample, current, durable
 
 DIMS, BITS, CURVES = 8, 6, 12
 BLOCK, HALO = 384, 128
+CROWD = 128
+SAMPLE, CENTRES = 8192, 1024  # of crowded rows; they decide about cost, not about results
+LEAST_WIDTH, WIDTH = 4096, 65536  # rows in a block of a cell
 SPREAD = 3.0  # standard deviations of a projected coordinate on either side
 
 
@@ -84,26 +92,32 @@ def _emit(dim: int):
 
 
 def _window(k: int, least: float):
-    """Candidates of each row within its key window, over rows sorted by curve and key."""
+    """Candidates of each row within its key window, over rows sorted by curve and key; ``b`` is null for a crowded ``a``."""
 
     def pairs(q: np.ndarray, pt: np.ndarray):
         n = len(q)
         out_a, out_b = [], []
+        crowded = np.zeros(n, bool)
         for lo in range(0, n, BLOCK):
             hi, back = min(n, lo + BLOCK), max(0, lo - HALO)
             s = q[lo:hi] @ q[back:hi].T
             s[np.arange(hi - lo), np.arange(lo - back, hi - back)] = -2
-            i, j = np.nonzero(s >= least)
+            hit = s >= least
+            many = hit.sum(0) > CROWD  # rows of the halo count what lies behind them
+            many[lo - back :] |= hit.sum(1) > CROWD
+            crowded[back:hi] |= many
+            hit &= ~(many[lo - back :, None] & many)  # both are searched exactly
+            i, j = np.nonzero(hit)
             if len(i) > (hi - lo) * 4 * k:  # keep the best of each row
                 top = min(4 * k, s.shape[1])
                 j = np.argpartition(-s, top - 1, axis=1)[:, :top]
                 i = np.repeat(np.arange(hi - lo), top)
                 j = j.ravel()
-                ok = s[i, j] >= least
+                ok = hit[i, j]
                 i, j = i[ok], j[ok]
             out_a.append(pt[lo + i])
             out_b.append(pt[back + j])
-        return np.concatenate(out_a), np.concatenate(out_b)
+        return np.concatenate(out_a), np.concatenate(out_b), pt[crowded]
 
     def run(batches):
         tail_q, tail_pt, tail_c = None, None, None
@@ -128,7 +142,9 @@ def _window(k: int, least: float):
             a, b = np.concatenate([r[0] for r in res]), np.concatenate([r[1] for r in res])
             a, b = np.minimum(a, b), np.maximum(a, b)
             p = np.unique(np.stack([a, b], 1), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], ["a", "b"])
+            crowd = pa.array(np.unique(np.concatenate([r[2] for r in res])))
+            a, b = pa.concat_arrays([pa.array(p[:, 0].copy()), crowd]), pa.concat_arrays([pa.array(p[:, 1].copy()), pa.nulls(len(crowd), pa.int64())])
+            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
 
         for b in batches:
             held.append(b)
@@ -141,6 +157,10 @@ def _window(k: int, least: float):
     return run
 
 
+def _cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
+
+
 def _cosines(dim: int):
     def run(batches):
         for b in batches:
@@ -148,12 +168,123 @@ def _cosines(dim: int):
                 continue
             x = _flat(pa.chunked_array([b.column("va")]), dim).astype(np.float64)
             y = _flat(pa.chunked_array([b.column("vb")]), dim).astype(np.float64)
-            cos = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(cos)], ["a", "b", "cos"])
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), pa.array(_cosine(x, y))], ["a", "b", "cos"])
+
+    return run
+
+
+def _units(v: np.ndarray) -> np.ndarray:
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _centres(sample: np.ndarray) -> np.ndarray:
+    """Means of the groups of a sample of unit vectors, each group being what is close to its first row."""
+    out = []
+    while len(sample) and len(out) < CENTRES:
+        near = sample @ sample[0] >= 0.8
+        near[0] = True
+        out.append(sample[near].mean(0))
+        sample = sample[~near]
+    return _units(np.array(out))
+
+
+def _angles(centres: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_units(v) @ centres.T, -1, 1))
+
+
+def _nearest(k: int, least: float, dim: int):
+    """The ``k`` best data rows of each query row of a pair of blocks; equal cosines rank by id."""
+
+    def run(t: pa.Table) -> pa.Table:
+        of = t.column("query").to_numpy(zero_copy_only=False)
+        pt = t.column("pt").to_numpy()
+        v = _flat(t.column("vector"), dim).astype(np.float64)
+        x, y, qp, dp = v[of], v[~of], pt[of], pt[~of]
+        out_a, out_b, out_c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if len(x) and len(y):
+            rank = np.argsort(np.argsort(np.array(t.column("id").filter(pa.array(~of)).to_pylist(), object)))
+            xu, yu = _units(x), _units(y)
+            order = np.argsort(dp)
+            step = max(1, 4_000_000 // len(y))
+            for lo in range(0, len(x), step):
+                p = qp[lo : lo + step]
+                s = xu[lo : lo + step] @ yu.T
+                at = np.minimum(np.searchsorted(dp, p, sorter=order), len(dp) - 1)
+                own = np.nonzero(dp[order[at]] == p)[0]
+                s[own, order[at[own]]] = -2
+                floor = np.full(len(p), least)
+                if len(y) > k:
+                    floor = np.maximum(floor, np.partition(s, len(y) - k, axis=1)[:, len(y) - k])
+                i, j = np.nonzero(s >= floor[:, None] - 1e-13)  # more than the error of a sum in double precision
+                cos = np.concatenate([_cosine(x[lo + i[n : n + 100_000]], y[j[n : n + 100_000]]) for n in range(0, max(1, len(i)), 100_000)])
+                by = np.lexsort((rank[j], -cos, i))
+                i, j, cos = i[by], j[by], cos[by]
+                keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (cos >= least)
+                out_a.append(p[i[keep]])
+                out_b.append(dp[j[keep]])
+                out_c.append(cos[keep])
+        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b), "cos": np.concatenate(out_c)})
 
     return run
 
 
+def crowded_points(pts: DataFrame, crowd: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+    """(a, b, cos): for each point ``a`` of ``crowd`` its ``k`` best among all points with a cosine of at least ``least``, exactly."""
+    one = pts.groupBy("pt").agg(F.min("id").alias("id"), F.first("vector").alias("vector"))
+    rows = durable(one.join(crowd.select(F.col("a").alias("pt"), F.lit(True).alias("crowded")), "pt", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
+    sample = [r.vector for r in bounded_sample(rows.filter("crowded"), "pt", SAMPLE).select("vector").collect()]
+    sample = sample or [rows.filter("crowded").first().vector]
+    centres = _centres(_units(np.array(sample, np.float64)))
+
+    def home(t: pa.Table) -> pa.Table:
+        angle = _angles(centres, _flat(t.column("vector"), dim).astype(np.float64))
+        cell = angle.argmin(1)
+        return pa.table({"cell": pa.array(cell, pa.int32()), "angle": angle[np.arange(len(cell)), cell]})
+
+    homes = rows.filter("crowded").select("vector").mapInArrow(per_block(home, 2 << 20), "cell int, angle double")
+    size, reach = np.zeros(len(centres), np.int64), np.full(len(centres), -1.0)
+    for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("angle")).collect():  # one row a centre
+        size[r.cell], reach[r.cell] = r.n, r.angle + np.arccos(least) + 1e-6
+
+    def met(t: pa.Table) -> pa.Table:
+        cell = np.nonzero(_angles(centres, _flat(t.column("vector"), dim).astype(np.float64)) <= reach)[1]
+        return pa.table({"cell": pa.array(np.arange(len(centres)), pa.int32()), "n": np.bincount(cell, minlength=len(centres))})
+
+    data = np.zeros(len(centres), np.int64)
+    for r in rows.select("vector").mapInArrow(per_block(met, 2 << 20), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        data[r.cell] = r.n
+    cuts = lambda n: np.maximum(1, np.ceil(n / np.clip(n // 8, LEAST_WIDTH, WIDTH))).astype(np.int64)
+    n_query, n_data = cuts(size), cuts(data)
+
+    def deal(t: pa.Table) -> pa.Table:
+        pt = t.column("pt").to_numpy()
+        angle = _angles(centres, _flat(t.column("vector"), dim).astype(np.float64))
+        part = pt >> 20
+        of = np.nonzero(t.column("crowded").to_numpy(zero_copy_only=False))[0]
+        own = angle[of].argmin(1)
+        row, cell = np.nonzero(angle <= reach)
+        out = []
+        for query, r, c, mine, other in ((True, of, own, n_query, n_data), (False, row, cell, n_data, n_query)):
+            times = other[c]
+            turn = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            r, c = np.repeat(r, times), np.repeat(c, times)
+            block = part[r] % mine[c]
+            at = pa.array(r)
+            out.append(
+                pa.table({
+                    "cell": pa.array(c, pa.int32()), "i": pa.array(block if query else turn, pa.int32()), "j": pa.array(turn if query else block, pa.int32()),
+                    "query": np.full(len(r), query), "pt": pt[r], "id": t.column("id").take(at), "vector": t.column("vector").take(at),
+                })
+            )
+        return pa.concat_tables(out)
+
+    return (
+        rows.mapInArrow(per_block(deal, 1 << 20), "cell int, i int, j int, query boolean, pt bigint, id string, vector array<float>")
+        .groupBy("cell", "i", "j")
+        .applyInArrow(_nearest(k, least, dim), "a bigint, b bigint, cos double")
+    )
+
+
 def points(records: DataFrame, dim: int = 64) -> DataFrame:
     """(id, pt, vector) of the current rows with a usable vector; rows with the same vector have the same point ``pt``."""
     v = F.col("vector")
@@ -168,22 +299,24 @@ def points(records: DataFrame, dim: int = 64) -> DataFrame:
 
 
 def similar_points(pts: DataFrame, k: int, least: float, dim: int) -> DataFrame:
-    """(a, b, cos) in both directions for the pairs of points that some curve brings together, reranked exactly."""
+    """(a, b, cos) in both directions for the pairs of points that some curve brings together, reranked exactly; crowded points are searched."""
     one = pts.select("pt", "vector").dropDuplicates(["pt"])
-    cand = (
+    found = durable(
         one.mapInArrow(_emit(dim), "curve int, key bigint, pt bigint, q binary")
         .repartitionByRange("curve", "key")
         .sortWithinPartitions("curve", "key")
         .mapInArrow(_window(k, least - 0.02), "a bigint, b bigint")
         .distinct()
     )
+    crowd = found.filter("b is null").select("a")
     exact = (
-        cand.join(one.select(F.col("pt").alias("a"), F.col("vector").alias("va")), "a")
+        found.filter("b is not null").join(one.select(F.col("pt").alias("a"), F.col("vector").alias("va")), "a")
         .join(one.select(F.col("pt").alias("b"), F.col("vector").alias("vb")), "b")
         .select("a", "b", "va", "vb")
         .mapInArrow(_cosines(dim), "a bigint, b bigint, cos double")
     )
-    return exact.select(F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))).alias("p")).select("p.*")
+    both = exact.select(F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))).alias("p")).select("p.*")
+    return both if crowd.isEmpty() else both.join(crowd, "a", "left_anti").unionByName(crowded_points(pts, crowd, k, least, dim))
 
 
 def most_similar(records: DataFrame, k: int = 5, least: float = 0.9, dim: int = 64) -> DataFrame:

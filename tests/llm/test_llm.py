@@ -257,6 +257,42 @@ def test_similar_vectors_against_brute_force(spark):
     assert vectors.similar_pairs(df.filter("false")).count() == 0
 
 
+def vector_table(spark, ids, v):
+    import pyarrow as pa
+
+    t = pa.table({"id": ids, "vector": pa.array(v.tolist(), pa.list_(pa.float32())), "n": pa.array([0] * len(ids))})
+    return spark.createDataFrame(t).select("id", F.col("vector").cast("array<float>").alias("vector"), F.timestamp_seconds("n").alias("indexed_at"))
+
+
+def close_vectors(rng, n, cosine):
+    """``n`` distinct vectors with about this cosine between any two, beside their group's direction."""
+    c = rng.standard_normal(64)
+    z = rng.standard_normal((n, 64))
+    return (c / np.linalg.norm(c) + np.sqrt(1 / cosine - 1) * z / 8).astype(np.float32)
+
+
+def nearest_lists(ids, v, rows, k=5, least=0.9):
+    u = v.astype(np.float64)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    s = u[rows] @ u.T
+    s[np.arange(len(rows)), rows] = -2
+    return {(ids[r], ids[j]) for n, r in enumerate(rows) for j in np.argsort(-s[n], kind="stable")[:k] if s[n, j] >= least}
+
+
+def found_lists(df, ids):
+    return {(r.id, r.other) for r in vectors.most_similar(df).filter(F.col("id").isin(ids)).collect()}
+
+
+def test_nearest_in_a_group_far_larger_than_a_window(spark):
+    rng = np.random.default_rng(11)
+    v = np.concatenate([close_vectors(rng, 20_000, 0.95), close_vectors(rng, 1_500, 0.93), rng.standard_normal((3_000, 64)).astype(np.float32)])
+    ids = [f"v{n:06d}" for n in rng.permutation(len(v))]
+    rows = rng.choice(len(v), 400, replace=False)
+    want = nearest_lists(ids, v, rows)
+    got = found_lists(vector_table(spark, ids, v), [ids[r] for r in rows])
+    assert len(want) > 1_500 and got == want
+
+
 def test_hilbert_neighbours_touch():
     pts = np.stack(np.meshgrid(range(8), range(8), range(8), indexing="ij"), -1).reshape(-1, 3)
     key = vectors.hilbert_keys(pts, 3)
