@@ -5,7 +5,8 @@ projections gives a Hilbert key. Each curve's keys are range-partitioned by Spar
 the rows of its key window (its block of ``BLOCK`` successive rows and the ``HALO`` rows before it) over 8-bit copies
 of the vectors. The best candidates of all curves are merged and reranked with the full vectors.
 
-A row with more than ``CROWD`` partners in some window lies in a group that windows cannot hold: it is searched exactly.
+Windows keep every pair whose 8-bit cosine may belong to one of at least ``least``; they choose none by it. A row with more
+than ``CROWD * k`` such partners in some window lies in a group that is dense or larger than windows: it is searched exactly.
 Crowded rows are put into cells around centres of a sample; a cell meets every point that, by the triangle inequality,
 may be close enough to one of its rows, in pairs of blocks. Work there grows with the square of a group, memory does not.
 
@@ -26,7 +27,7 @@ from quern.llm.common import bounded_sample, current, durable
 
 DIMS, BITS, CURVES = 8, 6, 12
 BLOCK, HALO = 384, 128
-CROWD = 128
+CROWD = 4  # times k
 SAMPLE, CENTRES = 8192, 1024  # of crowded rows; they decide about cost, not about results
 LEAST_WIDTH, WIDTH = 4096, 65536  # rows in a block of a cell
 SPREAD = 3.0  # standard deviations of a projected coordinate on either side
@@ -91,6 +92,15 @@ def _emit(dim: int):
     return run
 
 
+def _loosened(least: float, dim: int) -> float:
+    """The least cosine of 8-bit copies whose vectors may have a cosine of ``least``.
+
+    A copy differs by at most half a step in each number, the step being at most 1/127 of the vector's length.
+    """
+    off = 2 * np.arcsin(min(1.0, np.sqrt(dim) / 254))
+    return float(np.cos(min(np.pi, np.arccos(least) + off))) - 1e-5  # single precision
+
+
 def _window(k: int, least: float):
     """Candidates of each row within its key window, over rows sorted by curve and key; ``b`` is null for a crowded ``a``."""
 
@@ -103,18 +113,11 @@ def _window(k: int, least: float):
             s = q[lo:hi] @ q[back:hi].T
             s[np.arange(hi - lo), np.arange(lo - back, hi - back)] = -2
             hit = s >= least
-            many = hit.sum(0) > CROWD  # rows of the halo count what lies behind them
-            many[lo - back :] |= hit.sum(1) > CROWD
+            many = hit.sum(0) > CROWD * k  # rows of the halo count what lies behind them
+            many[lo - back :] |= hit.sum(1) > CROWD * k
             crowded[back:hi] |= many
             hit &= ~(many[lo - back :, None] & many)  # both are searched exactly
             i, j = np.nonzero(hit)
-            if len(i) > (hi - lo) * 4 * k:  # keep the best of each row
-                top = min(4 * k, s.shape[1])
-                j = np.argpartition(-s, top - 1, axis=1)[:, :top]
-                i = np.repeat(np.arange(hi - lo), top)
-                j = j.ravel()
-                ok = hit[i, j]
-                i, j = i[ok], j[ok]
             out_a.append(pt[lo + i])
             out_b.append(pt[back + j])
         return np.concatenate(out_a), np.concatenate(out_b), pt[crowded]
@@ -305,7 +308,7 @@ def similar_points(pts: DataFrame, k: int, least: float, dim: int) -> DataFrame:
         one.mapInArrow(_emit(dim), "curve int, key bigint, pt bigint, q binary")
         .repartitionByRange("curve", "key")
         .sortWithinPartitions("curve", "key")
-        .mapInArrow(_window(k, least - 0.02), "a bigint, b bigint")
+        .mapInArrow(_window(k, _loosened(least, dim)), "a bigint, b bigint")
         .distinct()
     )
     crowd = found.filter("b is null").select("a")

@@ -293,6 +293,27 @@ def test_nearest_in_a_group_far_larger_than_a_window(spark):
     assert len(want) > 1_500 and got == want
 
 
+@pytest.mark.parametrize("n", [120, 512])
+def test_nearest_among_near_copies_whose_8_bit_cosines_tie(spark, n):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([close_vectors(rng, n, 0.9999999), rng.standard_normal((1_000, 64)).astype(np.float32)])
+    ids = [f"v{x:06d}" for x in rng.permutation(len(v))]
+    assert found_lists(vector_table(spark, ids, v), ids[:n]) == nearest_lists(ids, v, np.arange(n))
+
+
+def test_8_bit_threshold_keeps_spiky_vectors():
+    rng = np.random.default_rng(13)
+    x, y = np.eye(64)[[0] * 4000], np.zeros((4000, 64))
+    x = x + rng.uniform(0.4, 0.6, x.shape) / 127  # near half a step everywhere
+    for n in range(4000):
+        d = rng.standard_normal(64) * (rng.random(64) < rng.uniform(0.02, 1))
+        d -= x[n] * (d @ x[n]) / (x[n] @ x[n])
+        y[n] = x[n] / np.linalg.norm(x[n]) + (np.sqrt(1 / 0.81 - 1) - 1e-9) * d / max(np.linalg.norm(d), 1e-9)
+    q = [np.rint(v * 127 / np.abs(v).max(axis=1, keepdims=True)) for v in (x, y)]
+    cos = (q[0] * q[1]).sum(1) / np.linalg.norm(q[0], axis=1) / np.linalg.norm(q[1], axis=1)
+    assert cos.min() >= vectors._loosened(0.9, 64)
+
+
 def test_hilbert_neighbours_touch():
     pts = np.stack(np.meshgrid(range(8), range(8), range(8), indexing="ij"), -1).reshape(-1, 3)
     key = vectors.hilbert_keys(pts, 3)
