@@ -268,6 +268,31 @@ def units(path: str, text: str) -> tuple[str | None, list[tuple[Unit, list[Edge]
     return {"tsx": "typescript", "jsx": "javascript"}.get(lang, lang), [(u, e) for u, e in found if not small(u[4])]
 
 
+def put_together(pieces: list[tuple[int, str]]) -> str:
+    """The text of a file from its (start_line, content) pieces, each line once and in its place; lines that no piece has are blank.
+
+    If pieces disagree on a line, the piece that starts first wins, then the longer, then the smaller text.
+    """
+    lines: dict[int, str] = {}
+    for start, content in sorted(pieces, key=lambda p: (p[0], -len(p[1]), p[1])):
+        for i, line in enumerate(content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n"), start):
+            lines.setdefault(i, line)
+    return "\n".join([lines.get(i, "") for i in range(min(1, *lines), max(lines) + 1)])
+
+
+def whole_files(chunks: DataFrame) -> DataFrame:
+    """(file_path, content) of every file, put together from all of its chunks; one file is put together in one task."""
+
+    def run(batches):
+        for b in batches:
+            texts = [put_together([(p["start"], p["content"]) for p in parts]) for parts in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], ["file_path", "content"])
+
+    part = F.struct(F.coalesce("start_line", F.lit(1)).alias("start"), F.coalesce("content", F.lit("")).alias("content"))
+    parts = chunks.filter("file_path is not null").groupBy("file_path").agg(F.collect_set(part).alias("parts"))
+    return parts.mapInArrow(run, "file_path string, content string")
+
+
 _UNIT = (
     "file_path string, kind string, content string, start_line int, end_line int, name string, node_type string, docstring string, language string, "
     "source_text string, target_symbol string, edge_type string, module_path string, error string"

@@ -3,26 +3,25 @@
 from pyspark.sql import functions as F
 
 from quern.operators import syntax
+from quern.operators.durable import durable
 from quern.operators.embed import embed_documents
 from quern.plans.session_queries import session_log
 from quern.queries import query, table
 
 
-def _files(spark, sf):
-    """The chunks of code_chunks as files of their own: a path keeps its extension and gets the chunk's line."""
-    c = table(spark, sf, "code_chunks").filter("node_type <> 'fallback'").select("file_path", "start_line", "content").distinct()
-    path = F.concat(F.regexp_replace("file_path", r"\.[a-z]+$", ""), F.lit("_"), F.col("start_line").cast("string"), F.regexp_extract("file_path", r"(\.[a-z]+)$", 1))
-    return c.groupBy(path.alias("file_path")).agg(F.max("content").alias("content"))
+def _parsed(spark, sf, other: str):
+    """Every file of code_chunks, put together and parsed once, without the rows of a kind that the query does not use."""
+    return durable(syntax.parse_files(syntax.whole_files(table(spark, sf, "code_chunks"))).filter(F.col("kind") != other))
 
 
 @query()
 def ast_chunks(spark, sf):
-    return syntax.chunk_files(syntax.parse_files(_files(spark, sf))).select("id", "file_path", "start_line", "end_line", "name", "node_type", "signature", "language")
+    return syntax.chunk_files(_parsed(spark, sf, "edge")).select("id", "file_path", "start_line", "end_line", "name", "node_type", "signature", "language")
 
 
 @query()
 def ast_edges(spark, sf):
-    return syntax.raw_edges(syntax.parse_files(_files(spark, sf)))
+    return syntax.raw_edges(_parsed(spark, sf, "fallback"))
 
 
 @query()

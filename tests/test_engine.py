@@ -96,6 +96,32 @@ def test_chunks_and_fallback(spark):
     assert {r.source_id for r in raw} == {"p_long_py_L1_p0"}
 
 
+def test_chunk_table_is_parsed_by_whole_files(spark, tmp_path):
+    from quern.queries import QUERIES
+
+    long = ["def long_one(value):", *[f"    a_long_name_{n} = compute(value, value)" for n in range(70)], "    return finish(value)"]
+    windows = [f"const item{n} = make(item{n}, {n})" if n % 30 else f"export function part{n}(a) {{\n  return useful{n}(a, 'some longer text')\n}}" for n in range(60)]
+    windows = "\n".join(windows).split("\n")
+    broken = ["def broken(:", *["x = 1"] * 60]
+    rows = [
+        ("r/a.py", "\ufeffdef first(value):\r\n    return helper(value, 'some longer text')", 3, "function_definition"),
+        ("r/a.py", "\n".join(long[:40]), 10, "function_definition"), ("r/a.py", "\n".join(long[35:]), 45, "function_definition"), ("r/a.py", "\n".join(long[35:]), 45, "function_definition"),
+        ("r/a.py", "def untyped(value):\n    return other(value, 'some longer text here')", 90, None),
+        ("r/w.js", "\n".join(windows[:50]), 1, "fallback"), ("r/w.js", "\n".join(windows[45:]), 46, "fallback"),
+        ("r/bad.py", "\n".join(broken[:50]), 1, "fallback"), ("r/bad.py", "\n".join(broken[45:]), 46, "fallback"), ("r/null.py", None, None, None),
+    ]
+    spark.createDataFrame(rows, "file_path string, content string, start_line int, node_type string").write.parquet(f"{tmp_path}/code_chunks.parquet")
+    got = QUERIES["ast_chunks"](spark, str(tmp_path)).collect()
+    a = {(r.id, r.start_line, r.name) for r in got if r.file_path == "r/a.py" and "_p" not in r.id.removeprefix("r_a_py")}
+    assert a == {("r_a_py_L3", 3, "first"), ("r_a_py_L90", 90, "untyped")}
+    parts = [r for r in got if r.id.startswith("r_a_py_L10_p")]
+    assert {r.name for r in parts} == {"long_one"} and max(r.end_line for r in parts) == 81
+    assert {r.name for r in got if r.file_path == "r/w.js"} == {"part0", "part30"}
+    assert {(r.start_line, r.end_line, r.node_type) for r in got if r.file_path == "r/bad.py"} == {(1, 50, "fallback_chunk"), (46, 61, "fallback_chunk")}
+    edges = {(r.source_id, r.target_symbol) for r in QUERIES["ast_edges"](spark, str(tmp_path)).filter("edge_type = 'calls'").collect()}
+    assert {("r_a_py_L3", "helper"), ("r_a_py_L10_p0", "compute"), ("r_a_py_L10_p0", "finish"), ("r_a_py_L90", "other"), ("r_w_js_L1", "useful0")} <= edges
+
+
 def test_embedding(spark):
     def flaky(texts):
         if any("bad" in t for t in texts):
