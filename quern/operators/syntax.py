@@ -29,17 +29,17 @@ _TOKEN = re.compile(
     r"(?P<skip>//[^\n]*|/\*[\s\S]*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)|(?P<open>[({\[])|(?P<shut>[)}\]])|(?P<end>;)|(?P<word>[^\W\d][\w$]*)|(?P<nl>\n)|(?P<other>[^\s\w])"
 )
 _DIRECTIVE = re.compile(r"(?m)^[ \t]*#[^\n]*")
-_C_COMMENT = re.compile(r"(?:/\*[\s\S]*?\*/|//[^\n]*)\s*\Z")
 
 
 _OPEN_END = frozenset("= => , + - * / | & ? : . < > ( [ {".split()) | {"&&", "||"}
 _GOES_ON = re.compile(r"\s*(?:[.?:=|&+\-*,({]|/(?![/*])|extends\b|implements\b|else\b|catch\b|finally\b|instanceof\b|in\b)")
 
 
-def _statements(text: str, by_line: bool = False) -> Iterator[tuple[int, int, list[str], bool]]:
+def _statements(text: str, by_line: bool, comments: dict[int, int]) -> Iterator[tuple[int, int, list[str], bool]]:
     """(start, end, first words and marks, has a braced body) of the top-level statements of a bracketed language.
 
     ``by_line``: a line end closes a statement that cannot go on, as in languages without needed semicolons.
+    ``comments`` gets the start of every comment so far by its end.
     """
     depth, start, words, body, assigned, last = 0, -1, [], False, False, ""
     for m in _TOKEN.finditer(text):
@@ -52,6 +52,8 @@ def _statements(text: str, by_line: bool = False) -> Iterator[tuple[int, int, li
         if kind != "skip" or m[0][0] != "/":
             last = m[0]
         if kind == "skip":
+            if m[0][0] == "/":
+                comments[m.start() + len(m[0].rstrip())] = m.start()
             if start >= 0 and depth == 0 and m[0][0] not in "/":
                 words.append("''")
             continue
@@ -153,11 +155,15 @@ def scan_units(lang: str, text: str) -> list[Unit]:
     offsets = _line_offsets(text)
     out = []
     code = _DIRECTIVE.sub(lambda m: " " * len(m[0]), text) if lang in ("c", "cpp") else text
-    for a, b, words, body in _statements(code, lang in ("go", "typescript", "tsx", "javascript", "jsx")):
+    comments: dict[int, int] = {}
+    for a, b, words, body in _statements(code, lang in ("go", "typescript", "tsx", "javascript", "jsx"), comments):
         kind = _classify(lang, words, body)
         if kind and kind[0] in LANGUAGES[lang]["types"]:
-            doc = _C_COMMENT.search(text, max(0, a - 4000), a)
-            out.append((kind[0], kind[1], _line_at(offsets, a), _line_at(offsets, max(a, b - 1)), text[a:b], doc[0].strip() if doc else None))
+            e = a
+            while e and text[e - 1].isspace():
+                e -= 1
+            doc = text[comments[e] : e] if e in comments else None
+            out.append((kind[0], kind[1], _line_at(offsets, a), _line_at(offsets, max(a, b - 1)), text[a:b], doc))
     return out
 
 

@@ -96,6 +96,13 @@ def test_chunks_and_fallback(spark):
     assert {r.source_id for r in raw} == {"p_long_py_L1_p0"}
 
 
+def test_documentation_comment_of_any_length():
+    doc = "/**\n" + " * See http://example.org/x for the rest of it.\n" * 200 + " */"
+    body = "(a: number) {\n  return helper(a, 'some longer text here')\n}\n"
+    text = f"/** First. */\nfunction one{body}\n{doc}\nfunction two{body}\nfunction three{body}// Last one.  \n\nfunction four{body}"
+    assert {u[1]: u[5] for u in syntax.scan_units("typescript", text)} == {"one": "/** First. */", "two": doc, "three": None, "four": "// Last one."}
+
+
 def test_chunk_table_is_parsed_by_whole_files(spark, tmp_path):
     from quern.queries import QUERIES
 
