@@ -1,7 +1,7 @@
 """Near-duplicate records by a chosen-path join (problem 6).
 
-A record's words are one normalised text; equal ones form one class, numbered once, and only classes are joined. Every
-class becomes the set of its word shingles (64-bit hashes). In each of ``RUNS`` independent runs, a set goes to one bucket
+Records with one text (in lower case) form one class, numbered once, and only classes are joined. Every class becomes the
+set of its word shingles (64-bit hashes). In each of ``RUNS`` independent runs, a set goes to one bucket
 for each of its shingles whose seeded hash lies under ``1 / (LAMBDA * size)``, and for the least one: about 1.7 buckets,
 and two sets meet with a probability that grows with their overlap and is at least their similarity. A bucket of up to
 ``SMALL`` sets is compared pair by pair over 256-bit odd sketches; a larger one is split again by the shingles chosen with
@@ -15,7 +15,7 @@ reaches ``TARGET``.
 
 Defined results: null content or signature counts as empty; a record with fewer shingles than one is similar to none;
 repeated rows count once and of superseded rows only the current one counts (the greatest indexed_at, nulls first; among
-equals the greatest digest of its words); the pair is (smaller id, greater id). Extra columns are ignored; an empty table
+equals the greatest digest of its text); the pair is (smaller id, greater id). Extra columns are ignored; an empty table
 gives no pairs.
 
 What is stored: the sets of distinct classes once, rows of buckets that have to be split, and the candidate pairs. First
@@ -26,6 +26,7 @@ splits grows with the square of its sets, and each of its sets is sent once for
 from __future__ import annotations
 
 import logging
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,18 @@ BLOCK = 8192  # sets in a block of a bucket that no level splits
 COPIES = 4096  # rows of one class that are paired in one task
 BROADCAST_KEYS = 200_000  # keys (8 bytes each) that may be broadcast
 log = logging.getLogger("quern")
+_WORD = re.compile("[a-z0-9_]+")
 
 
 def shingle_sets(texts: list[str | None], n: int = 3) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of ``n`` successive words of each text, its words being parted by blanks."""
+    """Sorted distinct 64-bit hashes of ``n`` successive words of each text in lower case."""
     number: dict[str, int] = {}
     count = number.setdefault
+    words = _WORD.findall
     out = []
     rows = []
     for t in texts:
-        rows.append([count(w, len(number)) for w in (t or "").split()])
+        rows.append([count(w, len(number)) for w in words(t or "")])
     h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in number), np.uint64, len(number))
     with np.errstate(over="ignore"):
         for r in rows:
@@ -71,7 +74,7 @@ def shingle_sets(texts: list[str | None], n: int = 3) -> list[np.ndarray]:
 
 
 def _sets(t: pa.Table, n: int) -> pa.Table:
-    found = shingle_sets(t.column("words").to_pylist(), n)
+    found = shingle_sets(t.column("text").to_pylist(), n)
     at = [i for i, s in enumerate(found) if len(s)]
     return pa.table({"h": t.column("h").take(pa.array(at, pa.int64())), "shingles": pa.array([found[i].tobytes() for i in at], pa.binary())})
 
@@ -297,18 +300,12 @@ def similar_classes(sets: DataFrame, least: float) -> DataFrame:
     return out.select("a", "b") if k == 0 else out.select("a", "b").distinct()
 
 
-def _digest(c):
-    """128 bits of a text."""
-    return F.unhex(F.md5(c))
-
-
 def record_sets(records: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:
     """(id, cls) of the current rows that have a shingle, and (cls, shingles) of every class; both kept."""
     text = F.concat(F.coalesce("signature", F.lit("")), F.lit("\n"), F.coalesce("content", F.lit("")))
-    words = F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9_]+", " "))
-    rows = records.filter("id is not null").select("id", "indexed_at", words.alias("words")).withColumn("h", _digest(F.col("words")))
+    rows = records.filter("id is not null").select("id", "indexed_at", F.lower(text).alias("text")).withColumn("h", F.unhex(F.md5("text")))
     now = durable(current(rows.select("id", "indexed_at", "h"), "h"))
-    texts = rows.select("h", "words").dropDuplicates(["h"]).join(now.select("h").distinct(), "h", "left_semi")
+    texts = rows.select("h", "text").dropDuplicates(["h"]).join(now.select("h").distinct(), "h", "left_semi")
     kept = durable(
         texts.mapInArrow(per_block(lambda t: _sets(t, n), 16 << 20), "h binary, shingles binary").select(F.monotonically_increasing_id().alias("cls"), "h", "shingles")
     )
