@@ -3,7 +3,9 @@
 Vectors are projected to ``DIMS`` random orthogonal directions, shifted and quantised, and each of ``CURVES`` such
 projections gives a Hilbert key. Each curve's keys are range-partitioned by Spark and sorted; a row is compared with
 the rows of its key window (its block of ``BLOCK`` successive rows and the ``HALO`` rows before it) over 8-bit copies
-of the vectors. The best candidates of all curves are merged and reranked with the full vectors.
+of the vectors. Windows go on over the borders of range partitions: the last rows of a partition and the first of the
+next are brought together once more. Equal keys are parted by the point's number, so no partition follows the rows of
+one key. The candidates of all curves are merged and reranked with the full vectors.
 
 Windows keep every pair whose 8-bit cosine may belong to one of at least ``least``; they choose none by it. A row with more
 than ``CROWD * k`` such partners in some window lies in a group that is dense or larger than windows: it is searched exactly.
@@ -11,14 +13,16 @@ Crowded rows are put into cells around centres of a sample; a cell meets every p
 may be close enough to one of its rows, in pairs of blocks. Work there grows with the square of a group, memory does not.
 
 Defined results: of superseded rows only the current one counts, repeated rows count once; vectors that are null, of
-another length, all zero or not finite are left out; ids with the same vector are one point of the index and expand
-to the ``k + 1`` least ids; equal cosines rank by id. Extra columns are ignored; an empty table gives no rows.
+another length, all zero or not finite are left out; ids with the same vector are one point of the index (numbered, so
+that no two vectors share a number) and expand to the ``k + 1`` least ids; equal cosines rank by id. Of rows with one id
+and one indexed_at the one with the greatest hash of its vector counts. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +31,7 @@ from quern.llm.common import bounded_sample, current, durable
 
 DIMS, BITS, CURVES = 8, 6, 12
 BLOCK, HALO = 384, 128
+RANGE_ROWS = 8192  # rows in a range partition, at least on average
 CROWD = 4  # times k
 SAMPLE, CENTRES = 8192, 1024  # of crowded rows; they decide about cost, not about results
 LEAST_WIDTH, WIDTH = 4096, 65536  # rows in a block of a cell
@@ -101,54 +106,99 @@ def _loosened(least: float, dim: int) -> float:
     return float(np.cos(min(np.pi, np.arccos(least) + off))) - 1e-5  # single precision
 
 
+def _met(s: np.ndarray, most: int, out: np.ndarray, into: np.ndarray, least: float):
+    """Indexes of the pairs of a similarity matrix that reach ``least``; rows and columns with more than ``most`` are crowded."""
+    hit = s >= least
+    out |= hit.sum(1) > most
+    into |= hit.sum(0) > most
+    hit &= ~(out[:, None] & into)  # both are searched exactly
+    return np.nonzero(hit)
+
+
+def _unit8(q: pa.ChunkedArray) -> np.ndarray:
+    x = np.frombuffer(b"".join(q.to_pylist()), np.int8).reshape(len(q), -1).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+_FOUND = "a bigint, b bigint, border binary"
+
+
+def _batch(a: np.ndarray, b: np.ndarray, crowd: np.ndarray, border: list[tuple[int, bytes]] = ()) -> pa.RecordBatch:
+    """Distinct pairs, crowded points (``b`` is null) and rows of borders."""
+    p = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    crowd = np.unique(crowd)
+    none = len(p) + len(crowd)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.concat_arrays([pa.array(p[:, 0].copy()), pa.array(crowd), pa.array([x for x, _ in border], pa.int64())]),
+            pa.concat_arrays([pa.array(p[:, 1].copy()), pa.nulls(len(crowd) + len(border), pa.int64())]),
+            pa.concat_arrays([pa.nulls(none, pa.binary()), pa.array([x for _, x in border], pa.binary())]),
+        ],
+        ["a", "b", "border"],
+    )
+
+
 def _window(k: int, least: float):
-    """Candidates of each row within its key window, over rows sorted by curve and key; ``b`` is null for a crowded ``a``."""
+    """Candidates of each row within its key window, over rows sorted by curve and key, and the rows at both ends of the partition.
+
+    ``border`` holds the number of the partition that a row begins or that follows it, its curve, its side (1: first rows)
+    and its 8-bit vector.
+    """
 
-    def pairs(q: np.ndarray, pt: np.ndarray):
+    def pairs(q: np.ndarray, pt: np.ndarray, known: int):
+        """``known``: rows in front whose pairs are known."""
         n = len(q)
         out_a, out_b = [], []
         crowded = np.zeros(n, bool)
-        for lo in range(0, n, BLOCK):
+        for lo in range(known, n, BLOCK):
             hi, back = min(n, lo + BLOCK), max(0, lo - HALO)
             s = q[lo:hi] @ q[back:hi].T
             s[np.arange(hi - lo), np.arange(lo - back, hi - back)] = -2
-            hit = s >= least
-            many = hit.sum(0) > CROWD * k  # rows of the halo count what lies behind them
-            many[lo - back :] |= hit.sum(1) > CROWD * k
-            crowded[back:hi] |= many
-            hit &= ~(many[lo - back :, None] & many)  # both are searched exactly
-            i, j = np.nonzero(hit)
+            out, into = np.zeros(hi - lo, bool), np.zeros(hi - back, bool)
+            i, j = _met(s, CROWD * k, out, into, least)
+            into[lo - back :] |= out
+            crowded[back:hi] |= into
             out_a.append(pt[lo + i])
             out_b.append(pt[back + j])
-        return np.concatenate(out_a), np.concatenate(out_b), pt[crowded]
+        return np.concatenate(out_a or [pt[:0]]), np.concatenate(out_b or [pt[:0]]), pt[crowded]
 
     def run(batches):
+        part = TaskContext.get().partitionId()
         tail_q, tail_pt, tail_c = None, None, None
         held, rows = [], 0
+        head: list[tuple[int, bytes]] = []
+        head_c = None
+
+        def edge(c: int, side: int, pts, q8):
+            mark = np.array([part + 1 - side, c, side], np.int32).tobytes()
+            return [(int(p), mark + x) for p, x in zip(pts, q8)]
 
         def flush():
-            nonlocal tail_q, tail_pt, tail_c, held, rows
+            nonlocal tail_q, tail_pt, tail_c, held, rows, head_c
             t = pa.Table.from_batches(held)
             held, rows = [], 0
             c = t.column("curve").to_numpy()
             pt = t.column("pt").to_numpy()
-            q = np.frombuffer(b"".join(t.column("q").to_pylist()), np.int8).reshape(len(pt), -1).astype(np.float32)
-            q /= np.linalg.norm(q, axis=1, keepdims=True)
+            q8 = np.array(t.column("q").to_pylist(), object)
+            q = _unit8(t.column("q"))
             res = []
             for x in np.unique(c):
                 at = c == x
-                qq, pp = q[at], pt[at]
+                if head_c is None:
+                    head_c = x
+                if x == head_c and len(head) < BLOCK:
+                    head.extend(edge(x, 1, pt[at][: BLOCK - len(head)], q8[at]))
+                qq, pp, raw, known = q[at], pt[at], q8[at], 0
                 if tail_c == x:
-                    qq, pp = np.concatenate((tail_q, qq)), np.concatenate((tail_pt, pp))
-                res.append(pairs(qq, pp))
+                    known = len(tail_pt)
+                    qq, pp, raw = np.concatenate((tail_q, qq)), np.concatenate((tail_pt, pp)), np.concatenate((last, raw))
+                res.append(pairs(qq, pp, known))
                 tail_q, tail_pt, tail_c = qq[-HALO:], pp[-HALO:], x
-            a, b = np.concatenate([r[0] for r in res]), np.concatenate([r[1] for r in res])
-            a, b = np.minimum(a, b), np.maximum(a, b)
-            p = np.unique(np.stack([a, b], 1), axis=0)
-            crowd = pa.array(np.unique(np.concatenate([r[2] for r in res])))
-            a, b = pa.concat_arrays([pa.array(p[:, 0].copy()), crowd]), pa.concat_arrays([pa.array(p[:, 1].copy()), pa.nulls(len(crowd), pa.int64())])
-            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
+                last[:] = []
+                last.extend(raw[-HALO:])
+            return _batch(*(np.concatenate([r[k] for r in res]) for k in range(3)))
 
+        last: list[bytes] = []
         for b in batches:
             held.append(b)
             rows += b.num_rows
@@ -156,6 +206,25 @@ def _window(k: int, least: float):
                 yield flush()
         if held and rows:
             yield flush()
+        if head:
+            none = np.empty(0, np.int64)
+            yield _batch(none, none, none, head + edge(tail_c, 0, tail_pt, last))
+
+    return run
+
+
+def _over_border(k: int, least: float):
+    """Candidates between the last rows of a range partition and the first of the next, of one border."""
+
+    def run(t: pa.Table) -> pa.Table:
+        raw = t.column("border").to_pylist()
+        first = np.array([x[8] == 1 for x in raw])
+        pt = t.column("a").to_numpy()
+        q = _unit8(pa.chunked_array([pa.array([x[12:] for x in raw], pa.binary())]))
+        x, y = pt[first], pt[~first]
+        out, into = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        i, j = _met(q[first] @ q[~first].T, CROWD * k, out, into, least)
+        return pa.Table.from_batches([_batch(x[i], y[j], np.concatenate([x[out], y[into]]))])
 
     return run
 
@@ -231,9 +300,8 @@ def _nearest(k: int, least: float, dim: int):
     return run
 
 
-def crowded_points(pts: DataFrame, crowd: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+def crowded_points(one: DataFrame, crowd: DataFrame, k: int, least: float, dim: int) -> DataFrame:
     """(a, b, cos): for each point ``a`` of ``crowd`` its ``k`` best among all points with a cosine of at least ``least``, exactly."""
-    one = pts.groupBy("pt").agg(F.min("id").alias("id"), F.first("vector").alias("vector"))
     rows = durable(one.join(crowd.select(F.col("a").alias("pt"), F.lit(True).alias("crowded")), "pt", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False))))
     sample = [r.vector for r in bounded_sample(rows.filter("crowded"), "pt", SAMPLE).select("vector").collect()]
     sample = sample or [rows.filter("crowded").first().vector]
@@ -262,7 +330,7 @@ def crowded_points(pts: DataFrame, crowd: DataFrame, k: int, least: float, dim:
     def deal(t: pa.Table) -> pa.Table:
         pt = t.column("pt").to_numpy()
         angle = _angles(centres, _flat(t.column("vector"), dim).astype(np.float64))
-        part = pt >> 20
+        part = pt * 0x9E3779B1 >> 20 & 0x7FFFFFFF
         of = np.nonzero(t.column("crowded").to_numpy(zero_copy_only=False))[0]
         own = angle[of].argmin(1)
         row, cell = np.nonzero(angle <= reach)
@@ -288,8 +356,8 @@ def crowded_points(pts: DataFrame, crowd: DataFrame, k: int, least: float, dim:
     )
 
 
-def points(records: DataFrame, dim: int = 64) -> DataFrame:
-    """(id, pt, vector) of the current rows with a usable vector; rows with the same vector have the same point ``pt``."""
+def points(records: DataFrame, dim: int = 64) -> tuple[DataFrame, DataFrame]:
+    """(id, pt) of the current rows with a usable vector, and (pt, id, vector) of the distinct vectors with their least ids."""
     v = F.col("vector")
     good = (
         v.isNotNull()
@@ -297,41 +365,51 @@ def points(records: DataFrame, dim: int = 64) -> DataFrame:
         & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists(v, lambda x: x != 0)
     )
-    cur = current(records.select("id", "indexed_at", "vector"), "vector")
-    return durable(cur.filter(good).select("id", F.xxhash64("vector").alias("pt"), F.col("vector").cast("array<float>").alias("vector")))
+    rows = records.filter("id is not null").select(
+        "id", "indexed_at", F.coalesce(good, F.lit(False)).alias("good"), F.xxhash64("vector").alias("h"), F.xxhash64(F.lit("second"), "vector").alias("g"), v.cast("array<float>").alias("vector")
+    )
+    now = durable(current(rows.drop("vector"), "h", "g", "good").filter("good").drop("good"))
+    heads = now.groupBy("h", "g").agg(F.min("id").alias("id"))
+    one = durable(
+        rows.filter("good").select("h", "g", "vector").dropDuplicates(["h", "g"]).join(heads, ["h", "g"])
+        .select(F.monotonically_increasing_id().alias("pt"), "h", "g", "id", "vector")
+    )
+    return durable(now.join(one.select("h", "g", "pt"), ["h", "g"]).select("id", "pt")), one.select("pt", "id", "vector")
 
 
-def similar_points(pts: DataFrame, k: int, least: float, dim: int) -> DataFrame:
+def similar_points(one: DataFrame, k: int, least: float, dim: int) -> DataFrame:
     """(a, b, cos) in both directions for the pairs of points that some curve brings together, reranked exactly; crowded points are searched."""
-    one = pts.select("pt", "vector").dropDuplicates(["pt"])
-    found = durable(
-        one.mapInArrow(_emit(dim), "curve int, key bigint, pt bigint, q binary")
-        .repartitionByRange("curve", "key")
-        .sortWithinPartitions("curve", "key")
-        .mapInArrow(_window(k, _loosened(least, dim)), "a bigint, b bigint")
-        .distinct()
+    spark = one.sparkSession
+    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), one.count() * CURVES // RANGE_ROWS))
+    met = durable(
+        one.select("pt", "vector").mapInArrow(_emit(dim), "curve int, key bigint, pt bigint, q binary")
+        .repartitionByRange(parts, "curve", "key", "pt")
+        .sortWithinPartitions("curve", "key", "pt")
+        .mapInArrow(_window(k, _loosened(least, dim)), _FOUND)
     )
+    over = met.filter("border is not null").groupBy(F.substring("border", 1, 8)).applyInArrow(_over_border(k, _loosened(least, dim)), _FOUND)
+    found = durable(met.filter("border is null").unionByName(over).select("a", "b").distinct())
     crowd = found.filter("b is null").select("a")
+    vec = one.select("pt", "vector")
     exact = (
-        found.filter("b is not null").join(one.select(F.col("pt").alias("a"), F.col("vector").alias("va")), "a")
-        .join(one.select(F.col("pt").alias("b"), F.col("vector").alias("vb")), "b")
+        found.filter("b is not null").join(vec.select(F.col("pt").alias("a"), F.col("vector").alias("va")), "a")
+        .join(vec.select(F.col("pt").alias("b"), F.col("vector").alias("vb")), "b")
         .select("a", "b", "va", "vb")
         .mapInArrow(_cosines(dim), "a bigint, b bigint, cos double")
     )
     both = exact.select(F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))).alias("p")).select("p.*")
-    return both if crowd.isEmpty() else both.join(crowd, "a", "left_anti").unionByName(crowded_points(pts, crowd, k, least, dim))
+    return both if crowd.isEmpty() else both.join(crowd, "a", "left_anti").unionByName(crowded_points(one, crowd, k, least, dim))
 
 
 def most_similar(records: DataFrame, k: int = 5, least: float = 0.9, dim: int = 64) -> DataFrame:
     """(id, other, cos, rank) of the ``k`` most similar other rows with a cosine of at least ``least``."""
-    pts = points(records, dim)
-    member = pts.select("id", "pt")
+    member, one = points(records, dim)
     by_id = Window.partitionBy("pt").orderBy("id")
     heads = (
         member.withColumn("n", F.row_number().over(by_id)).filter(F.col("n") <= k + 1)
         .groupBy("pt").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # k + 1 at most
     )
-    near = similar_points(pts, k, least, dim).filter(F.col("cos") >= least)
+    near = similar_points(one, k, least, dim).filter(F.col("cos") >= least)
     best = Window.partitionBy("a").orderBy(F.desc("cos"), F.col("ids")[0])
     across = (
         near.join(heads.withColumnRenamed("pt", "b"), "b")
