@@ -43,3 +43,7 @@ class GraphError(QuernError):
 
 class DimensionMismatch(QuernError):
     """Vectors of different lengths were compared."""
+
+
+class Conflict(QuernError):
+    """Another writer has changed the store."""

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
+from quern.operators.folders import shared_folder
+
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` kept in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where unset."""
+    """``df`` kept in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where unset,
+    on a single machine."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

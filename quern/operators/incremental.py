@@ -1,11 +1,9 @@
 """Processing only new or changed records (problem 4).
 
-Two forms of one rule:
-
-* ``replay_runs`` computes, in one plan, what every successful run has to process.
-* ``IncrementalReader`` runs one step at a time against a durable ledger. A step rereads the feed from the oldest
-  transaction that was open when the last successful run read, and anti-joins the key-and-version pairs it finds
-  against the ledger, so overlap is removed and nothing is skipped.
+``IncrementalReader`` runs one step at a time against a durable ledger. A step rereads the feed from the oldest
+transaction that was open when the last successful run read, and anti-joins the key-and-version pairs it finds against the
+ledger, so overlap is removed and nothing is skipped. ``replay_ledger`` takes a whole table of runs through it.
+``replay_runs`` gives the same rows in one plan without a ledger; the tests compare the two.
 
 Defined results
 ---------------
@@ -24,11 +22,15 @@ deliveries by an equi-join on the day, never by comparing every pair.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+
+from quern.operators.durable import durable
+from quern.operators.folders import shared_folder
+from quern.operators.maintenance import SnapshotStore
 
 _STRIP = r"^[\s ﻿]+|[\s ﻿]+$"
 
@@ -96,69 +98,108 @@ def replay_runs(feed: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
+def reread_positions(runs: DataFrame) -> list[tuple]:
+    """(run_id, read_upto, open_from) of the successful runs in order of ``read_upto`` (a control table, one row per run),
+    times as text in the session's zone.
+
+    ``open_from`` is the start of the oldest run that was open when the run read, itself included: started no later and not
+    finished by then. A run that never ended is open until the successful run after it has finished, which rereads what it
+    may have left behind. It is never later than ``read_upto``.
+    """
+    text = [F.col(c).cast("string").alias(c) for c in ("started_at", "finished_at", "read_upto")]
+    all_runs = runs.filter("started_at is not null").select("run_id", "status", *text).distinct().collect()
+    good = sorted({(r.read_upto, r.run_id, r.started_at, r.finished_at or "") for r in all_runs if r.status == "succeeded" and r.read_upto is not None and r.run_id is not None})
+    out, done = [], None
+    for upto, run, started, finished in good:
+        still = [x.started_at for x in all_runs if x.started_at <= started and (x.finished_at > started if x.finished_at else done is None or x.started_at > done)]
+        out.append((run, upto, min([upto, *still])))
+        done = finished or started
+    return out
+
+
+_PAIR = ("file_path", "indexed_at", "delivery_id", "content_hash", "arrived_at")
+
+
+def _when(df: DataFrame, name: str, value) -> Column:
+    """``value`` (a datetime, or a text in the session's zone) as a literal to compare with a column."""
+    return F.lit(value).cast(df.schema[name].dataType) if isinstance(value, str) else F.lit(value)
+
+
 class IncrementalReader:
     """One run at a time against a ledger in ``path`` (a folder that all executors share).
 
-    The ledger is a set of immutable snapshots of (file_path, indexed_at, delivery_id, content_hash) and a pointer
-    file that names the current one and the feed position. The pointer is replaced atomically as the last act of
-    ``commit``; a run that dies earlier leaves only an unreferenced folder.
+    The ledger is append-only: ``pairs`` has every key-and-version pair (file, stamp) that a run has processed, ``state`` the
+    rows that each run gave the files, and the manifest the position to reread from. A run reads the feed from there, removes
+    the pairs of the ledger by an anti-join, and publishes its rows and its position in one manifest as its last act. A run
+    that dies earlier leaves only folders that nothing names; a run that is started again under the same id and has been
+    published gives the rows that it gave.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-        os.makedirs(path, exist_ok=True)
+        self.spark, self.store = spark, SnapshotStore(spark, path)
+
+    def pairs(self) -> DataFrame:
+        return self.store.read("pairs")
 
-    def _pointer(self) -> tuple[str, str] | None:
-        p = os.path.join(self.path, "CURRENT")
-        if not os.path.exists(p):
-            return None
-        name, upto = open(p).read().split("\n")[:2]
-        return name, upto
+    def state(self) -> DataFrame:
+        return self.store.read("state")
 
     def ledger(self) -> DataFrame:
-        at = self._pointer()
-        if at is None:
-            return self.spark.createDataFrame(
-                [], "file_path string, indexed_at timestamp, delivery_id bigint, content_hash string"
-            )
-        return self.spark.read.parquet(os.path.join(self.path, at[0]))
+        """(file_path, indexed_at, delivery_id, content_hash): the state of every file."""
+        return self.state().groupBy("file_path").agg(F.max(_stamp()).alias("t")).select("file_path", "t.*")
 
-    def step(self, feed: DataFrame, read_upto, reread_from=None) -> DataFrame:
-        """State (one row per file) of the files that are new or changed up to ``read_upto``.
+    def changes(self) -> DataFrame:
+        """(run_id, file_path, content_hash) of all runs."""
+        return self.state().filter("changed").select("run_id", "file_path", "content_hash")
 
-        ``reread_from``: arrival stamp of the oldest transaction still open when the last successful run read;
-        without it the feed is read from the start. Overlap with the ledger is harmless.
+    def run(self, run_id: int, feed: DataFrame, read_upto, open_from=None, clean: bool = False) -> DataFrame:
+        """Process what has arrived up to ``read_upto``; the rows (run_id, file_path, content_hash) that are new or changed.
+
+        ``open_from``: start of the oldest transaction that is open now; the next run rereads from there (see
+        :func:`reread_positions`). Without it the next run rereads from ``read_upto``. ``clean``: the feed is one of
+        :func:`clean_feed` already.
         """
-        f = clean_feed(feed).filter(F.col("arrived_at") <= F.lit(read_upto))
-        if reread_from is not None:
-            f = f.filter(F.col("arrived_at") >= F.lit(reread_from))
-        seen = f.groupBy("file_path").agg(F.max(_stamp()).alias("t"))
-        held = self.ledger().select("file_path", _stamp().alias("h"))
-        now = (
-            seen.join(held, "file_path", "left")
-            .select("file_path", F.greatest("t", "h").alias("t"))
-            .select("file_path", "t.*")
-        )
-        return now.join(self.ledger().select("file_path", "content_hash"), ["file_path", "content_hash"], "left_anti")
-
-    def commit(self, feed: DataFrame, read_upto, reread_from=None) -> DataFrame:
-        """Process one step and make it durable; returns the rows that were new or changed."""
-        old = self.ledger()
-        f = clean_feed(feed).filter(F.col("arrived_at") <= F.lit(read_upto))
-        if reread_from is not None:
-            f = f.filter(F.col("arrived_at") >= F.lit(reread_from))
-        tops = (
-            f.select("file_path", _stamp().alias("t"))
-            .unionByName(old.select("file_path", _stamp().alias("t")))
-            .groupBy("file_path")
-            .agg(F.max("t").alias("t"))
-            .select("file_path", "t.*")
-        )
-        changed_name, name = f"changed-{uuid.uuid4().hex}", f"ledger-{uuid.uuid4().hex}"
-        self.step(feed, read_upto, reread_from).write.parquet(os.path.join(self.path, changed_name))
-        tops.write.parquet(os.path.join(self.path, name))
-        tmp = os.path.join(self.path, f".{name}")
-        with open(tmp, "w") as fh:
-            fh.write(f"{name}\n{read_upto}\n")
-        os.replace(tmp, os.path.join(self.path, "CURRENT"))
-        return self.spark.read.parquet(os.path.join(self.path, changed_name))
+        if run_id not in self.store.meta("runs", []):
+            f = (feed if clean else clean_feed(feed)).select(*_PAIR)
+            f = f.filter(F.col("arrived_at") <= _when(f, "arrived_at", read_upto))
+            pair, kept = f.schema, StructType([StructField("run_id", IntegerType()), *f.schema.fields[:4], StructField("changed", BooleanType())])
+            since, held = self.store.meta("reread_from"), self.store.read("pairs", pair)
+            if since is not None:
+                late = F.col("arrived_at") >= _when(f, "arrived_at", since)
+                f, held = f.filter(late), held.filter(late)
+            key = list(_PAIR[:4])
+            new = f.groupBy(*key).agg(F.max("arrived_at").alias("arrived_at")).join(held, key, "left_anti")
+            pairs = self.store._write("pairs", new, None)
+            fresh = self.spark.read.schema(pair).parquet(self.store.folder.at(pairs[""]))
+            tops = fresh.groupBy("file_path").agg(F.max(_stamp()).alias("t"))
+            old = self.store.read("state", kept).groupBy("file_path").agg(F.max(_stamp()).alias("h"))
+            rows = (
+                tops.join(old, "file_path", "left")
+                .filter(F.col("h").isNull() | (F.col("t") > F.col("h")))
+                .select(F.lit(run_id).cast("int").alias("run_id"), "file_path", "t.*", (~F.col("t.content_hash").eqNullSafe(F.col("h.content_hash"))).alias("changed"))
+            )
+            state = self.store._write("state", rows, None)
+            position = min(str(read_upto), str(open_from)) if open_from is not None else str(read_upto)
+            self.store.publish_folders({"pairs": pairs, "state": state}, {"reread_from": position, "read_upto": str(read_upto), "runs": [*self.store.meta("runs", []), run_id]})
+        return self.changes().filter(F.col("run_id") == run_id)
+
+
+def replay_ledger(feed: DataFrame, runs: DataFrame, path: str | None = None) -> DataFrame:
+    """(run_id, file_path): every successful run of the control table in turn through :class:`IncrementalReader`.
+
+    The cleaned feed is written once in order of arrival, so a run reads only the row groups of its own stretch. Without
+    ``path`` the ledger lies in the shared folder and is removed once the result is kept.
+    """
+    spark = feed.sparkSession
+    at = path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
+    reader = IncrementalReader(spark, at)
+    stretch = f"{at}/feed-{uuid.uuid4().hex}"
+    clean_feed(feed).repartitionByRange("arrived_at").sortWithinPartitions("arrived_at").write.parquet(stretch)
+    clean = spark.read.parquet(stretch)
+    for run, upto, open_from in reread_positions(runs):
+        reader.run(run, clean, upto, open_from, clean=True)
+    if not reader.store.exists("state"):
+        return feed.select(F.lit(0).alias("run_id"), clean_path(F.col("file_path")).alias("file_path")).filter("false")
+    out = durable(reader.changes().select("run_id", "file_path"))
+    reader.store.folder.delete("" if path is None else stretch.rsplit("/", 1)[1])
+    return out

@@ -1,6 +1,6 @@
 """Queries of problem 4."""
 
-from quern.operators.incremental import replay_runs
+from quern.operators.incremental import replay_ledger
 from quern.queries import query, table
 
 P4_SQL = r"""
@@ -22,4 +22,4 @@ SELECT now.run_id, now.file_path FROM now LEFT JOIN was USING (run_id, file_path
 
 @query(P4_SQL)
 def p4_found(spark, sf):
-    return replay_runs(table(spark, sf, "change_feed"), table(spark, sf, "index_runs"))
+    return replay_ledger(table(spark, sf, "change_feed"), table(spark, sf, "index_runs"))

@@ -1,12 +1,13 @@
 """Operators over small tables."""
 
+import datetime
 import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from quern.errors import GraphError
+from quern.errors import Conflict, GraphError
 from quern.functions import vectors as V
 from quern.operators import chunking as C
 from quern.operators import graph as G
@@ -14,7 +15,7 @@ from quern.operators import maintenance as M
 from quern.operators import metrics as ME
 from quern.operators import search as S
 from quern.operators import sessions as SE
-from quern.operators.incremental import IncrementalReader, replay_runs
+from quern.operators.incremental import IncrementalReader, reread_positions, replay_ledger, replay_runs
 
 EDGE = "source_id string, target_id string, edge_type string, weight double, metadata string"
 
@@ -288,20 +289,99 @@ def test_incremental_empty(spark):
     assert [(r.run_id, r.file_path) for r in replay_runs(extra, runs(spark, [(1, "succeeded", 5)])).collect()] == [(1, "/a")]
 
 
-def test_incremental_steps_equal_replay(spark, tmp_path):
+def run_table(spark, rs):
+    """(run_id, status, read_upto, started, finished) in minutes; None stays null."""
+    c = lambda n: F.timestamp_seconds(F.col(n) * 60 + 1740787200).alias(n)
+    return spark.createDataFrame(rs, "run_id int, status string, read_upto bigint, started_at bigint, finished_at bigint").select("run_id", "status", c("read_upto"), c("started_at"), c("finished_at"))
+
+
+def minute(m):
+    return datetime.datetime(2025, 3, 1) + datetime.timedelta(minutes=m)
+
+
+def test_ledger_equals_replay_and_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.randrange(400), rng.choice(["/a", "\\a", "/b", "/c/d", None] + ["/hot"] * 5), rng.choice(["aa", " AA", "bb\n", "", None, "cc"]), rng.choice([None] + list(range(0, 300))), rng.choice([None] + list(range(0, 300)))) for _ in range(400)]
+    rs = [(k, s, 30 * k + 7, 30 * k + 8, None if s == "crashed" else 30 * k + rng.choice([12, 45])) for k in range(1, 9) for s in [rng.choice(["succeeded", "succeeded", "failed", "crashed"])]]
+    f, r = feed(spark, rows + rows[:50]), run_table(spark, rs)
+    want = brute(rows, [x[:3] for x in rs])
+    assert {(x.run_id, x.file_path) for x in replay_runs(f, r).collect()} == want
+    got = [(x.run_id, x.file_path) for x in replay_ledger(f, r).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert replay_ledger(f.filter("false"), r).count() == 0 and replay_ledger(f, r.filter("false")).count() == 0
+    extra = f.withColumn("t", F.lit(1)).withColumn("run_id", F.lit(3)).withColumn("changed", F.lit(True))
+    assert {(x.run_id, x.file_path) for x in replay_ledger(extra, r, str(tmp_path / "kept")).collect()} == want
+    again = IncrementalReader(spark, str(tmp_path / "kept"))
+    n = again.pairs().count()
+    assert n == again.pairs().distinct().count()  # the overlap was not taken twice
+    assert {(x.run_id, x.file_path) for x in replay_ledger(f, r, str(tmp_path / "kept")).collect()} == want and again.pairs().count() == n
+
+
+def test_reread_positions(spark):
+    rs = [(1, "succeeded", 10, 11, 15), (2, "crashed", 20, 21, None), (3, "failed", 25, 26, 60), (4, "succeeded", 30, 31, 40), (5, "succeeded", 50, 51, 55), (6, "running", 70, 71, None), (7, "succeeded", 80, 81, 90)]
+    at = [(r, str(minute(u)), str(minute(m))) for r, u, m in [(1, 10, 10), (4, 30, 21), (5, 50, 26), (7, 80, 71)]]
+    assert reread_positions(run_table(spark, rs)) == at
+
+
+@pytest.mark.parametrize("step", ["pairs", "state", "publish"])
+def test_a_run_that_dies_leaves_nothing(spark, tmp_path, monkeypatch, step):
     rows = [(1, "/a", "1", 1, 1), (2, "/b", "1", 2, 2), (3, "/a", "2", 5, 6), (4, "/b", "0", 1, 7), (5, "/a", "1", 9, 11), (6, "/c", "1", 3, 12)]
-    f = feed(spark, rows)
-    rs = [(1, "succeeded", 3), (2, "failed", 7), (3, "succeeded", 8), (4, "succeeded", 20)]
-    want = brute(rows, rs)
-    reader = IncrementalReader(spark, str(tmp_path / "ledger"))
-    t = lambda m: __import__("datetime").datetime(2025, 3, 1) + __import__("datetime").timedelta(minutes=m)
-    got, last = set(), None
-    for r, s, u in rs:
-        if s == "succeeded":
-            before = {(x.file_path, x.content_hash) for x in reader.step(f, t(u), last).collect()}
-            done = {(x.file_path, x.content_hash) for x in reader.commit(f, t(u), last).collect()}
-            assert before == done
-            assert reader.step(f, t(u), last).count() == 0  # again: nothing is repeated
-            got |= {(r, p) for p, _ in done}
-            last = t(u - 2)  # a transaction was still open
-    assert got == want
+    f, reader = feed(spark, rows), IncrementalReader(spark, str(tmp_path / "ledger"))
+    reader.run(1, f, minute(3), minute(1))
+    write, publish = reader.store._write, reader.store.publish_folders
+
+    def dying(name, *a):
+        out = write(name, *a)
+        if name == step:
+            raise RuntimeError("lost")
+        return out
+
+    def lost(*a):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(reader.store, "_write", dying)
+    if step == "publish":
+        monkeypatch.setattr(reader.store, "publish_folders", lost)
+    with pytest.raises(RuntimeError):
+        reader.run(2, f, minute(8))
+    monkeypatch.setattr(reader.store, "_write", write)
+    monkeypatch.setattr(reader.store, "publish_folders", publish)
+    assert {(r.run_id, r.file_path) for r in reader.changes().collect()} == {(1, "/a"), (1, "/b")}
+    for _ in range(2):  # started again, twice
+        assert [(r.run_id, r.file_path, r.content_hash) for r in reader.run(2, f, minute(8), minute(5)).collect()] == [(2, "/a", "2")]
+    assert {(r.file_path, r.content_hash) for r in reader.run(3, f, minute(20)).collect()} == {("/a", "1"), ("/c", "1")}
+    assert reader.pairs().count() == 6 and reader.store.vacuum(keep_ms=-10_000) >= (step != "publish") and reader.pairs().count() == 6
+
+
+def test_store_buckets_appends_and_meta(spark, tmp_path):
+    s = M.SnapshotStore(spark, str(tmp_path / "s"), buckets=8)
+    rows = spark.createDataFrame([(f"/f{k}", k) for k in range(40)], "file_path string, n int")
+    s.commit({"t": rows}, {"t": "file_path"})
+    assert s.read("t", "file_path string, n int").count() == 40
+    one = spark.createDataFrame([("/f3", 300)], "file_path string, n int")
+    was = s._current()[1]["tables"]["t"]
+    b = s.touched(one)
+    assert len(b) == 1
+    kept = s.read("t", "file_path string, n int", b).filter("file_path <> '/f3'").unionByName(one)
+    s.replace({"t": (kept, "file_path", b)})
+    now = s._current()[1]["tables"]["t"]
+    assert {k for k in was if was[k] != now.get(k)} == set(b)  # the other buckets are not written again
+    assert s.read("t", "file_path string, n int").agg(F.sum("n")).first()[0] == sum(range(40)) - 3 + 300
+    s.replace({"t": (one.filter("false"), "file_path", b)})  # a bucket can become empty
+    assert s.read("t", "file_path string, n int").filter("n = 300").count() == 0
+    for _ in range(3):
+        s.append({"log": one}, {"log": "file_path"})
+    assert s.read("log", "file_path string, n int").count() == 3
+    assert s.compact("log", "file_path", least=3) == 1 and s.read("log", "file_path string, n int").count() == 3
+    s.put_meta(version="2", other=None)
+    assert s.meta("version") == "2" and s.meta("other", "d") == "d"
+    s.put_meta(version=None)
+    assert s.meta("version") is None
+    seen = s._current()[0]
+    other = M.SnapshotStore(spark, str(tmp_path / "s"), buckets=8)
+    other.append({"log": one}, {"log": "file_path"})
+    with pytest.raises(Conflict):
+        s._publish(seen, lambda m: None)
+    with pytest.raises(Conflict):  # what was read before another commit does not overwrite it
+        s.commit({"log": one}, seen=seen)
+    assert s.read("log", "file_path string, n int").count() == 4
