@@ -1,21 +1,25 @@
 """Generated, minified, vendored and data files (problem 1).
 
 A random forest is trained on compression ratio, token entropy, identifier lengths, comment density and the shape of
-lines and literals. Its labels are header notices (and the names that tools give to their output), which the
-features do not see: the comment block at the head of a file is cut off before they are measured. Files of third
-parties look like any other code, so they take no part in the training and are known by their notice or folder alone.
+lines and literals. Its labels are header notices of tools and of data tables (and the names that tools give to their
+output), which the features do not see: the comment block at the head of a file is cut off before they are measured. The
+forest alone decides generated, packed and data files without a notice, whatever their names.
 
-A file is found if the forest says so, if it carries a tool's or a release's notice, lies in a folder for third-party
-code, or if literals in tables make up more than half of it. Mentions of such words inside code, in strings or in a
-sentence about something else are no notices.
+Two kinds of case leave no trace in what the forest may see: copies of third parties, which look like any other code, and
+generated files whose body does. They are known by their label, a notice in their own head, and copies by a folder for
+third-party code; such files take no part as examples of hand-written ones. Mentions of such words inside code, in strings
+or in a sentence about something else are no notices.
 
 Defined results: only current rows count; the chunks of a file are put together by line, each line once; null content
 counts as no lines and a file without text is hand-written; null paths are left out. The training sample is about
-``SAMPLE`` files of each label (never more than twice as many), by a hash of the path; every file is scored.
+``SAMPLE`` files of each label (never more than twice as many), by a hash of the path; every file is scored by a forest
+that has not seen it. If a fold lacks a label, one forest is trained on all folds; if there are no files with or none
+without a label, there is nothing to learn and notices and folders decide alone. Either is logged.
 """
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 import zlib
@@ -31,6 +35,8 @@ from quern.llm.blocks import per_block
 from quern.llm.common import bounded_sample, current, durable
 from quern.llm.parsing import assemble, language_of
 
+log = logging.getLogger("quern")
+
 SAMPLE = 3000
 TREES, DEPTH, BINS = 40, 7, 64
 LEAF, LEAF_SHARE = 5, 150  # a leaf holds at least LEAF rows and one in LEAF_SHARE of a tree's rows
@@ -51,6 +57,8 @@ COPY_NOTICE = re.compile(
     rf"{_LINE}\s*(?:\S+ v?\d+(?:\.\d+)+ - (?:bundled|vendored) copy\b.*|\S+ v?\d+(?:\.\d+)+ \| \(c\) .*|(?:imported|copied|vendored|taken) (?:verbatim |unchanged )?from\b.*\b(?:release|version|upstream|v?\d+\.\d+).*|(?:bundled|vendored) copy of\b.*)",
     re.I | re.M,
 )
+# Notices of data tables.
+DATA_NOTICE = re.compile(rf"{_LINE}\s*(?:tables? of|data (?:for|of)|lookup tables? (?:for|of))\s+\S+\s*(?:\*/)?$", re.I | re.M)
 # Folders and names.
 VENDOR_PATH = re.compile(r"/(?:third[_-]?party|vendor|vendors|vendored|Godeps|node_modules|bower_components|site-packages|external|externals|deps|3rdparty|jspm_packages|Pods|Carthage)/")
 TOOL_NAME = re.compile(r"/(?:gen|generated|__generated__|autogen)/|\.(?:gen|generated|g|pb|min|bundle)\.[a-z]+$|_(?:pb2|pb2_grpc|generated)\.py$|_pb\.(?:js|ts|py)$|-min\.js$")
@@ -181,11 +189,11 @@ class Forest:
         return out / len(self.trees)
 
 
-_COLS = "file_path string, tool boolean, copied boolean, named boolean, x array<double>"
+_COLS = "file_path string, tool boolean, copied boolean, named boolean, data boolean, x array<double>"
 
 
 def measured(records: DataFrame) -> DataFrame:
-    """(file_path, tool, copied, named, x) of every file: its notices, its name and its features."""
+    """(file_path, tool, copied, named, data, x) of every file: its notices, its name and its features."""
     cur = current(records.select("id", "indexed_at", "file_path", "start_line", "content"), "file_path", "start_line", "content")
     files = (
         cur.filter("file_path is not null")
@@ -195,7 +203,7 @@ def measured(records: DataFrame) -> DataFrame:
     )
 
     def run(t: pa.Table) -> pa.Table:
-        cols = {c: [] for c in ("file_path", "tool", "copied", "named", "x")}
+        cols = {c: [] for c in ("file_path", "tool", "copied", "named", "data", "x")}
         for path, lang, parts in zip(*(t.column(c).to_pylist() for c in ("file_path", "lang", "parts"))):
             text = assemble([(p["start"], p["content"]) for p in parts])
             h = head(text)
@@ -203,6 +211,7 @@ def measured(records: DataFrame) -> DataFrame:
             cols["tool"].append(bool(TOOL_NOTICE.search(h)))
             cols["copied"].append(bool(COPY_NOTICE.search(h) or VENDOR_PATH.search(path)))
             cols["named"].append(bool(TOOL_NAME.search(path)))
+            cols["data"].append(bool(DATA_NOTICE.search(h)))
             cols["x"].append(features(lang or "", text))
         kinds = {"file_path": pa.string(), "x": pa.list_(pa.float64())}
         return pa.table({k: pa.array(v, kinds.get(k, pa.bool_())) for k, v in cols.items()})
@@ -223,22 +232,24 @@ def fit_folds(x: np.ndarray, y: np.ndarray, fold: np.ndarray) -> list[Forest]:
     return forests
 
 
-def train(m: DataFrame) -> list[Forest] | None:
-    """Forests from about ``SAMPLE`` files with and without a notice; None if a fold lacks either kind."""
-    label = F.col("tool") | F.col("named")
-    table = NAMES.index("table")
-    part = m.filter(~F.col("copied") & (label | (F.col("x")[table] <= 0.5)))
+def train(m: DataFrame) -> list[Forest]:
+    """A forest for each fold from about ``SAMPLE`` files with and without a label; none if either kind is missing."""
+    label = F.col("tool") | F.col("named") | F.col("data")
+    part = m.filter(~F.col("copied"))
     pos = bounded_sample(part.filter(label), "file_path", SAMPLE).select("fold", "x").collect()
     neg = bounded_sample(part.filter(~label), "file_path", SAMPLE).select("fold", "x").collect()
-    for rows in (pos, neg):
-        if len({r.fold for r in rows}) < FOLDS:
-            return None
-    x = np.array([r.x for r in pos + neg])
-    return fit_folds(x, np.array([1] * len(pos) + [0] * len(neg)), np.array([r.fold for r in pos + neg]))
+    if not pos or not neg:
+        log.warning("no forest: %d files with a label, %d without", len(pos), len(neg))
+        return []
+    x, y = np.array([r.x for r in pos + neg]), np.array([1] * len(pos) + [0] * len(neg))
+    if min(len({r.fold for r in rows}) for rows in (pos, neg)) < FOLDS:
+        log.warning("one forest for all folds: %d files with a label, %d without", len(pos), len(neg))
+        return [Forest().fit(x, y)] * FOLDS
+    return fit_folds(x, y, np.array([r.fold for r in pos + neg]))
 
 
 def scored(records: DataFrame) -> DataFrame:
-    """(file_path, tool, copied, named, score, table_share) of every file of the current records."""
+    """(file_path, tool, copied, named, data, score, table_share) of every file of the current records."""
     m = measured(records).withColumn("fold", F.pmod(F.xxhash64("file_path", F.lit(1)), F.lit(FOLDS)).cast("int"))
     forests = train(m)
 
@@ -246,14 +257,14 @@ def scored(records: DataFrame) -> DataFrame:
         x = np.array(t.column("x").to_pylist(), dtype=np.float64).reshape(-1, len(NAMES))
         fold = t.column("fold").to_numpy()
         score = np.zeros(len(x))
-        for k, forest in enumerate(forests or []):
+        for k, forest in enumerate(forests):
             score[fold == k] = forest.score(x[fold == k])
         out = t.drop_columns(["x", "fold"]).append_column("score", pa.array(score))
         return out.append_column("table_share", pa.array(x[:, NAMES.index("table")]))
 
-    return m.mapInArrow(per_block(run, 16 << 20), "file_path string, tool boolean, copied boolean, named boolean, score double, table_share double")
+    return m.mapInArrow(per_block(run, 16 << 20), "file_path string, tool boolean, copied boolean, named boolean, data boolean, score double, table_share double")
 
 
 def not_handwritten(records: DataFrame, least: float = LEAST) -> DataFrame:
     """(file_path) of the files that nobody wrote by hand in their repository."""
-    return scored(records).filter((F.col("score") >= least) | F.col("tool") | F.col("copied") | F.col("named") | (F.col("table_share") > 0.5)).select("file_path")
+    return scored(records).filter((F.col("score") >= least) | F.col("tool") | F.col("copied")).select("file_path")

@@ -528,6 +528,16 @@ def test_notices():
     assert handwritten.VENDOR_PATH.search("/a/vendor/b.js") and not handwritten.VENDOR_PATH.search("/a/vendor_portal/b.js")
 
 
+def test_too_few_labels_are_said(spark, caplog):
+    rows = [(f"h{k}", None, f"/r/hand{k}.py", f"def f{k}():\n    return {k}", None, 1) for k in range(6)] + [("c", None, "/r/vendor/x.py", "x = 1", None, 1)]
+    with caplog.at_level("WARNING", "quern"):
+        assert [r.file_path for r in handwritten.not_handwritten(records(spark, rows)).collect()] == ["/r/vendor/x.py"]
+        assert "no forest" in caplog.text
+        rows.append(("t", None, "/r/t.py", "# @generated by x\nx = 1", None, 1))
+        assert {"/r/t.py", "/r/vendor/x.py"} <= {r.file_path for r in handwritten.not_handwritten(records(spark, rows)).collect()}
+        assert "one forest for all folds" in caplog.text
+
+
 def test_forest_learns_held_out():
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 5))
@@ -546,10 +556,13 @@ def test_handwritten_rows(spark):
     for k in range(40):
         body = "\n".join(f"_{word().upper()} = _b.Field(name='{word()}', number={n}, offset={rng.randrange(9999)})" for n in range(14))
         rows.append((f"g{k}", None, f"/r/made{k}.py", ("# @generated by x\n" if k % 2 else "") + body, None, 1))
-    rows += [("d", None, "/r/data.py", "X = [\n" + ", ".join(str(rng.randrange(10**6)) for _ in range(400)) + "\n]", None, 1), ("v", None, "/r/third_party/x.py", "def f():\n    pass", None, 1), ("n", None, None, "x", None, 1), ("e", None, "/r/empty.py", None, None, 1)]
+    for k in range(24):
+        table = "\n".join("    " + ", ".join(f"0x{rng.randrange(1 << 16):04x}" for _ in range(10)) + "," for _ in range(rng.randrange(12, 40)))
+        rows.append((f"d{k}", None, f"/r/table{k}.py", ("# table of x\n" if k % 2 else "") + f"{word().upper()} = [\n{table}\n]", None, 1))
+    rows += [("v", None, "/r/third_party/x.py", "def f():\n    pass", None, 1), ("n", None, None, "x", None, 1), ("e", None, "/r/empty.py", None, None, 1)]
     got = {r.file_path for r in handwritten.not_handwritten(records(spark, rows).withColumn("x", F.lit(1)).withColumn("fold", F.lit(0))).collect()}
-    made = {f"/r/made{k}.py" for k in range(40)}
-    assert {"/r/data.py", "/r/third_party/x.py"} <= got and len(got & made) >= 39 and len(got - made) <= 4
+    made, tables = {f"/r/made{k}.py" for k in range(40)}, {f"/r/table{k}.py" for k in range(24)}
+    assert "/r/third_party/x.py" in got and len(got & made) >= 39 and len(got & tables) >= 22 and len(got - made - tables) <= 4
     assert handwritten.not_handwritten(records(spark, rows).filter("false")).count() == 0
 
 
