@@ -1,16 +1,23 @@
 """Functions paired with their documentation (problem 3).
 
-Each row is lexed up to the body of its first declaration; brackets that belong together become one token and the
-body another (complete or not: truncated and broken bodies recover there). A generalised LL parser with a
-graph-structured stack runs the bundled function grammars over these tokens, that of the extension's language first
-and, if it finds nothing, the others (files with a wrong extension). Lines of merge conflicts and diffs in front of a
-declaration are skipped. Rows that begin inside a function, types and classes give no parse.
-
-Documentation is looked for in docstring, in the comments directly before the function, and in the first string of a
-Python body. Comment marks, tags, directives, rulers, licence notices, placeholders and commented-out code are taken
+A row's text is lexed once, and brackets are matched with recovery: a closing bracket closes the nearest one of its kind and
+with it what was left open inside, strays are passed over, and in Python a definition at the start of a line closes what
+is open. Wherever a statement can begin, a generalised LL parser with a graph-structured stack tries the bundled function
+grammar of the language over the header, its bracketed parts being one token each; the table-driven form of the same grammar
+gives up at the first token that no parse has left, so headers of any length are read and other statements cost a token or
+two. After a failure the parse goes on at the next place where a statement can begin, so valid functions come out of broken
+files, and functions and methods within classes and bodies are found too. If nothing starts the row in the language of the
+extension, the others are tried (files with a wrong extension). The body goes through the whole grammar of its language:
+``whole`` bodies parse, ``cut`` ones end before their bracket does, ``broken`` ones do not parse. Lines of merge conflicts
+and diffs in front of a declaration are skipped. Rows that begin inside a function, types and classes have no function of
+their own.
+
+Documentation is looked for in docstring (of the function that the row begins with), in the comments directly before the
+function, and in the first string of a Python body. Comment marks, tags, directives, rulers and commented-out code are taken
 off; what is left must have at least five words (or eight Chinese or Japanese characters), and some that the function's
-name does not have. Texts that, apart from proper names and numbers, recur in ``TEMPLATE`` or more functions with different names are
-dropped as templates by counting hashes over the whole corpus.
+name does not have. Texts that, apart from proper names, numbers and the function's own name, stand at ``TEMPLATE`` or more
+functions with different names are dropped as templates (licence notices, placeholders) by exact counts of hashes over the
+whole corpus; there is no list of such words.
 
 Defined results: null docstring, name and signature count as absent; null content gives no function; repeated rows
 count once; of several rows with one id any that qualifies is enough. Rows of node type ``fallback`` are left out.
@@ -19,6 +26,8 @@ count once; of several rows with one id any that qualifies is enough. Rows of no
 from __future__ import annotations
 
 import re
+import textwrap
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -27,7 +36,8 @@ from pyspark.sql import functions as F
 
 from quern.llm import gll, lexers, pda
 from quern.llm.blocks import per_block
-from quern.llm.parsing import language_of
+from quern.llm.common import durable
+from quern.llm.parsing import first_error, language_of
 
 TEMPLATE = 5
 _GRAMMAR = {"python": "functions_python", "typescript": "functions_js", "javascript": "functions_js", "go": "functions_go", "rust": "functions_rust", "c": "functions_c"}
@@ -40,91 +50,177 @@ _JUNK = re.compile(r"(?:(?:<<<<<<<|>>>>>>>|=======|\|\|\|\|\|\|\||[-+ ]?@@|diff
 _shapes: dict[tuple, tuple | None] = {}
 
 
-def _header(lang: str, text: str, start: int):
-    """(terminals, token texts, comments, start of the declaration, end of the header) up to the first body."""
-    g = pda.bundled(_GRAMMAR[lang])
-    words = g.terminals
-    kinds: list[str] = []
-    texts: list[str] = []
-    comments: list[str] = []
-    depth, opened, begin = 0, "", -1
-    angle = 0
-    base = "javascript" if lang == "typescript" else lang
-    for m in lexers._LEX[lang].finditer(text, start):
-        t = m[1]
-        if t is None:
-            if not kinds and not (base == "python" and m[0] == "\\\n") and not (base == "c" and m[0].lstrip().startswith("#")):
-                comments.append(m[0])
-            continue
-        if t[0] == "\n":
-            if base == "python" and depth == 0 and kinds:
-                kinds.append("NL")
-                texts.append(t)
-            continue
-        if begin < 0:
-            begin = m.start(1)
-        if t in "([{" and t:
-            if depth == 0 and not angle:
-                if t == "{" and base != "python":
-                    kinds.append("BODY")
-                    texts.append(t)
-                    return kinds, texts, comments, begin, m.end(1)
-                opened = t
-            depth += 1
-            continue
-        if t in ")]}":
-            depth -= 1
-            if depth < 0:
-                break
-            if depth == 0 and not angle:
-                kinds.append({"(": "PARENS", "[": "BRACKETS", "{": "BRACES"}[opened])
-                texts.append(t)
-            continue
-        if depth:
-            continue
-        if base in ("javascript", "rust"):
-            if t == "<" and (angle or kinds and kinds[-1] in ("ID", "function", "=", "async", "impl")):
-                angle += 1
-                continue
-            if angle and t in (">", ">>"):
-                angle -= len(t)
-                if angle <= 0:
-                    angle = 0
-                    kinds.append("ANGLES")
-                    texts.append(t)
+_CLOSE = {"(": ")", "[": "]", "{": "}"}
+_OPEN = {v: k for k, v in _CLOSE.items()}
+_AGAIN = re.compile(r"(?:async[ \t]+)?def[ \t]+\w+[ \t]*[(\[]|class[ \t]+\w+[ \t]*[:(]|@\w")
+_recognisers: dict[str, pda.Recogniser] = {}
+
+
+class Tokens:
+    """Tokens of a text with their brackets matched, the places where statements can begin and the comments before these."""
+
+    def __init__(self, lang: str, text: str, start: int):
+        self.lang, self.text = lang, text
+        self.base = "javascript" if lang == "typescript" else lang
+        python = self.base == "python"
+        self.texts: list[str] = []
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.fresh: list[bool] = []
+        self.comments: dict[int, list[tuple[int, int]]] = {}
+        self.shut: dict[int, int] = {}  # of an opening bracket the closing one; missing if none is left
+        stack: list[int] = []
+        held: list[tuple[int, int]] = []
+        line = True
+        last = start
+        for m in lexers._LEX[lang].finditer(text, start):
+            t = m[1]
+            if t is None:
+                if not (python and m[0] == "\\\n") and not (self.base == "c" and m[0].lstrip().startswith("#")):
+                    held.append((m.start(), m.end()))
                 continue
-            if angle:
+            if t[0] == "\n":
+                if not python:
+                    continue
+                if stack and _AGAIN.match(text, m.end(1)):
+                    stack.clear()
+                if not stack and self.texts and self.texts[-1][0] != "\n":
+                    self._put(t, m, False)
+                line = not stack
                 continue
-            if base == "javascript" and t == "=>" and "=" in kinds and ":" not in kinds[kinds.index("=") :]:
-                kinds.append("BODY")
-                texts.append(t)
-                return kinds, texts, comments, begin, m.end(1)
-            if base == "javascript" and t == "=>":
-                kinds.append("BODY")
-                texts.append(t)
-                return kinds, texts, comments, begin, m.end(1)
-        if base == "python" and t == ":":
-            kinds.append("BODY")
-            texts.append(t)
-            return kinds, texts, comments, begin, m.end(1)
-        if t == ";" or len(kinds) > 60:
-            break
-        if t in words and not t.isupper():
-            kinds.append(t)
-        elif t in _RESERVED:
-            kinds.append("RESERVED")
-        elif t[0].isidentifier() or t[0] == "$":
-            kinds.append("STR" if t[-1] in "\"'" else "ID")
-        elif t[0].isdigit():
-            kinds.append("NUM")
-        elif t[0] in "\"'`" and len(t) > 1:
-            kinds.append("LIFE" if lang == "rust" and t[-1] != t[0] else "STR")
+            n = len(self.texts)
+            if held:
+                self.comments[n] = held
+                held = []
+            self._put(t, m, n == 0 or self.texts[-1] in ";{}" or (line if python else "\n" in text[last : m.start(1)]))
+            line, last = False, m.end(1)
+            if t in _CLOSE:
+                stack.append(n)
+            elif t in _OPEN:
+                at = len(stack) - 1
+                while at >= 0 and self.texts[stack[at]] != _OPEN[t] and (t == "}" or self.texts[stack[at]] != "{"):
+                    at -= 1
+                if at >= 0 and self.texts[stack[at]] == _OPEN[t]:
+                    for k in stack[at:]:
+                        self.shut[k] = n
+                    del stack[at:]
+
+    def _put(self, t, m, fresh):
+        self.texts.append(t)
+        self.starts.append(m.start(1))
+        self.ends.append(m.end(1))
+        self.fresh.append(fresh)
+
+    def before(self, i: int) -> list[str]:
+        """The comments directly before token ``i``: all for the first, else those with a line of their own."""
+        own = self.comments.get(i, [])
+        text = self.text
+        return [text[a:b] for a, b in own if i == 0 or not text[text.rfind("\n", 0, a) + 1 : a].strip()]
+
+
+def _kind(lang: str, words, t: str) -> str:
+    if t in words and not t.isupper():
+        return t
+    if t in _RESERVED:
+        return "RESERVED"
+    if t[0].isidentifier() or t[0] == "$":
+        return "STR" if t[-1] in "\"'" else "ID"
+    if t[0].isdigit():
+        return "NUM"
+    if t[0] in "\"'`" and len(t) > 1:
+        return "LIFE" if lang == "rust" and t[-1] != t[0] else "STR"
+    return t
+
+
+def _angles(tk: Tokens, j: int) -> int | None:
+    """Index of the token that closes the angle bracket at ``j``."""
+    depth, n = 0, len(tk.texts)
+    while j < n:
+        t = tk.texts[j]
+        if t == "<":
+            depth += 1
+        elif t in (">", ">>"):
+            depth -= len(t)
+            if depth <= 0:
+                return j
+        elif t in _CLOSE:
+            j = tk.shut.get(j, n)
+        elif t in _OPEN or t == ";":
+            return None
+        j += 1
+    return None
+
+
+def _header(tk: Tokens, i: int):
+    """(terminals, their tokens) from token ``i`` up to a body, as far as the function grammar has a parse left."""
+    lang, base = tk.lang, tk.base
+    g = pda.bundled(_GRAMMAR[lang])
+    rec = _recognisers.get(lang)
+    if rec is None or len(rec.states) > rec.LIMIT:
+        rec = _recognisers[lang] = pda.Recogniser(g, {})
+    state = rec.first
+    kinds: list[str] = []
+    at: list[int] = []
+    j, n = i, len(tk.texts)
+    while j < n:
+        t = tk.texts[j]
+        here, nxt = j, j + 1
+        if t == "{" and base != "python" or t == "=>" and base == "javascript" or t == ":" and base == "python":
+            kind = "BODY"
+        elif t in _CLOSE:
+            shut = tk.shut.get(j)
+            if shut is None or tk.texts[shut] != _CLOSE[t]:
+                return None
+            kind, nxt = {"(": "PARENS", "[": "BRACKETS", "{": "BRACES"}[t], shut + 1
+        elif t in _OPEN or t == ";":
+            return None
+        elif t[0] == "\n":
+            kind = "NL"
+        elif t == "<" and base in ("javascript", "rust") and kinds and kinds[-1] in ("ID", "function", "=", "async", "impl"):
+            shut = _angles(tk, j)
+            if shut is None:
+                return None
+            kind, nxt = "ANGLES", shut + 1
         else:
-            kinds.append(t)
-        texts.append(t)
+            kind = _kind(lang, g.terminals, t)
+        state = state[kind]
+        if state is None:
+            return None
+        kinds.append(kind)
+        at.append(here)
+        if kind == "BODY":
+            return kinds, at
+        j = nxt
     return None
 
 
+def _body_end(tk: Tokens, i: int, body: int) -> tuple[int, bool]:
+    """(end in the text, whether the body is cut off) of the body that begins with token ``body`` of a function at token ``i``."""
+    texts, n = tk.texts, len(tk.texts)
+    if texts[body] == "=>" and body + 1 < n and texts[body + 1] == "{":
+        body += 1
+    if texts[body] == "{":
+        shut = tk.shut.get(body)
+        cut = shut is None or texts[shut] != "}"
+        return (len(tk.text) if shut is None else tk.ends[shut] if not cut else tk.starts[shut]), cut
+    j = body + 1
+    if tk.base == "python":
+        if j >= n:
+            return len(tk.text), True
+        column = tk.starts[i] - (tk.text.rfind("\n", 0, tk.starts[i]) + 1)
+        while j < n:
+            if texts[j][0] == "\n" and (j + 1 >= n or len(tk.text[tk.text.rfind("\n", 0, tk.starts[j + 1]) + 1 : tk.starts[j + 1]]) <= column):
+                return tk.ends[j - 1], j == body + 1
+            j = tk.shut.get(j, n - 1) + 1 if texts[j] in _CLOSE else j + 1
+        return len(tk.text), False
+    while j < n:
+        t = texts[j]
+        if t in _OPEN or t in ";," or tk.fresh[j] and j > body + 1 and (t[0].isalnum() or t[0] in "_$@") and (texts[j - 1][-1].isalnum() or texts[j - 1][-1] in "_$)]}\"'`"):
+            break
+        j = tk.shut.get(j, n - 1) + 1 if t in _CLOSE else j + 1
+    return (tk.ends[j - 1] if j > body + 1 else tk.ends[body]), j == body + 1
+
+
 def _names(kinds: list[str], p: int) -> bool:
     """Whether the token at ``p`` stands where a function's name does: after its keyword, or before parameters or ``=``."""
     if p and kinds[p - 1] in ("def", "fn"):
@@ -140,53 +236,104 @@ def _names(kinds: list[str], p: int) -> bool:
 def _parse_header(lang: str, kinds: list[str]) -> int | None:
     """Index of the function's name token if the header is one of a function, -1 if it has no name."""
     key = (lang == "javascript" and "typescript" or lang, *kinds)
-    if key not in _shapes:
+    if key in _shapes:
+        return _shapes[key]
+    g = pda.bundled(_GRAMMAR[lang])
+    r = gll.parse(g, kinds)
+    at = None
+    if len(kinds) in r.ends.get((g.start, 0), ()):
+        name = g.number["name"]
+        found = [p for (rule, p), ends in r.ends.items() if rule == name and ends]
+        at = max((p for p in found if _names(kinds, p)), default=-1)
+    if len(kinds) <= 60:  # longer shapes hardly recur
         if len(_shapes) > 50_000:
             _shapes.clear()
-        g = pda.bundled(_GRAMMAR[lang])
-        r = gll.parse(g, kinds)
-        at = None
-        if len(kinds) in r.ends.get((g.start, 0), ()):
-            name = g.number["name"]
-            found = [p for (rule, p), ends in r.ends.items() if rule == name and ends]
-            at = max((p for p in found if _names(kinds, p)), default=-1)
         _shapes[key] = at
-    return _shapes[key]
+    return at
+
+
+class Function(NamedTuple):
+    lang: str
+    name: str | None
+    signature: str
+    comments: list[str]
+    first: bool  # the row begins with it
+    start: int
+    body: int  # end of the token that opens the body
+    end: int
+    cut: bool
+    plain: bool  # no method: it may stand alone
+
+
+def _function(tk: Tokens, i: int) -> tuple[Function, int] | None:
+    h = _header(tk, i)
+    at = h and _parse_header(tk.lang, h[0])
+    if at is None:
+        return None
+    kinds, where = h
+    begin, body = tk.starts[i], tk.ends[where[-1]]
+    end, cut = _body_end(tk, i, where[-1])
+    plain = tk.base != "javascript" or not {"function", "const", "let", "var"}.isdisjoint(kinds)
+    name = tk.texts[where[at]] if at >= 0 else None
+    return Function(tk.lang, name, tk.text[begin:body].rstrip("{:").strip(), tk.before(i), i == 0, begin, body, max(end, body), cut, plain), where[-1]
 
 
-def find_function(lang: str, text: str):
-    """(language, name, signature, comments before it, start of the body) of the function that the text begins with."""
-    text = text.lstrip("﻿")
+def _begin(text: str) -> tuple[str, int]:
+    text = text.lstrip("\ufeff")
     m = _JUNK.match(text)
-    start = m.end() if m else 0
-    for k in (lang, *(x for x in _ORDER if x != lang and not (x == "typescript" and lang == "javascript"))):
-        h = _header(k, text, start)
-        if h is None or h[0][-1] != "BODY":
-            continue
-        at = _parse_header(k, h[0])
-        if at is not None:
-            kinds, texts, comments, begin, end = h
-            return k, texts[at] if at >= 0 else None, text[begin:end].rstrip("{:").strip(), comments, end, text
-    return None
+    return text, m.end() if m else 0
 
 
-# Marks, tags, directives, notices and placeholders that are no description.
+def _own(lang: str, text: str, start: int):
+    """(tokens, function, its body token) of the first language in which a function begins the text, else those of ``lang``."""
+    own = None
+    for k in (lang, *(x for x in _ORDER if x != lang and not (x == "typescript" and lang == "javascript"))):
+        tk = Tokens(k, text, start)
+        own = own or tk
+        f = _function(tk, 0)
+        if f:
+            return tk, *f
+    return own, None, 0
+
+
+def find_function(lang: str, text: str) -> Function | None:
+    """The function that the text begins with."""
+    return _own(lang, *_begin(text))[1]
+
+
+def functions_in(lang: str, text: str) -> tuple[str, list[Function]]:
+    """The text without its mark, and all functions and methods in it, from the first place on where one parses."""
+    text, start = _begin(text)
+    tk, f, body = _own(lang, text, start)
+    out = [f] if f else []
+    for i in range(body + 1 if f else 1, len(tk.texts)):
+        if tk.fresh[i] and i > body:
+            got = _function(tk, i)
+            if got:
+                out.append(got[0])
+                body = got[1]
+    return text, out
+
+
+def body_state(f: Function, text: str) -> str:
+    """``whole``, ``cut`` or ``broken``: the function through the whole grammar of its language."""
+    part = text[f.start : f.end]
+    if f.lang == "python":
+        part = textwrap.dedent(" " * (f.start - (text.rfind("\n", 0, f.start) + 1)) + part)
+    elif not f.plain:
+        part = f"class _ {{ {part}\n}}"
+    if first_error(f.lang, part) is None:
+        return "whole"
+    return "cut" if f.cut else "broken"
+
+
+# Marks, tags and directives that are no description.
 _MARK = re.compile(r"^\s*(?:/\*+!?|\*+/|\*(?!\*)|//+!?|#+!?|--)?[ \t]?|\s*\*+/\s*$")
 _TAG = re.compile(r"^\s*(?:[@\\](?:param|arg|argument|returns?|throws|type|typedef|template|see|since|version|author|deprecated|example|yields?|raises?|exception|private|public|internal|override)\b(?:\s*\{[^}]*\})?(?:\s+\[?[\w$.]*[a-z0-9][A-Z_][\w$.]*\]?(?=\s|$))?(?:\s*[-:])?|:(?:param|type|return|returns|rtype|raises|raise|arg|yields?|ivar|var|cvar)\b[^:\n]*:)\s*")
 _DIRECTIVE = re.compile(
     r"^\s*(?:eslint\b|eslint-|prettier-|istanbul\b|nolint|noqa|@ts-|ts-ignore|tslint|jshint|jslint|pylint|flake8|mypy|type:\s*ignore|pragma|clang-format|clang-tidy|NOLINT|rustfmt|clippy|go:|\+build|lint:|isort|fmt:|c8 ignore|v8 ignore|webpack|region\b|endregion\b|@formatter|sourceMappingURL|coverage|yapf|black:|codespell|cspell|spell-checker|vim:|-\*-)",
     re.I,
 )
-_LICENCE = re.compile(
-    r"copyright|all rights reserved|\blicen[sc]ed?\b|licen[sc]e|SPDX|\bpermission is hereby\b|without warranty|as is\b.*warrant|redistribut|you may copy|"
-    r"this file is part of|governed by the terms|notice (?:stays|file|that comes)|lizenz|licence|licencia|licenza|licença|лиценз|许可|ライセンス|著作権|版权",
-    re.I,
-)
-_HOLDER = re.compile(
-    r"^\W*(?:todo|fixme|xxx|tbd|n/a|docs?|\.\.\.|see above|tbc|none|placeholder|description)\W*$|\b(?:todo|fixme|tbd)\b\s*:|goes (?:in this place|here)|fill in|please (?:describe|document)|auto[- ]?(?:generated )?stub|"
-    r"insert an? .* here|describe what|add (?:a )?(?:description|documentation|docs?)\b|lorem ipsum|write (?:me|docs?|documentation)|to be (?:documented|written|done)|documentation (?:missing|pending|here)|no description|short summary of",
-    re.I,
-)
 _CJK = re.compile("[぀-ヿ㐀-䶿一-鿿]")
 _WORD = re.compile(r"[^\W\d_][\w'’]*")
 _PLAIN = re.compile(r"(?<![\w.])[^\W\d_]+(?![\w(\[.]\w|[(\[])")
@@ -216,7 +363,7 @@ def clean(doc: str) -> str:
             line = line[m.end() :].strip()
         if not line or _DIRECTIVE.match(line) or not re.search(r"\w", line):
             continue
-        if code_like(line) or _LICENCE.search(line) or _HOLDER.search(line):
+        if code_like(line):
             continue
         out.append(line)
     return "\n".join(out)
@@ -238,60 +385,68 @@ def descriptive(text: str, name: str | None) -> bool:
 _PROPER = re.compile(r"\b[A-Z][a-z]+\b(?!\()|\d+")
 
 
-def template_key(text: str) -> int:
-    """Hash of a description without proper names and numbers; words with inner capitals or ``_`` stay."""
+def template_key(text: str, name: str | None = None) -> int:
+    """Hash of a description without proper names, numbers and the function's own name; other words with inner capitals or
+    ``_`` stay."""
+    if name:
+        text = text.replace(name, "0")
     return xxhash.xxh3_64_intdigest(re.sub(r"\s+", " ", _PROPER.sub("0", text)).lower()) - (1 << 63)
 
 
 _FIRST = re.compile(r"\s*(?:#[^\n]*\n\s*)*([rRuU]?(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|$)|'''(?:[^\\]|\\[\s\S])*?(?:'''|$)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))")
 
 
-def describe(lang: str, content: str, docstring: str | None, given: str | None):
-    """(name, signature, description) of the documented function that the row holds, or None."""
-    f = find_function(lang, content)
-    if f is None:
-        return None
-    k, name, signature, comments, body, text = f
-    sources = [docstring, "\n".join(comments)]
-    if k == "python" and (m := _FIRST.match(text, body)):
-        sources.append(m[1] if m[1].endswith(('"', "'")) else m[1] + m[1].lstrip("rRuU")[:3])
-    name = name or (re.sub(r" \(part \d+\)$", "", given) if given else None)
-    for s in sources:
-        if s and descriptive(d := clean(s), name):
-            return name, signature, d
-    return None
+def describe(lang: str, content: str, docstring: str | None, given: str | None) -> list[tuple]:
+    """(place in the row, name, signature, content, description, state of the body) of the documented functions of a row; place
+    0 is the function that the row begins with."""
+    text, found = functions_in(lang, content)
+    out = []
+    for place, f in enumerate(found, 0 if found and found[0].first else 1):
+        sources = [docstring if f.first else None, "\n".join(f.comments)]
+        if f.lang == "python" and (m := _FIRST.match(text, f.body)):
+            sources.append(m[1] if m[1].endswith(('"', "'")) else m[1] + m[1].lstrip("rRuU")[:3])
+        name = f.name or (re.sub(r" \(part \d+\)$", "", given) if given and f.first else None)
+        for s in sources:
+            if s and descriptive(d := clean(s), name):
+                out.append((place, name, f.signature, content if f.first else text[f.start : f.end], d, body_state(f, text)))
+                break
+    return out
+
+
+_OUT = "id string, place int, name string, signature string, content string, description string, body string, template bigint"
 
 
 def documented(chunks: DataFrame) -> DataFrame:
-    """(id, name, signature, content, description, template): rows that hold a documented function."""
+    """(id, place, name, signature, content, description, body, template): the documented functions of the rows."""
 
     def run(t: pa.Table) -> pa.Table:
         out = []
         for i, (lang, content, doc, name) in enumerate(zip(*(t.column(c).to_pylist() for c in ("lang", "content", "docstring", "name")))):
-            r = describe(lang, content, doc, name)
-            if r:
-                out.append((i, *r, template_key(r[2])))
-        at = pa.array([o[0] for o in out], pa.int64())
-        cols = {"id": t.column("id").take(at), "file_path": t.column("file_path").take(at)}
-        cols |= {n: pa.array([o[k] for o in out], pa.string()) for k, n in ((1, "name"), (2, "signature"))}
-        cols |= {"content": t.column("content").take(at), "description": pa.array([o[3] for o in out], pa.string()), "template": pa.array([o[4] for o in out], pa.int64())}
-        return pa.table(cols)
+            out += [(i, *r, template_key(r[4], r[1])) for r in describe(lang, content, doc, name)]
+        cols = {"id": t.column("id").take(pa.array([o[0] for o in out], pa.int64())), "place": pa.array([o[1] for o in out], pa.int32())}
+        cols |= {n: pa.array([o[k] for o in out], pa.string()) for k, n in enumerate(("name", "signature", "content", "description", "body"), 2)}
+        return pa.table(cols | {"template": pa.array([o[7] for o in out], pa.int64())})
 
     rows = chunks.filter("id is not null and content is not null and (node_type is null or node_type <> 'fallback') and not id rlike '_(p[1-9][0-9]*|fallback[0-9]+)$'")
-    part = rows.select("id", "file_path", language_of(F.col("file_path")).alias("lang"), "content", "docstring", "name").filter("lang is not null")
-    return part.mapInArrow(per_block(run, 16 << 20), "id string, file_path string, name string, signature string, content string, description string, template bigint")
+    part = rows.select("id", language_of(F.col("file_path")).alias("lang"), "content", "docstring", "name").filter("lang is not null")
+    return part.mapInArrow(per_block(run, 16 << 20), _OUT)
+
+
+def _without_templates(d: DataFrame) -> DataFrame:
+    """Without the descriptions that stand at ``TEMPLATE`` or more functions of different names, counted exactly."""
+    names = d.groupBy("template", "name").agg(F.count("*").alias("c"))  # combined before both shuffles
+    common = names.groupBy("template").agg(F.count("name").alias("n")).filter(F.col("n") >= TEMPLATE).select("template")
+    return d.join(common, "template", "left_anti")
 
 
 def pairs(chunks: DataFrame) -> DataFrame:
-    """(id, name, signature, content, description) without descriptions that recur as templates; one row per id."""
-    d = documented(chunks)
-    common = (
-        d.groupBy("template").agg(F.approx_count_distinct("name").alias("n"), F.count("*").alias("c"))
-        .filter((F.col("c") >= TEMPLATE) & (F.col("n") >= TEMPLATE)).select("template")
-    )
-    kept = d.join(common, "template", "left_anti")
-    return kept.groupBy("id").agg(F.min(F.struct("name", "signature", "content", "description")).alias("r")).select("id", "r.*")
+    """(id, place, name, signature, content, description, body) without descriptions that recur as templates; one row per id and
+    place."""
+    kept = _without_templates(durable(documented(chunks)))
+    return kept.groupBy("id", "place").agg(F.min(F.struct("name", "signature", "content", "description", "body")).alias("r")).select("id", "place", "r.*")
 
 
 def documented_ids(chunks: DataFrame) -> DataFrame:
-    return pairs(chunks).select("id")
+    """(id) of the rows that begin with a documented function."""
+    d = durable(documented(chunks).select("id", "place", "name", "template"))
+    return _without_templates(d).filter("place = 0").select("id").distinct()

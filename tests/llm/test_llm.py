@@ -464,7 +464,7 @@ def test_what_is_no_function():
 
 def test_descriptions():
     yes = [GOOD_DOC, f"/**\n * {GOOD_DOC}\n * @param a\n */", "// @returns " + GOOD_DOC, ":return: " + GOOD_DOC, "每次fooBar从列表取得结果然后返回。"]
-    no = ["", "TODO", "Opens the big door.", "This is the open big door function for the big door.", "Description of the method goes in this place.", "/** ======== */", "// eslint-disable-next-line no-shadow", "@param a\n@param b\n@returns", "const a = b.c(d, 1);", "try:\nexcept ValueError as err:", "Copyright (c) 2021 the X authors. All rights reserved. Use of this file is governed by the terms.", "如果列表为空"]
+    no = ["", "TODO", "Opens the big door.", "This is the open big door function for the big door.", "/** ======== */", "// eslint-disable-next-line no-shadow", "@param a\n@param b\n@returns", "const a = b.c(d, 1);", "try:\nexcept ValueError as err:", "如果列表为空"]
     assert all(functions.descriptive(functions.clean(d), "openBigDoor") for d in yes)
     for d in no:
         assert not functions.descriptive(functions.clean(d), "openBigDoor"), d
@@ -483,6 +483,30 @@ def test_documented_rows(spark):
     assert functions.documented_ids(df.filter("false")).count() == 0
 
 
+def test_repeated_texts_are_templates_and_others_stay(spark):
+    same = ["Description of the method goes in this place.", "Copyright (c) 2021 the Xab authors. All rights reserved. Use of this file is governed by the terms.", "TODO: somebody should document {} when there is time for it"]
+    rows = [(f"s{n}_{k}", "/r/a.ts", f"// {t.format(f'runJob{k}').replace('Xab', 'ABCDEFG'[k] + 'ba')}\nfunction runJob{k}() {{}}", 1, None, "function_declaration", None) for n, t in enumerate(same) for k in range(functions.TEMPLATE)]
+    real = ["Returns whether the license key of the given seat has expired.", "Return every open todo: the oldest first, the rest by name.", "All copyright lines of a page in the order in which they stand."]
+    rows += [(f"r{k}", "/r/a.py", f'def f{k}(x):\n    """{t}"""\n    return x', 1, None, "function_definition", None) for k, t in enumerate(real)]
+    rows += [(f"q{k}", "/r/a.go", f"// The very same text at one function of one name here.\nfunc same() {{\n}}", k, None, "function_declaration", None) for k in range(9)]  # one name: no template
+    assert {r.id for r in functions.documented_ids(chunks(spark, rows)).collect()} == {"r0", "r1", "r2"} | {f"q{k}" for k in range(9)}
+
+
+def test_functions_within_rows_and_broken_bodies(spark):
+    d = "// Every caller of fooBar waits for lock number {} and then gives up."
+    texts = {
+        "js": d.format(1) + "\nfunction pick(a, b) { return (1 + ; ]] }\n" + d.format(2) + "\nfunction next(a) { return a }",
+        "ts": "class A {\n  " + d.format(3) + "\n  async foo(x: number): Promise<void> { if (a) { b(); } }\n  " + d.format(4) + "\n  bar = 3;\n}",
+        "rs": d.format(5).replace("//", "///") + "\nfn f<T0>() where " + ", ".join(f"T{k}: A + B<C>" for k in range(40)) + " { 1 }",
+        "py": 'class A:\n    def f(self):\n        """' + d.format(6)[3:] + '"""\n        return (1\n\n    def g(self, x):\n        """' + d.format(7)[3:] + '"""\n        return x\n',
+        "go": d.format(8) + "\nfunc f(x int) (int, error) {\n\treturn 1, nil\n}\n\n" + d.format(9) + "\nfunc (s *T) g() {\n\tfor {\n",
+    }
+    rows = [(k, f"/r/a.{k}", t, 1, None, "x", None) for k, t in texts.items()]
+    got = {(r.id, r.place, r.name, r.body) for r in functions.pairs(chunks(spark, rows)).collect()}
+    assert got == {("js", 0, "pick", "broken"), ("js", 1, "next", "whole"), ("ts", 1, "foo", "whole"), ("rs", 0, "f", "whole"), ("py", 1, "f", "broken"), ("py", 2, "g", "whole"), ("go", 0, "f", "whole"), ("go", 1, "g", "cut")}
+    assert {r.id for r in functions.documented_ids(chunks(spark, rows)).collect()} == {"js", "rs", "go"}
+
+
 # -- problem 2 ----------------------------------------------------------------------------------------------------------
 def test_language_model_on_held_out_sentences():
     model = languages.fit([])
