@@ -117,12 +117,18 @@ def reread_positions(runs: DataFrame) -> list[tuple]:
     return out
 
 
-_PAIR = ("file_path", "indexed_at", "delivery_id", "content_hash", "arrived_at")
+_PAIR = ("file_path", "indexed_at", "delivery_id", "content_hash", "arrived")
 
 
-def _when(df: DataFrame, name: str, value) -> Column:
-    """``value`` (a datetime, or a text in the session's zone) as a literal to compare with a column."""
-    return F.lit(value).cast(df.schema[name].dataType) if isinstance(value, str) else F.lit(value)
+def _micros(value) -> Column:
+    """A time (a datetime, or a text or a column in the session's zone) in microseconds: a number reaches the row groups of a
+    Parquet file as a filter, a time without zone does not."""
+    return F.unix_micros((value if isinstance(value, Column) else F.lit(value)).cast("timestamp"))
+
+
+def arrivals(feed: DataFrame) -> DataFrame:
+    """The cleaned feed as (file_path, indexed_at, delivery_id, content_hash, arrived)."""
+    return clean_feed(feed).withColumn("arrived", _micros(F.col("arrived_at"))).select(*_PAIR)
 
 
 class IncrementalReader:
@@ -157,18 +163,17 @@ class IncrementalReader:
 
         ``open_from``: start of the oldest transaction that is open now; the next run rereads from there (see
         :func:`reread_positions`). Without it the next run rereads from ``read_upto``. ``clean``: the feed is one of
-        :func:`clean_feed` already.
+        :func:`arrivals` already.
         """
         if run_id not in self.store.meta("runs", []):
-            f = (feed if clean else clean_feed(feed)).select(*_PAIR)
-            f = f.filter(F.col("arrived_at") <= _when(f, "arrived_at", read_upto))
+            f = (feed if clean else arrivals(feed)).filter(F.col("arrived") <= _micros(read_upto))
             pair, kept = f.schema, StructType([StructField("run_id", IntegerType()), *f.schema.fields[:4], StructField("changed", BooleanType())])
             since, held = self.store.meta("reread_from"), self.store.read("pairs", pair)
             if since is not None:
-                late = F.col("arrived_at") >= _when(f, "arrived_at", since)
+                late = F.col("arrived") >= _micros(since)
                 f, held = f.filter(late), held.filter(late)
             key = list(_PAIR[:4])
-            new = f.groupBy(*key).agg(F.max("arrived_at").alias("arrived_at")).join(held, key, "left_anti")
+            new = f.groupBy(*key).agg(F.max("arrived").alias("arrived")).join(held, key, "left_anti")
             pairs = self.store._write("pairs", new, None)
             fresh = self.spark.read.schema(pair).parquet(self.store.folder.at(pairs[""]))
             tops = fresh.groupBy("file_path").agg(F.max(_stamp()).alias("t"))
@@ -194,7 +199,7 @@ def replay_ledger(feed: DataFrame, runs: DataFrame, path: str | None = None) ->
     at = path or f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}"
     reader = IncrementalReader(spark, at)
     stretch = f"{at}/feed-{uuid.uuid4().hex}"
-    clean_feed(feed).repartitionByRange("arrived_at").sortWithinPartitions("arrived_at").write.parquet(stretch)
+    arrivals(feed).repartitionByRange("arrived").sortWithinPartitions("arrived").write.option("parquet.block.size", 8 << 20).parquet(stretch)
     clean = spark.read.parquet(stretch)
     for run, upto, open_from in reread_positions(runs):
         reader.run(run, clean, upto, open_from, clean=True)
