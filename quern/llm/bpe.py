@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from quern.llm.blocks import per_block
+from quern.llm.common import spread
 
 TOKENIZERS = os.environ.get("QUERN_TOKENIZERS", "/opt/tokenizers")
 
@@ -79,8 +80,9 @@ def _byte_letters() -> dict[str, int]:
 class Bpe:
     """Merge table of one vocabulary. Loaded once per worker by :func:`load`."""
 
-    def __init__(self, path: str):
-        model = json.load(open(path, encoding="utf-8"))["model"]
+    def __init__(self, text: str):
+        """``text``: a vocabulary file."""
+        model = json.loads(text)["model"]
         vocab = model["vocab"]
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
         self.n = len(pairs)
@@ -187,11 +189,18 @@ class Bpe:
                 found = _PRE.findall(p)
                 widths[i] = len(found)
                 inner += [count(q, len(pre)) for q in found]
-        ids, off = self.encode_pieces([p.encode("utf-8", "replace") for p in pre])
+        ids, off = self.encode_pieces([_bytes(p) for p in pre])
         ids, off = _gather(ids, off, np.array(inner, np.int64), widths)
         return _gather(ids, off, np.array(flat, np.int64), lens)
 
 
+def _bytes(p: str) -> bytes:
+    try:
+        return p.encode()
+    except UnicodeEncodeError:
+        return re.sub("[\ud800-\udfff]", "\ufffd", p).encode()
+
+
 def _gather(vals: np.ndarray, off: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows of a ragged array, picked by ``flat`` and joined into rows of ``lens`` picks."""
     size = (off[1:] - off[:-1])[flat] if len(flat) else np.zeros(0, np.int64)
@@ -203,12 +212,29 @@ def _gather(vals: np.ndarray, off: np.ndarray, flat: np.ndarray, lens: np.ndarra
 
 
 _loaded: dict[str, Bpe] = {}
+LARGEST = 64 << 20  # bytes of a vocabulary
 
 
 def load(path: str) -> Bpe:
-    if path not in _loaded:
-        _loaded[path] = Bpe(path)
-    return _loaded[path]
+    """The encoder of a vocabulary file of this machine."""
+    with open(path, encoding="utf-8") as f:
+        return Bpe(f.read())
+
+
+def shipped(df: DataFrame, path: str):
+    """A function that gives the encoder on any executor: the driver reads the file, whose size is checked, and broadcasts it."""
+    if os.path.getsize(path) > LARGEST:
+        raise ValueError(f"{path} has more than {LARGEST} bytes")
+    with open(path, encoding="utf-8") as f:
+        text = df.sparkSession.sparkContext.broadcast(f.read())
+    name = f"{path}:{os.path.getmtime(path)}"
+
+    def get() -> Bpe:
+        if name not in _loaded:
+            _loaded[name] = Bpe(text.value)
+        return _loaded[name]
+
+    return get
 
 
 def vocabulary(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
@@ -216,29 +242,29 @@ def vocabulary(name: str = "byte_bpe_50k", folder: str | None = None) -> str:
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocab: str | None = None) -> DataFrame:
-    """(id, ids array<int>) of every row; narrow, one pass, no shuffle."""
-    path = vocab or vocabulary()
+    """(id, ids array<int>) of every row; one narrow pass, in front of which an input of few splits is spread over the cores."""
+    encoder = shipped(df, vocab or vocabulary())
 
     def run(t: pa.Table) -> pa.Table:
-        ids, off = load(path).encode(t.column(1).to_pylist())
+        ids, off = encoder().encode(t.column(1).to_pylist())
         lists = pa.LargeListArray.from_arrays(pa.array(off, pa.int64()), pa.array(ids.astype(np.int32)))
         return pa.table({"k": t.column(0), "ids": lists.cast(pa.list_(pa.int32()))})
 
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(id_col, text_col).mapInArrow(per_block(run, 24 << 20), f"k {kind}, ids array<int>")
+    out = spread(df.select(id_col, text_col)).mapInArrow(per_block(run, 24 << 20), f"k {kind}, ids array<int>")
     return out.withColumnRenamed("k", id_col)
 
 
 def count_tokens(df: DataFrame, keys: list[str], text_col: str = "text", vocab: str | None = None) -> DataFrame:
     """``keys`` and ``n_tokens`` of every row."""
-    path = vocab or vocabulary()
+    encoder = shipped(df, vocab or vocabulary())
 
     def run(t: pa.Table) -> pa.Table:
-        _, off = load(path).encode(t.column("__text").to_pylist())
+        _, off = encoder().encode(t.column("__text").to_pylist())
         return t.drop_columns(["__text"]).append_column("n_tokens", pa.array(np.diff(off)))
 
     from pyspark.sql import functions as F
 
     part = df.select(*keys, F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{k}` {part.schema[k].dataType.simpleString()}" for k in keys)
-    return part.mapInArrow(per_block(run, 24 << 20), f"{schema}, n_tokens bigint")
+    return spread(part).mapInArrow(per_block(run, 24 << 20), f"{schema}, n_tokens bigint")

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quern.operators.durable import durable  # noqa: F401
+
 U = np.uint64
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """``df`` kept in the folder of ``spark.checkpoint.dir``, which all executors share; a temporary one only where unset."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-"))
-    return df.checkpoint()
+BROADCAST_KEYS = 200_000  # small keys that may be broadcast
+
+
+def few(df: DataFrame, most: int = BROADCAST_KEYS) -> DataFrame:
+    """``df`` for a join: broadcast if it has no more than ``most`` rows, else left to be shuffled."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def spread(df: DataFrame, times: int = 3) -> DataFrame:
+    """``df`` in at least ``times`` partitions a core, for dear work on few input splits; unchanged where the input has as many."""
+    want = times * df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
 
 
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:

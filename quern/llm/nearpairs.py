@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import per_block
-from quern.llm.common import U, current, durable, mix64
+from quern.llm.common import U, current, durable, few, mix64
 
 RUNS = 10  # a round
 ROUNDS = 5  # at most
@@ -45,7 +45,6 @@ LAMBDA = 0.7
 SMALL = 64  # sets in a bucket that is compared without splitting
 BLOCK = 8192  # sets in a block of a bucket that no level splits
 COPIES = 4096  # rows of one class that are paired in one task
-BROADCAST_KEYS = 200_000  # keys (8 bytes each) that may be broadcast
 log = logging.getLogger("quern")
 _WORD = re.compile("[a-z0-9_]+")
 
@@ -218,18 +217,13 @@ def _compare(rows: DataFrame, least: float, blocked: bool = False) -> DataFrame:
     )
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """``keys`` for a join: broadcast if there are no more than ``BROADCAST_KEYS``, else shuffled."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
 def candidate_classes(sets: DataFrame, least: float, start: int = 0) -> DataFrame:
     """(a, b, runs), a < b, of the classes that share a bucket in a round and whose sketches are close."""
     keys, rows, paths = (sets.mapInArrow(_choose(w, start), w) for w in (_KEY, _ROW, _PATH))
     out = None
     for depth in range(1, LEVELS + 1):
         big = durable(keys.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > SMALL))  # keys only; combined first
-        some = _few(big)
+        some = few(big)
         small = _compare(rows.join(some.select("key"), "key", "left_anti"), least)
         out = small if out is None else out.unionByName(small)
         if big.isEmpty():
@@ -269,7 +263,7 @@ def _checked(sets: DataFrame, cand: DataFrame, least: float) -> DataFrame:
     """The candidates that have the similarity on their full sets; sets without a candidate are not shuffled."""
     cand = durable(cand)
     wanted = durable(cand.select(F.col("a").alias("cls")).unionAll(cand.select("b")).distinct())
-    some = sets.join(_few(wanted), "cls", "left_semi").select("cls", "shingles")
+    some = sets.join(few(wanted), "cls", "left_semi").select("cls", "shingles")
     pairs = (
         cand.join(some.select(F.col("cls").alias("a"), F.col("shingles").alias("sa")), "a")
         .join(some.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")

@@ -98,17 +98,33 @@ def p10_found(spark, sf):
 
 @_query
 def p10_lines(spark, sf):
-    return repetition.line_frequency(_table(spark, sf, "documents"))
+    return repetition.line_frequency(_table(spark, sf, "documents")).drop("common")
 
 
-ORACLE["p10_lines"] = r"""
-WITH l AS (
-  SELECT doc_id, repo_id, unnest(regexp_split_to_array(text, '\r\n|\r|\n')) AS line FROM documents
+@_query
+def p10_cleaned(spark, sf):
+    return repetition.without_common_lines(_table(spark, sf, "documents"))
+
+
+_P10_LINES = r"""
+WITH p AS (
+  SELECT doc_id, repo_id, regexp_split_to_array(text, '\r\n|\r|\n') AS parts FROM documents
+), l AS (
+  SELECT doc_id, repo_id, unnest(parts) AS line, unnest(range(len(parts))) AS i FROM p
+), m AS (
+  SELECT *, regexp_replace(lower(trim(line, ' ')), '[0-9]', '0', 'g') AS k FROM l
 ), n AS (
-  SELECT doc_id, repo_id, regexp_replace(lower(trim(line, ' ')), '[0-9]', '0', 'g') AS k, count(*) AS c FROM l
-  WHERE trim(line, ' ') <> '' GROUP BY ALL
-), hot AS (SELECT repo_id, k FROM n GROUP BY ALL HAVING count(*) > 20)
-SELECT doc_id, sum(c)::BIGINT AS n_lines, sum(CASE WHEN hot.k IS NULL THEN 0 ELSE c END)::BIGINT AS n_common,
-  sum(CASE WHEN hot.k IS NULL THEN 0 ELSE c END) <= 0.5 * sum(c) AS kept
-FROM n LEFT JOIN hot USING (repo_id, k) GROUP BY doc_id
+  SELECT doc_id, repo_id, k, count(*) AS c FROM m WHERE k <> '' GROUP BY ALL
+), hot AS (SELECT repo_id, k FROM n GROUP BY ALL HAVING count(*) > 20
+), lines AS (
+  SELECT doc_id, sum(c)::BIGINT AS n_lines, sum(CASE WHEN hot.k IS NULL THEN 0 ELSE c END)::BIGINT AS n_common,
+    sum(CASE WHEN hot.k IS NULL THEN 0 ELSE c END) <= 0.5 * sum(c) AS kept
+  FROM n LEFT JOIN hot ON n.k = hot.k AND n.repo_id IS NOT DISTINCT FROM hot.repo_id GROUP BY doc_id
+)
+"""
+ORACLE["p10_lines"] = _P10_LINES + "SELECT * FROM lines"
+ORACLE["p10_cleaned"] = _P10_LINES + """
+SELECT m.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (hot.k IS NULL), '') AS text
+FROM m JOIN lines ON m.doc_id = lines.doc_id AND lines.kept LEFT JOIN hot ON m.k = hot.k AND m.repo_id IS NOT DISTINCT FROM hot.repo_id
+GROUP BY m.doc_id
 """

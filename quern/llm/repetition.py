@@ -1,7 +1,7 @@
 """Repetition inside a single document (problem 10).
 
-The named method, line frequency across documents (:func:`line_frequency`), finds boilerplate that many documents of
-a repository share. It cannot see a text that repeats itself without line ends, nor tell words that came before from
+The named method, line frequency across documents (:func:`line_frequency`, :func:`without_common_lines`), finds and removes
+boilerplate that many documents of a repository share. It cannot see a text that repeats itself without line ends, nor tell words that came before from
 words that did not, so the required share is measured by :func:`repeated_share`: every start of ``n`` successive words
 is hashed, and a start whose hash has come before in the same document marks its ``n`` words as repeated.
 
@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.blocks import per_block
+from quern.llm.common import BROADCAST_KEYS, durable
 
 _CJK = "぀-ヿ㐀-䶿一-鿿"
 _WORD = re.compile(f"[{_CJK}]|[^\\W_{_CJK}]+")
@@ -83,6 +84,29 @@ def repeated_share(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
+SALTS = 32
+
+
+def _lines(df: DataFrame, id_col: str, host_col: str, text_col: str) -> DataFrame:
+    """(__d, __h, k, g, c): of every document its distinct normalised lines as 128 bits, with their number."""
+    line = _norm(F.col("line"))
+    return (
+        df.select(F.col(id_col).alias("__d"), F.col(host_col).alias("__h"), F.explode(F.split(text_col, _END)).alias("line"))
+        .select("__d", "__h", line.alias("n"))
+        .filter(F.col("n") != "")
+        .select("__d", "__h", F.xxhash64("n").alias("k"), F.xxhash64(F.lit("second"), "n").alias("g"))
+        .groupBy("__d", "__h", "k", "g")
+        .agg(F.count("*").alias("c"))
+    )
+
+
+_END = "\r\n|\r|\n"
+
+
+def _norm(line):
+    return F.regexp_replace(F.lower(F.trim(line)), "[0-9]", "0")
+
+
 def line_frequency(
     df: DataFrame,
     id_col: str = "doc_id",
@@ -91,29 +115,48 @@ def line_frequency(
     max_docs: int = 20,
     least_left: float = 0.5,
 ) -> DataFrame:
-    """The named method: (id, n_lines, n_common, kept) of every document with a line.
+    """The named method: (id, n_lines, n_common, kept, common) of every document with a line.
 
     A line is normalised (trimmed, lower case, digits as 0) and hashed; it is common if more than ``max_docs``
-    documents of the host have it. A document is kept if at least ``least_left`` of its lines are not common.
-    Counts are combined before the shuffle, so a line that all documents share is no hot key.
+    documents of the host have it. A document is kept if at least ``least_left`` of its lines are not common; ``common`` has
+    the hashes of its common lines (as many as its own lines at most), by which :func:`without_common_lines` removes them.
+    A null host is a host of its own.
+
+    Counts are combined before the shuffle, so a line that all documents share is no hot key there. Common lines are joined
+    back by broadcast up to ``BROADCAST_KEYS``; beyond that each is sent to ``SALTS`` parts and the lines of a host to one
+    of these by their document, so no task holds all occurrences of a line.
     """
-    norm = F.regexp_replace(F.lower(F.trim(F.col("line"))), "[0-9]", "0")
-    lines = (
-        df.select(F.col(id_col).alias("__d"), F.col(host_col).alias("__h"), F.explode(F.split(text_col, "\r\n|\r|\n")).alias("line"))
-        .select("__d", "__h", F.xxhash64(norm).alias("k"), norm.alias("n"))
-        .filter(F.col("n") != "")
-        .groupBy("__d", "__h", "k")
-        .agg(F.count("*").alias("c"))
-    )
-    hot = lines.groupBy("__h", "k").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs)
+    lines = durable(_lines(df, id_col, host_col, text_col))
+    hot = lines.groupBy("__h", "k", "g").agg(F.count("*").alias("docs")).filter(F.col("docs") > max_docs).select(F.col("__h").alias("__h2"), "k", "g", F.lit(1).alias("hot"))
+    hot = durable(hot)
+    same = lines["__h"].eqNullSafe(hot["__h2"])
+    if hot.count() <= BROADCAST_KEYS:
+        met = lines.join(F.broadcast(hot), (lines["k"] == hot["k"]) & (lines["g"] == hot["g"]) & same, "left").drop(hot["k"]).drop(hot["g"])
+    else:
+        left = lines.withColumn("salt", F.pmod(F.xxhash64("__d"), F.lit(SALTS)).cast("int"))
+        right = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        met = left.join(right, (left["k"] == right["k"]) & (left["g"] == right["g"]) & (left["salt"] == right["salt"]) & left["__h"].eqNullSafe(right["__h2"]), "left").drop(right["k"]).drop(right["g"])
     return (
-        lines.join(hot.select("__h", "k", F.lit(1).alias("hot")), ["__h", "k"], "left")
-        .groupBy("__d")
-        .agg(F.sum("c").alias("n_lines"), F.sum(F.when(F.col("hot") == 1, F.col("c")).otherwise(0)).alias("n_common"))
+        met.groupBy("__d")
+        .agg(
+            F.sum("c").alias("n_lines"),
+            F.sum(F.when(F.col("hot") == 1, F.col("c")).otherwise(0)).alias("n_common"),
+            F.collect_set(F.when(F.col("hot") == 1, F.struct("k", "g"))).alias("common"),
+        )
         .select(
             F.col("__d").alias(id_col),
             "n_lines",
             "n_common",
             (F.col("n_common") <= (1 - least_left) * F.col("n_lines")).alias("kept"),
+            "common",
         )
     )
+
+
+def without_common_lines(df: DataFrame, id_col: str = "doc_id", host_col: str = "repo_id", text_col: str = "text", **limits) -> DataFrame:
+    """(id, text): the kept documents without their common lines, joined by line feeds; depleted documents and those without
+    a line are left out."""
+    common = line_frequency(df, id_col, host_col, text_col, **limits).filter("kept").select(F.col(id_col).alias("__d"), "common")
+    own = df.select(F.col(id_col).alias("__d"), F.split(text_col, _END).alias("parts"))
+    key = lambda x: F.struct(F.xxhash64(_norm(x)).alias("k"), F.xxhash64(F.lit("second"), _norm(x)).alias("g"))
+    return own.join(common, "__d").select(F.col("__d").alias(id_col), F.array_join(F.filter("parts", lambda x: ~F.array_contains("common", key(x))), "\n").alias(text_col))
