@@ -1,4 +1,4 @@
-"""Command line: ``python -m quern build|search|context|summary``."""
+"""Command line: ``python -m quern build|search|context|annotate|summary|sessions|forget|vacuum``."""
 
 from __future__ import annotations
 
@@ -22,7 +22,16 @@ def main(argv: list[str] | None = None) -> int:
         q.add_argument("--limit", type=int, default=10)
         q.add_argument("--path")
         q.add_argument("--pattern")
+    n = sub.add_parser("annotate")
+    n.add_argument("session")
+    n.add_argument("node")
+    n.add_argument("--note")
+    n.add_argument("--reason")
+    n.add_argument("--link", action="append", default=[])
     sub.add_parser("summary").add_argument("session")
+    sub.add_parser("sessions")
+    sub.add_parser("forget").add_argument("session")
+    sub.add_parser("vacuum")
     a = p.parse_args(argv)
 
     from pyspark.sql import SparkSession
@@ -38,6 +47,14 @@ def main(argv: list[str] | None = None) -> int:
         out, text = e.semantic_search(a.query, limit=a.limit, path=a.path, file_pattern=a.pattern), render.search
     elif a.command == "context":
         out, text = e.context_query(a.query, limit=a.limit, path=a.path, file_pattern=a.pattern), render.search
+    elif a.command == "annotate":
+        out, text = e.graph_annotate(a.session, a.node, a.note, a.link, a.reason), render.annotation
+    elif a.command == "sessions":
+        out, text = e.sessions(), "\n".join
+    elif a.command == "forget":
+        out, text = {"deleted": e.delete_session(a.session)}, str
+    elif a.command == "vacuum":
+        out, text = {"folders": e.vacuum()}, str
     else:
         out, text = e.session_summary(a.session), render.session
     print(json.dumps(out, default=str) if a.json else text(out))

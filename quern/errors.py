@@ -47,3 +47,7 @@ class DimensionMismatch(QuernError):
 
 class Conflict(QuernError):
     """Another writer has changed the store."""
+
+
+class Closed(QuernError):
+    """The engine takes no more work."""

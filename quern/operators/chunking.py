@@ -40,11 +40,11 @@ def _windows(df: DataFrame, text: str, width: Column, overlap: Column) -> DataFr
     )
 
 
-def line_windows(files: DataFrame, path: str = "file_path", content: str = "content") -> DataFrame:
-    """Overlapping line windows of every file; blank windows are skipped and do not count in the id."""
+def line_windows(files: DataFrame, path: str = "file_path", content: str = "content", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Overlapping line windows of every file, with the columns ``keep``; blank windows are skipped and do not count in the id."""
     from pyspark.sql import Window
 
-    w = _windows(files.select(path, content).filter(F.col(content).isNotNull()), content, F.lit(WINDOW), F.lit(WINDOW_OVERLAP))
+    w = _windows(files.select(path, content, *keep).filter(F.col(content).isNotNull()), content, F.lit(WINDOW), F.lit(WINDOW_OVERLAP))
     kept = w.filter(F.regexp_replace("part_text", r"\s+", "") != "")
     n = F.row_number().over(Window.partitionBy(path).orderBy("k")) - 1
     return kept.withColumn("n", n).select(
@@ -53,6 +53,7 @@ def line_windows(files: DataFrame, path: str = "file_path", content: str = "cont
         F.col("part_text").alias("content"),
         (F.col("first") + 1).alias("start_line"),
         (F.col("first") + F.col("n_lines")).alias("end_line"),
+        *keep,
     )
 
 

@@ -7,15 +7,19 @@ is deterministic and makes no claim to the quality of a trained model. A text th
 
 from __future__ import annotations
 
+import logging
 import math
 import re
 import zlib
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame
 
 from quern.cache import LruCache
-from quern.errors import EmbeddingFailed
+from quern.errors import EmbedderUnavailable, EmbeddingFailed
+
+log = logging.getLogger("quern")
 
 MAX_CHARS, BATCH = 32_768, 32
 DOCUMENT, QUERY = "search_document: ", "search_query: "
@@ -24,21 +28,23 @@ _WORD = re.compile(r"[A-Za-z]+|\d+|[^\W\dA-Za-z_]+")
 
 
 class HashEmbedder:
-    """Signed token hashing, length one."""
+    """Signed token hashing, length one. The distinct words of a batch are hashed once and added up in numpy."""
 
     def __init__(self, dimension: int = 64):
         self.dimension = dimension
 
     def __call__(self, texts: Sequence[str]) -> list[list[float]]:
-        return [self.one(t) for t in texts]
-
-    def one(self, text: str) -> list[float]:
-        v = [0.0] * self.dimension
-        for w in _WORD.findall(text.lower()):
-            h = zlib.crc32(w.encode())
-            v[h % self.dimension] += 1.0 if h >> 31 else -1.0
-        n = math.sqrt(sum(x * x for x in v))
-        return [x / n for x in v] if n else v
+        number: dict[str, int] = {}
+        found = [[number.setdefault(w, len(number)) for w in _WORD.findall(t.lower())] for t in texts]
+        h = np.fromiter((zlib.crc32(w.encode()) for w in number), np.int64, len(number))
+        flat = np.array([i for f in found for i in f], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        v = np.zeros((len(texts), self.dimension))
+        if len(flat):
+            h = h[flat]
+            v = np.bincount(row * self.dimension + h % self.dimension, np.where(h >> 31, 1.0, -1.0), v.size).reshape(v.shape)
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return (v / np.where(n > 0, n, 1)).tolist()
 
 
 def embed_batch(embedder: Embedder, texts: Sequence[str | None], dimension: int) -> list[tuple[list[float], int, bool, str | None]]:
@@ -81,11 +87,48 @@ def embed_documents(df: DataFrame, text: str = "content", make: Callable[[], Emb
     return df.mapInPandas(run, schema)
 
 
+def on_device(make: Callable[[str], Embedder], devices: Sequence[str] = ("gpu", "cpu")) -> tuple[Embedder, str]:
+    """The embedder on the first of ``devices`` on which it can be made and gives a vector, and that device."""
+    why = []
+    for d in devices:
+        try:
+            e = make(d)
+            e([QUERY + "ready"])
+            return e, d
+        except Exception as x:  # noqa: BLE001
+            why.append(f"{d}: {type(x).__name__}: {x}"[:200])
+            log.warning("no embedder on %s: %s", d, x)
+    raise EmbedderUnavailable("no device takes the embedder", devices=why)
+
+
 class QueryEmbedder:
     """Embeds queries on the driver; remembers the last hundred."""
 
     def __init__(self, embedder: Embedder, model: str = "hash", cache: int = 100):
         self.embedder, self.model, self.cache = embedder, model, LruCache(cache)
+        self._dimension: int | None = getattr(embedder, "dimension", None)
+
+    @property
+    def dimension(self) -> int:
+        """Length of the vectors; an embedder that does not tell is asked once."""
+        if self._dimension is None:
+            self.preload()
+        return self._dimension
+
+    def preload(self) -> int:
+        """Make the embedder ready before the first query, and return its dimension."""
+        try:
+            self._dimension = len(self.embedder([QUERY + "ready"])[0])
+        except Exception as e:
+            raise EmbedderUnavailable("the embedder could not be loaded") from e
+        return self._dimension
+
+    def clear(self) -> None:
+        """Forget the remembered queries."""
+        self.cache.clear()
+
+    def stats(self) -> dict:
+        return self.cache.stats() | {"model": self.model, "dimension": self._dimension}
 
     def __call__(self, query: str) -> list[float]:
         key = f"{self.model}:{query}"

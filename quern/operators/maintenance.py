@@ -94,9 +94,13 @@ class SnapshotStore:
         self._publish(0, change, again=True)
 
     # -- writing
-    def _bucket(self, key: str) -> Column:
+    def _bucket(self, key: str | Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("string")
 
+    def bucket_of(self, value: str) -> str:
+        """The bucket of one key."""
+        return self.spark.range(1).select(self._bucket(F.lit(value)).alias("b")).first().b
+
     def _write(self, table: str, df: DataFrame, key: str | None) -> dict[str, str]:
         """Folders of the written rows by bucket."""
         name = f"{table}-{uuid.uuid4().hex}"
@@ -124,7 +128,7 @@ class SnapshotStore:
         """The buckets that hold the keys; as many as there are buckets at most."""
         return [r.b for r in paths.select(self._bucket(key).alias("b")).distinct().collect()]
 
-    def replace(self, tables: dict[str, tuple[DataFrame, str, list[str]]], whole: dict[str, DataFrame] | None = None, seen: int | None = None) -> None:
+    def replace(self, tables: dict[str, tuple[DataFrame, str, list[str]]], whole: dict[str, DataFrame] | None = None, meta: dict | None = None, seen: int | None = None) -> None:
         """Replace the named buckets of tables, {table: (rows, key, buckets)}; others stay. ``whole`` tables are replaced too."""
         seen = self.version() if seen is None else seen
         new = {t: (self._write(t, df, key), gone) for t, (df, key, gone) in tables.items()}
@@ -136,6 +140,7 @@ class SnapshotStore:
                 m["tables"][t] = left | {b: [x] for b, x in at.items()} or {"": []}
             for t, at in full.items():
                 m["tables"][t] = {b: [x] for b, x in at.items()}
+            m["meta"] = {k: v for k, v in (m["meta"] | (meta or {})).items() if v is not None}
 
         self._publish(seen, change)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +39,29 @@ def index_stats(files: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin("same", "skipped")).alias("skipped_files"),
         F.coalesce(F.sum(F.when(F.col("status").isin("new", "changed"), F.col("chunks"))), F.lit(0)).cast("bigint").alias("total_chunks"),
     )
+
+
+class Recorder:
+    """What an engine did since it began: the last ``SAMPLES`` searches, and totals that forget nothing."""
+
+    def __init__(self, samples: int = SAMPLES):
+        self.samples: deque[tuple] = deque(maxlen=samples)
+        self._n: Counter = Counter()
+
+    def search(self, latency_ms: float, results: int, used_fallback: bool = False, failed: bool = False) -> None:
+        self.samples.append((self._n["searches"], latency_ms, results, used_fallback, failed))
+        self.count(searches=1, fallbacks=int(used_fallback), search_errors=int(failed))
+
+    def count(self, **more: int) -> None:
+        """Add to totals: files_indexed, chunks_created, embeddings_generated, index_ms, index_errors."""
+        self._n.update(more)
+
+    def totals(self) -> dict:
+        n = self._n
+        rate = lambda c: n[c] / n["searches"] if n["searches"] else 0.0
+        names = ("searches", "fallbacks", "search_errors", "files_indexed", "chunks_created", "embeddings_generated", "index_ms", "index_errors")
+        return {k: n[k] for k in names} | {"fallback_rate": rate("fallbacks"), "error_rate": rate("search_errors")}
+
+    def reset(self) -> None:
+        self.samples.clear()
+        self._n.clear()

@@ -301,17 +301,18 @@ def whole_files(chunks: DataFrame) -> DataFrame:
 
 _UNIT = (
     "file_path string, kind string, content string, start_line int, end_line int, name string, node_type string, docstring string, language string, "
-    "source_text string, target_symbol string, edge_type string, module_path string, error string"
+    "source_text string, target_symbol string, edge_type string, module_path string, error string, content_hash string"
 )
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """One row per unit ('unit'), raw edge ('edge', keyed by the unit's start line) and file to fall back on ('fallback')."""
+    """One row per unit ('unit'), raw edge ('edge', keyed by the unit's start line) and file to fall back on ('fallback'). Each
+    has the content_hash that came with the content, if any did."""
 
     def run(batches):
         for b in batches:
             rows = []
-            for path, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for path, text, digest in zip(*(b.column(c).to_pylist() for c in range(3))):
                 text = (text or "").removeprefix("﻿")
                 error = None
                 try:
@@ -319,28 +320,28 @@ def parse_files(files: DataFrame) -> DataFrame:
                 except (SyntaxError, ValueError, RecursionError) as e:
                     lang, found, error = None, [], f"{type(e).__name__}: {e}"[:200]
                 if not found:
-                    rows.append((path, "fallback", text, None, None, None, None, None, os.path.splitext(path)[1][1:] or "unknown", None, None, None, None, error))
+                    rows.append((path, "fallback", text, None, None, None, None, None, os.path.splitext(path)[1][1:] or "unknown", None, None, None, None, error, digest))
                 src = text.split("\n") if found else []
                 for (kind, name, first, last, body, doc), edges in found:
-                    rows.append((path, "unit", body, first, last, name, kind, doc, lang, "\n".join(src[first - 1 : first + 4]), None, None, None, None))
-                    rows += [(path, "edge", None, first, None, None, None, None, lang, None, *e, None) for e in edges]
-            cols = list(zip(*rows)) if rows else [[]] * 14
-            kinds = [pa.int32() if i in (3, 4) else pa.string() for i in range(14)]
+                    rows.append((path, "unit", body, first, last, name, kind, doc, lang, "\n".join(src[first - 1 : first + 4]), None, None, None, None, digest))
+                    rows += [(path, "edge", None, first, None, None, None, None, lang, None, *e, None, digest) for e in edges]
+            cols = list(zip(*rows)) if rows else [[]] * 15
+            kinds = [pa.int32() if i in (3, 4) else pa.string() for i in range(15)]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], [x.split()[0] for x in _UNIT.split(", ")])
 
-    return files.select("file_path", "content").filter("file_path is not null").mapInArrow(run, _UNIT)
+    digest = F.col("content_hash") if "content_hash" in files.columns else F.lit(None).cast("string")
+    return files.select("file_path", "content", digest.alias("content_hash")).filter("file_path is not null").mapInArrow(run, _UNIT)
 
 
 def chunk_files(parsed: DataFrame) -> DataFrame:
     """Chunks of parsed files: units, split where large, and line windows of the files that fall back."""
     u = parsed.filter("kind = 'unit'").select(
         chunk_id(F.col("file_path"), F.col("start_line")).alias("id"), "file_path", "content", "start_line", "end_line", "name", "node_type",
-        chunking.signature(F.col("source_text")).alias("signature"), "docstring", "language",
+        chunking.signature(F.col("source_text")).alias("signature"), "docstring", "language", "content_hash",
     )
-    back = parsed.filter("kind = 'fallback'")
-    w = chunking.line_windows(back).join(back.select("file_path", "language").distinct(), "file_path")
     null = F.lit(None).cast("string")
-    w = w.select("id", "file_path", "content", "start_line", "end_line", null.alias("name"), F.lit("fallback_chunk").alias("node_type"), null.alias("signature"), null.alias("docstring"), "language")
+    w = chunking.line_windows(parsed.filter("kind = 'fallback'"), keep=("language", "content_hash"))
+    w = w.select("id", "file_path", "content", "start_line", "end_line", null.alias("name"), F.lit("fallback_chunk").alias("node_type"), null.alias("signature"), null.alias("docstring"), "language", "content_hash")
     return chunking.split_large(u).unionByName(w.withColumn("part_no", F.lit(None).cast("int")))
 
 

@@ -2,7 +2,8 @@
 
 Spark's file source never reports removals. This one compares the listing of each micro-batch with the listing that
 the last offset stands for. Files that changed less than ``settle_ms`` ago are left for the next batch, so that files
-that are still being written are not read. The listing travels in the offset and in the driver, so the source suits
+that are still being written are not read. A file that is empty or too large gives a row of the kind ``skip`` with the reason
+as its content, once for each of its states: what was indexed of it is out of date. The listing travels in the offset and in the driver, so the source suits
 one repository's working copy; for a corpus, compare snapshots with :func:`quern.operators.maintenance.diff`.
 
     spark.dataSource.register(FileChanges)
@@ -15,6 +16,7 @@ import os
 import time
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
@@ -36,8 +38,9 @@ def listing(root: str, settle_ms: int, now: float | None = None) -> dict[str, st
                 s = os.stat(p)
             except OSError:
                 continue
-            if 0 < s.st_size <= MAX_BYTES and now - s.st_mtime >= settle_ms / 1000:
-                out[p] = f"{s.st_mtime_ns}:{s.st_size}"
+            if now - s.st_mtime >= settle_ms / 1000:
+                why = "empty" if s.st_size == 0 else "too large" if s.st_size > MAX_BYTES else ""
+                out[p] = f"{s.st_mtime_ns}:{s.st_size}:{why}"
     return out
 
 
@@ -64,11 +67,14 @@ class _Reader(SimpleDataSourceStreamReader):
         rows = [(p, stamp, "unlink", None) for p in sorted(set(was) - set(now))]
         for p in sorted(now):
             if was.get(p) != now[p]:
+                if why := now[p].split(":")[2]:
+                    rows.append((p, stamp, "skip", why))
+                    continue
                 try:
-                    text = open(p, encoding="utf-8", errors="replace").read()
+                    text = Path(p).read_text(encoding="utf-8", errors="replace")
                 except OSError:
                     continue  # the next listing reports its removal
-                rows.append((p, stamp, "change" if p in was else "add", text))
+                rows.append((p, stamp, "change" if p in was and not was[p].split(":")[2] else "add", text))
         return rows
 
 

@@ -27,18 +27,32 @@ def reason_to_skip(length: Column, limit: int = MAX_BYTES) -> Column:
     return F.when(length > limit, "too large").when(length == 0, "empty")
 
 
-def scan(spark: SparkSession, root: str, extensions=EXTENSIONS, limit: int = MAX_BYTES) -> DataFrame:
-    """(file_path, length, modified_at, skip, content, content_hash) of the files below ``root``.
+def outermost(roots) -> list[str]:
+    """The roots without those that lie below another one."""
+    out: list[str] = []
+    for r in sorted({x.rstrip("/") or "/" for x in ([roots] if isinstance(roots, str) else roots)}):
+        if not any(r.startswith(o.rstrip("/") + "/") for o in out):
+            out.append(r)
+    return out
 
-    The glob prunes the listing; content of files that are skipped is not decoded.
+
+def scan(spark: SparkSession, root: str | list[str], extensions=EXTENSIONS, limit: int = MAX_BYTES) -> DataFrame:
+    """(file_path, length, modified_at, skip, content, content_hash) of the files below ``root``, or several roots.
+
+    The glob prunes the listing and lengths the reading: files that are skipped are listed and never opened. A root below
+    another one is listed once, so paths are distinct without a shuffle. Files that cannot be read or vanish meanwhile are
+    left out.
     """
     glob = "*.{" + ",".join(e[1:] for e in extensions) + "}"
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    d = raw.select(path.alias("file_path"), "length", F.col("modificationTime").alias("modified_at"), reason_to_skip(F.col("length"), limit).alias("skip"), "content")
-    d = d.filter(~ignored(F.col("file_path"))).dropDuplicates(["file_path"])
-    text = F.when(F.col("skip").isNull(), F.expr("decode(content, 'UTF-8')"))
-    return d.withColumn("content_hash", F.when(F.col("skip").isNull(), F.md5("content"))).withColumn("content", without_bom(text))
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": glob, "ignoreCorruptFiles": "true", "ignoreMissingFiles": "true"}
+    raw = spark.read.format("binaryFile").options(**options).load(outermost(root))
+    raw = raw.withColumn("file_path", F.regexp_replace("path", "^file:/*", "/")).filter(~ignored(F.col("file_path")))
+    why = reason_to_skip(F.col("length"), limit)
+    null = F.lit(None).cast("string")
+    head = ("file_path", "length", F.col("modificationTime").alias("modified_at"))
+    good = raw.filter((F.col("length") > 0) & (F.col("length") <= limit)).select(*head, null.alias("skip"), without_bom(F.expr("decode(content, 'UTF-8')")).alias("content"), F.md5("content").alias("content_hash"))
+    rest = raw.filter((F.col("length") == 0) | (F.col("length") > limit)).select(*head, why.alias("skip"), null.alias("content"), null.alias("content_hash"))
+    return good.unionByName(rest)
 
 
 def documents_as_files(docs: DataFrame) -> DataFrame:

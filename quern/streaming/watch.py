@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,17 @@ def coalesce_changes(batch: DataFrame) -> DataFrame:
     return batch.groupBy("file_path").agg(F.max(F.struct("ts", rank.alias("r"), "kind", "content")).alias("c")).select("file_path", "c.ts", "c.kind", "c.content")
 
 
-def watch(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, available_now: bool = False):
-    """Start a query that gives ``apply`` the last change of every file of each micro-batch.
+def debounced(changes: DataFrame, gap: str = "500 milliseconds", late: str = "0 seconds") -> DataFrame:
+    """The last change of every run of changes of a file whose gaps are below ``gap``, once the run is over: the watermark on
+    ``ts``, which lags ``late`` behind, has to pass its end. At equal stamps a removal wins."""
+    order = F.struct("ts", F.when(F.col("kind") == "unlink", 1).otherwise(0).alias("r"), "kind", "content")
+    runs = debounce(changes.withWatermark("ts", late), ["file_path"], gap, newest=order)
+    return runs.select("file_path", "last.ts", "last.kind", "last.content", "merged")
+
+
+def watch(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, available_now: bool = False, gap: str | None = None):
+    """Start a query that gives ``apply`` the last change of every file of each micro-batch; with ``gap`` only changes that no
+    other change of the file follows within it (see :func:`debounced`).
 
     ``apply`` gets (file_path, ts, kind, content) and must be idempotent: a batch is repeated after a failure. The
     index engine's ``apply_changes`` is, because it replaces whole files in one commit.
@@ -35,11 +45,19 @@ def watch(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: st
         if not c.isEmpty():
             apply(c)
 
-    w = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+    source = changes if gap is None else debounced(changes, gap).drop("merged")
+    w = source.writeStream.outputMode("append").foreachBatch(step).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")).start()
 
 
-def stop(query, timeout_s: int = 30) -> bool:
-    """Let running work end, for at most ``timeout_s``; whether it ended."""
+def stop(query, timeout_s: float = 30) -> bool:
+    """Let the micro-batch under way end, for at most ``timeout_s``, then stop; whether it ended.
+
+    What arrives meanwhile is not waited for: it is read when a query starts again from the same checkpoint.
+    """
+    end = time.monotonic() + timeout_s
+    while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
+        time.sleep(0.05)
+    ended = not (query.isActive and query.status["isTriggerActive"])
     query.stop()
-    return query.awaitTermination(timeout_s)
+    return ended

@@ -292,3 +292,223 @@ def test_log_lines(capsys):
     logging.getLogger("quern.x").warning("yes %s", 1)
     lines = capsys.readouterr().err.strip().split("\n")
     assert len(lines) == 1 and json.loads(lines[0])["message"] == "yes 1" and json.loads(lines[0])["component"] == "quern.x"
+
+
+def test_paths_relative_to_the_root(spark, corpus, tmp_path):
+    from quern.errors import InvalidFilter, PathOutsideRoot
+
+    (corpus / "app").mkdir()
+    (corpus / "app" / "door.py").write_text("def app_door(key):\n    handle = find_handle(key)\n    return handle.turn_slowly(key)\n")
+    (corpus / "app2.py").write_text("def other_door(key):\n    handle = find_handle(key)\n    return handle.turn_slowly(key)\n")
+    e = Engine(spark, str(tmp_path / "store"), IndexConfig(str(corpus)))
+    e.build()
+    for path in ("app", "app/", "./app", str(corpus / "app"), "app/../app", "app/door.py"):
+        assert {r["name"] for r in e.semantic_search("door", path=path)["results"]} == {"app_door"}, path
+    assert len(e.semantic_search("door", path=".")["results"]) > 2
+    for path in ("..", "/etc", "app/../../x", str(tmp_path)):
+        with pytest.raises(PathOutsideRoot):
+            e.semantic_search("door", path=path)
+    with pytest.raises(InvalidFilter):
+        e.context_query("door", edge_kinds=["calls", "owns"])
+
+
+def test_a_changed_file_rewrites_its_bucket_and_edges_stay_right(spark, corpus, tmp_path):
+    for n in range(12):
+        (corpus / f"m{n}.py").write_text(f"def job_{n}(key):\n    first = open_door(key)\n    return job_{(n + 1) % 12}(first)\n")
+    config = IndexConfig(str(corpus), graph=GraphConfig(enabled=True))
+    e = Engine(spark, str(tmp_path / "store"), config)
+    e.build()
+    was = e.store._current()[1]["tables"]
+    e.graph_annotate("s", e.nodes().filter("symbol_name = 'job_3'").first().id, links=[e.nodes().filter("symbol_name = 'job_9'").first().id, e.nodes().filter("symbol_name = 'job_5'").first().id])
+    (corpus / "m4.py").write_text("def job_4(key):\n    first = open_door(key)\n    return job_9(first)\n\n\ndef job_40(key):\n    first = open_door(key)\n    return key + first\n")
+    (corpus / "m5.py").unlink()
+    (corpus / "m7.py").write_text("# moved down\n" + (corpus / "m7.py").read_text())
+    assert e.build()["indexed_files"] == 2
+    now = e.store._current()[1]["tables"]
+    for t in ("records", "nodes", "raw_edges"):
+        assert 1 <= len([b for b in now[t] if now[t][b] != was[t].get(b)]) <= 3
+    fresh = Engine(spark, str(tmp_path / "other"), config)
+    fresh.build()
+    key = lambda d: sorted((r.source_id, r.target_id, r.edge_type, r.weight, r.metadata or "") for r in d.collect())
+    assert key(e.edges().filter("edge_type <> 'agent_linked'")) == key(fresh.edges())
+    links = e.edges().filter("edge_type = 'agent_linked'").collect()
+    assert len(links) == 1 and "m9" in links[0].target_id  # the link to the removed file went with it
+    assert sorted(r.id for r in e.nodes().collect()) == sorted(r.id for r in fresh.nodes().collect())
+    n = len(e.store.folder.names())
+    assert e.vacuum(keep_ms=-10_000) > 0 and len(e.store.folder.names()) < n and key(e.edges().filter("edge_type <> 'agent_linked'")) == key(fresh.edges())
+
+
+def test_sessions_are_appended_listed_and_deleted(spark, corpus, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    e = Engine(spark, str(tmp_path / "store"), IndexConfig(str(corpus), graph=GraphConfig(enabled=True)))
+    e.build()
+    node = e.nodes().first().id
+    engines = [e, Engine(spark, str(tmp_path / "store"), e.config)]
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda k: engines[k % 2].graph_annotate(f"s{k % 2}", node, note=f"n{k}", reasoning=f"r{k}"), range(8)))
+    assert e.sessions() == ["s0", "s1"] and e.session_events("s0").filter("action = 'reason'").count() == 4
+    assert e.session_summary("s1")["session"]["reasoning_count"] == 4
+    assert e.delete_session("s0") and not e.delete_session("s0") and e.sessions() == ["s1"]
+    e.COMPACT = 2
+    for k in range(3):
+        e.graph_annotate("s1", node, reasoning=f"again{k}")
+    assert e.session_summary("s1")["session"]["reasoning_count"] == 7
+    assert all(len(x) <= 2 for x in e.store._current()[1]["tables"]["events"].values())
+    e.close_sessions()
+    assert e.sessions() == []
+
+
+def test_close_meta_and_degraded_graph(spark, corpus, tmp_path, monkeypatch):
+    import threading
+
+    from quern.errors import Closed
+    from quern.operators import graph
+
+    e = Engine(spark, str(tmp_path / "store"), IndexConfig(str(corpus), graph=GraphConfig(enabled=True)))
+    real = graph.resolve_edges
+
+    def fails(*a):
+        raise RuntimeError("no graph")
+
+    monkeypatch.setattr("quern.engine.G.resolve_edges", fails)
+    assert e.build()["indexed_files"] == 3 and not e.graph_available
+    assert e.semantic_search("door")["results"] and e.context_query("door")["graph_stats"]["graph_available"] is False
+    monkeypatch.setattr("quern.engine.G.resolve_edges", real)
+    (corpus / "c.py").write_text("def uses_door():\n    thing = open_door('other')\n    return thing, addNumbers(1, 2)\n")
+    e.build(force=True)
+    assert e.graph_available
+    e.put_meta("schema", "3")
+    assert e.get_meta("schema") == "3" and Engine(spark, str(tmp_path / "store"), e.config).get_meta("schema") == "3"
+    e.put_meta("schema", None)
+    assert e.get_meta("schema") is None
+    m = e.metrics()
+    assert m["searches"] == 1 and m["files_indexed"] == 6 and m["chunks_created"] >= 6 and m["index_errors"] == 0
+    with pytest.raises(Exception):
+        e.semantic_search("door", limit=99)
+    assert e.metrics()["search_errors"] == 1
+    held, go = threading.Event(), threading.Event()
+
+    def work():
+        with e._operation():
+            held.set()
+            go.wait(30)
+
+    t = threading.Thread(target=work)
+    t.start()
+    held.wait(30)
+    assert e.pending == 1 and e.close(0.1) is False
+    with pytest.raises(Closed):
+        e.semantic_search("door")
+    go.set()
+    assert e.close(30) is True and e.pending == 0
+    t.join()
+
+
+def test_recorder_forgets_no_total():
+    from quern.operators.metrics import Recorder
+
+    r = Recorder(10)
+    for k in range(35):
+        r.search(k, 1, k % 5 == 0, k == 7)
+    assert len(r.samples) == 10 and r.totals()["searches"] == 35 and r.totals()["fallbacks"] == 7 and r.totals()["search_errors"] == 1
+    r.reset()
+    assert r.totals()["searches"] == 0 and r.totals()["fallback_rate"] == 0.0
+
+
+def test_embedder_on_a_device_and_preload():
+    from quern.errors import EmbedderUnavailable
+    from quern.operators.embed import on_device
+
+    def make(d):
+        if d == "gpu":
+            raise OSError("none here")
+        return HashEmbedder(16)
+
+    e, d = on_device(make)
+    assert d == "cpu" and len(e(["x"])[0]) == 16
+    with pytest.raises(EmbedderUnavailable):
+        on_device(make, ("gpu",))
+    q = QueryEmbedder(lambda t: [[0.5] * 7 for _ in t])
+    assert q.dimension == 7 and q.preload() == 7
+    q("a"), q("a")
+    assert q.stats()["hits"] == 1 and q.stats()["dimension"] == 7
+    q.clear()
+    assert q.stats()["size"] == 0
+    one = HashEmbedder(8)
+    assert one(["a b a", "", "ß Ω"]) == [one(["a b a"])[0], one([""])[0], one(["ß Ω"])[0]] and one([""]) == [[0.0] * 8]
+
+
+def test_changes_that_are_too_large_remove_what_was_indexed(spark, tmp_path):
+    import os
+    import time
+
+    from quern.sources.changes import _Reader
+    from quern.sources.files import MAX_BYTES
+
+    root = tmp_path / "w"
+    root.mkdir()
+    old = time.time() - 60
+    (root / "a.py").write_text("def f():\n    return some_long_function_name(1)\n")
+    (root / "b.py").write_text("")
+    r = _Reader({"path": str(root), "settle_ms": "0"})
+    rows, at = r.read(r.initialOffset())
+    assert sorted((os.path.basename(p), k, c if k == "skip" else None) for p, _, k, c in rows) == [("a.py", "add", None), ("b.py", "skip", "empty")]
+    (root / "a.py").write_text("x = 1\n" * (MAX_BYTES // 6 + 1))
+    (root / "b.py").write_text("y = 1")
+    rows, at = r.read(at)
+    assert sorted((os.path.basename(p), k, c) for p, _, k, c in rows) == [("a.py", "skip", "too large"), ("b.py", "add", "y = 1")]
+    os.utime(root / "b.py", (old, old))
+    e = Engine(spark, str(tmp_path / "store"), IndexConfig(str(root)))
+    e.index(spark.createDataFrame([(str(root / "a.py"), "def f():\n    return some_long_function_name(1)\n", "h")], "file_path string, content string, content_hash string"))
+    assert e.records().count() == 1
+    e.apply_changes(spark.createDataFrame([(str(root / "a.py"), "skip", "too large")], "file_path string, kind string, content string"))
+    assert e.records().count() == 0
+
+
+def test_debounced_changes(spark, tmp_path):
+    from quern.streaming.watch import stop, watch
+
+    schema = "file_path string, ts timestamp, kind string, content string"
+    put = lambda n, rows: spark.createDataFrame(rows, "file_path string, t double, kind string, content string").select("file_path", F.timestamp_millis((F.col("t") * 1000).cast("bigint")).alias("ts"), "kind", "content").coalesce(1).write.parquet(str(tmp_path / "in" / n))
+    put("1", [("a", 1.0, "add", "1"), ("a", 1.2, "change", "2"), ("b", 1.0, "add", "1")])
+    put("2", [("a", 1.5, "change", "3"), ("c", 9.0, "add", "x")])
+    put("3", [("a", 30.0, "unlink", None), ("c", 30.0, "change", "y")])
+    put("4", [("d", 60.0, "add", "z")])
+    s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in" / "1")).schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    assert schema.startswith("file_path")
+    got = []
+    q = watch(s, lambda b: got.extend((r.file_path, r.kind, r.content) for r in b.collect()), str(tmp_path / "cp"), available_now=True, gap="1 second")
+    q.awaitTermination(120)
+    assert stop(q)
+    assert sorted(got, key=str) == sorted([("a", "change", "3"), ("b", "add", "1"), ("c", "add", "x"), ("a", "unlink", None), ("c", "change", "y")], key=str)  # d may go on
+
+
+def test_stop_lets_the_batch_end(spark, tmp_path):
+    import time
+
+    from quern.streaming.watch import stop, watch
+
+    spark.createDataFrame([("a", "add", "1")], "file_path string, kind string, content string").withColumn("ts", F.current_timestamp()).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    done, began = [], []
+
+    def slow(b):
+        began.append(1)
+        time.sleep(3)
+        done.extend(b.collect())
+
+    q = watch(s, slow, str(tmp_path / "cp"))
+    while not began:
+        time.sleep(0.05)
+    assert stop(q, 60) and len(done) == 1 and not q.isActive
+
+
+def test_overlapping_roots_are_listed_once(spark, corpus):
+    from quern.sources.files import outermost
+
+    assert outermost(["/a/b", "/a", "/ab", "/a/"]) == ["/a", "/ab"]
+    (corpus / "app").mkdir()
+    (corpus / "app" / "x.py").write_text("x = 1")
+    rows = [r.file_path for r in scan(spark, [str(corpus), str(corpus / "app")]).collect()]
+    assert len(rows) == len(set(rows)) == 5
