@@ -335,9 +335,11 @@ def near_pairs(records: DataFrame, least: float = 0.7, n: int = 3) -> DataFrame:
 
 
 def near_groups(records: DataFrame, least: float = 0.7, n: int = 3) -> DataFrame:
-    """One row per current record with a shingle: id, class id, copies in the class and links of the class to others."""
+    """One row per current record with a shingle: id, cls (the least id of its class), copies in the class and links of the
+    class to others."""
     member, sets = record_sets(records, n)
     pairs = similar_classes(sets, least)
-    links = pairs.select("a").unionAll(pairs.select("b")).groupBy(F.col("a").alias("cls")).agg(F.count("*").alias("links"))
-    sizes = member.groupBy("cls").agg(F.count("*").alias("copies"))
-    return member.join(sizes.join(links, "cls", "left"), "cls").fillna(0, ["links"]).select("id", "cls", "copies", "links")
+    links = pairs.select("a").unionAll(pairs.select("b")).groupBy(F.col("a").alias("n")).agg(F.count("*").alias("links"))
+    classes = member.groupBy(F.col("cls").alias("n")).agg(F.min("id").alias("cls"), F.count("*").alias("copies"))
+    whole = classes.join(links, "n", "left").fillna(0, ["links"])
+    return member.withColumnRenamed("cls", "n").join(whole, "n").select("id", "cls", "copies", "links")

@@ -128,3 +128,51 @@ SELECT m.doc_id, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (hot.k IS
 FROM m JOIN lines ON m.doc_id = lines.doc_id AND lines.kept LEFT JOIN hot ON m.k = hot.k AND m.repo_id IS NOT DISTINCT FROM hot.repo_id
 GROUP BY m.doc_id
 """
+
+# The current rows of vector_records; where an id has rows of one indexed_at that differ, the operators have their own rules.
+_CURRENT = """cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC NULLS LAST) AS rn FROM vector_records WHERE id IS NOT NULL) WHERE rn = 1)"""
+
+ORACLE["p5_found"] = f"""
+WITH {_CURRENT}, v AS (
+  SELECT id, vector::DOUBLE[] AS x FROM cur WHERE len(vector) = 64 AND len(list_filter(vector, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.x, b.x) AS c FROM v a JOIN v b ON a.id <> b.id
+), r AS (
+  SELECT a, b, c FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(c, 13) DESC, b) <= 5
+) SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE c >= 0.9
+"""
+
+_SETS = f"""{_CURRENT}, t AS (
+  SELECT id, lower(coalesce(signature, '') || chr(10) || coalesce(content, '')) AS text FROM cur
+), w AS (
+  SELECT id, text, regexp_extract_all(text, '[a-z0-9_]+') AS w FROM t
+), g AS (
+  SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 3
+), n AS (SELECT id, count(*) AS n FROM g GROUP BY 1
+), p AS (
+  SELECT x.id AS id_a, y.id AS id_b, count(*) AS shared FROM g x JOIN g y ON x.g = y.g AND x.id < y.id GROUP BY ALL
+), near AS (
+  SELECT id_a, id_b FROM p JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE shared >= 0.7 * (a.n + b.n - shared) - 1e-9
+)"""
+ORACLE["p6_found"] = f"WITH {_SETS} SELECT id_a, id_b FROM near"
+ORACLE["p6_groups"] = f"""
+WITH {_SETS}, m AS (
+  SELECT id, first_value(id) OVER (PARTITION BY text ORDER BY id) AS cls, count(*) OVER (PARTITION BY text) AS copies FROM t WHERE id IN (SELECT id FROM n)
+), l AS (
+  SELECT a.cls AS x, b.cls AS y FROM near JOIN m a ON a.id = id_a JOIN m b ON b.id = id_b WHERE a.cls <> b.cls
+), links AS (SELECT cls, count(DISTINCT other) AS links FROM (SELECT x AS cls, y AS other FROM l UNION ALL SELECT y, x FROM l) GROUP BY 1)
+SELECT id, m.cls, copies, coalesce(links, 0) AS links FROM m LEFT JOIN links ON m.cls = links.cls
+"""
+ORACLE["p10_found"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(regexp_replace(lower(text), '([\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}])', ' \1 ', 'g'), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL
+), s AS (
+  SELECT doc_id, len(w) AS n, unnest(range(1, len(w) - 6)) AS i, w FROM w WHERE len(w) >= 40
+), g AS (
+  SELECT doc_id, n, i, array_to_string(w[i:i + 7], ' ') AS g FROM s
+), r AS (
+  SELECT doc_id, n, i FROM g QUALIFY i > min(i) OVER (PARTITION BY doc_id, g)
+), m AS (
+  SELECT DISTINCT doc_id, n, unnest(range(i, i + 8)) AS at FROM r
+) SELECT doc_id FROM m GROUP BY doc_id, n HAVING count(*) * 10 >= n * 3
+"""
