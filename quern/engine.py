@@ -31,6 +31,7 @@ from quern.operators import predicates as P
 from quern.operators import search as S
 from quern.operators import sessions as SE
 from quern.operators import syntax
+from quern.operators import textindex as TI
 from quern.operators.durable import durable
 from quern.operators.embed import HashEmbedder, QueryEmbedder, embed_documents
 from quern.operators.metrics import Recorder
@@ -117,7 +118,7 @@ class Engine:
         """Index the configured root; only one build runs at a time. ``force`` starts from nothing."""
         with self._operation(), self._lock:
             if force:
-                self.store.clear("records", "nodes", "edges", "raw_edges")
+                self.store.clear("records", "postings", "lengths", "nodes", "edges", "raw_edges")
             return self.index(scan(self.spark, self.config.root, limit=self.config.max_file_bytes))
 
     def ensure(self) -> None:
@@ -172,7 +173,12 @@ class Engine:
         paths = durable(gone.unionByName(parsed.select("file_path")).distinct())
         at = self.store.touched(paths)
         old = self.store.read("records", schemas.VECTOR_RECORD, at)
-        tables = {"records": (M.upsert(M.delete_files(old, gone), vectors).select(*columns), "file_path", at)}
+        records = durable(M.upsert(M.delete_files(old, gone), vectors).select(*columns))
+        tables = {
+            "records": (records, "file_path", at),
+            "postings": (TI.postings(records, more=("name", "signature"), path="file_path"), "file_path", at),
+            "lengths": (TI.lengths(records, path="file_path"), "file_path", at),
+        }
         meta = {"graph_error": None}
         if self.config.graph.enabled:
             try:
@@ -237,8 +243,16 @@ class Engine:
             log.warning("embedder failed, falling back to keywords: %s", e)
             vector = None
         where = P.search_filter(path, file_pattern, self.config.compat)
+        if vector is None and self.store.exists("postings"):
+            return TI.keyword_search(self.records(), self.store.read("postings", TI.FIELDS), query, limit, where)
         return S.hybrid_search(self.records(), query, vector, limit, where, use_reranking, multiplier, scorer)
 
+    def text_search(self, query: str, limit: int = 10) -> DataFrame:
+        """(id, score) by BM25 over the contents, from the stored text index alone."""
+        _within("limit", limit, 1, 50)
+        self.ensure()
+        return TI.bm25(self.store.read("postings", TI.FIELDS), self.store.read("lengths", "id string, file_path string, doc_len int"), query, limit)
+
     def semantic_search(self, query: str, **options) -> dict:
         with self._operation():
             began = time.perf_counter()

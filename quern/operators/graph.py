@@ -28,6 +28,9 @@ def node_kind(c: Column) -> Column:
     )
 
 
+BROADCAST = 50_000  # pairs of ids
+
+
 def _any(cs: list[Column]) -> Column:
     out = cs[0]
     for c in cs[1:]:
@@ -44,8 +47,8 @@ def nodes_of(chunks: DataFrame) -> DataFrame:
 
 
 def symbol_index(nodes: DataFrame) -> DataFrame:
-    """(symbol, n, ids): ids sorted. A report; resolution joins the nodes themselves and never gathers a symbol."""
-    return nodes.filter("symbol_name is not null").groupBy(F.col("symbol_name").alias("symbol")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list("id")).alias("ids"))
+    """(symbol, id): one row per node with a symbol; no symbol's ids are ever gathered in one row."""
+    return nodes.filter("symbol_name is not null").select(F.col("symbol_name").alias("symbol"), "id").distinct()
 
 
 def resolve_edges(raw: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -79,24 +82,29 @@ def bfs(edges: DataFrame, roots: DataFrame, depth: int = 2, kinds=None) -> DataF
 
     A node counts once per root, at its least depth and with the edge that found it: outgoing first, then by the
     parent, edge type and greatest weight. ``depth`` is held between 1 and 5. Each level is one equi-join of the
-    frontier with the adjacency, an aggregation and an anti-join; ``roots`` has a column root_id.
+    frontier with the adjacency, an aggregation and an anti-join; a level that feeds another is kept, and a frontier of up to
+    ``BROADCAST`` rows is broadcast, so the edges of a hub are not shuffled for it. ``roots`` has a column root_id.
     """
+    depth = min(5, max(1, depth))
     e = edges.filter(edge_kinds(kinds))
     adjacent = e.select(F.col("source_id").alias("at"), F.col("target_id").alias("node_id"), "edge_type", "weight", F.lit(True).alias("outgoing")).unionByName(
         e.select(F.col("target_id").alias("at"), F.col("source_id").alias("node_id"), "edge_type", "weight", F.lit(False).alias("outgoing"))
     )
     root = roots.select("root_id").distinct()
+    if depth > 1:
+        adjacent, root = durable(adjacent), durable(root)
     seen = root.select("root_id", F.col("root_id").alias("node_id"))
     frontier, found = seen, None
-    for d in range(1, min(5, max(1, depth)) + 1):
+    for d in range(1, depth + 1):
+        small = depth > 1 and frontier.count() <= BROADCAST
         step = (
-            frontier.withColumnRenamed("node_id", "at").join(adjacent, "at")
+            (F.broadcast(frontier) if small else frontier).withColumnRenamed("node_id", "at").join(adjacent, "at")
             .groupBy("root_id", "node_id")
             .agg(F.min(F.struct((~F.col("outgoing")).alias("rank"), F.col("at").alias("via"), "edge_type", (-F.col("weight")).alias("w"))).alias("r"))
             .join(seen, ["root_id", "node_id"], "left_anti")
             .select("root_id", "node_id", F.lit(d).alias("depth"), F.col("r.via").alias("via"), F.col("r.edge_type").alias("edge_type"), (-F.col("r.w")).alias("weight"), (~F.col("r.rank")).alias("outgoing"))
         )
-        if depth > 2:  # a level feeds the next one three times
+        if d < depth:  # it feeds the next level three times
             step = durable(step)
         found = step if found is None else found.unionByName(step)
         frontier = step.select("root_id", "node_id")

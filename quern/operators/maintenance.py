@@ -47,6 +47,7 @@ class SnapshotStore:
     """
 
     KEEP_MS = 3_600_000
+    SORTED = {"postings": ["term"]}  # order of a table's rows within its files
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, Folder(spark, path), buckets
@@ -104,7 +105,7 @@ class SnapshotStore:
     def _write(self, table: str, df: DataFrame, key: str | None) -> dict[str, str]:
         """Folders of the written rows by bucket."""
         name = f"{table}-{uuid.uuid4().hex}"
-        w = df if key is None else df.withColumn("__bucket", self._bucket(key)).repartition("__bucket")
+        w = df if key is None else df.withColumn("__bucket", self._bucket(key)).repartition("__bucket").sortWithinPartitions("__bucket", *self.SORTED.get(table, []))
         w = w.write.option("maxRecordsPerFile", 5_000_000)
         if key is None:
             w.parquet(self.folder.at(name))

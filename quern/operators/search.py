@@ -2,7 +2,7 @@
 
 A search is one plan: filter, score, ``TakeOrderedAndProject``. Filters are Columns in front of the limit and reach
 the scan; every order ends in the id. Batches of queries run block by block against all rows, with the best ``k`` of
-each partition kept where the rows lie, so that only ``k`` rows per query and partition are shuffled.
+each block kept where the rows lie, so that only ``k`` rows per query and block are shuffled.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +23,6 @@ from quern.functions.vectors import cosine, literal
 BOOST_CONTENT, BOOST_NAME, BOOST_SIGNATURE, BOOST_NAME_TOKEN = 0.10, 0.20, 0.15, 0.25
 TEXT_CONTENT, TEXT_NAME, TEXT_SIGNATURE, TEXT_DIVISOR = 1.0, 2.0, 1.5, 4.0
 RERANK_CHARS = 512
-BLOCK = 1024  # queries scored together
 
 
 def vector_topk(df: DataFrame, query: Sequence[float], k: int = 50, where: Column | None = None, vector: str = "vector", id_col: str = "id") -> DataFrame:
@@ -31,53 +31,96 @@ def vector_topk(df: DataFrame, query: Sequence[float], k: int = 50, where: Colum
     return rows.withColumn("vector_score", cosine(F.col(vector), literal(query))).orderBy(F.desc("vector_score"), id_col).limit(k)
 
 
-def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vector", id_col: str = "id") -> DataFrame:
+def _best(ids: list, q: np.ndarray, v: np.ndarray, k: int):
+    """(query ids, row numbers, scores) of the ``k`` best rows of each query, with ties at the edge; rows with a zero norm score 0."""
+    n = np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.where(n > 0, v / np.where(n > 0, n, 1), 0)
+    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    m = min(k, len(v))
+    step = max(1, 8_000_000 // max(1, len(v)))
+    for lo in range(0, len(q), step):
+        s = q[lo : lo + step] @ v.T
+        j, i = np.nonzero(s >= np.partition(s, len(v) - m, axis=1)[:, len(v) - m, None])
+        yield [ids[lo + x] for x in j], i, s[j, i]
+
+
+def _matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """Vectors as rows; zeros for those that are null or of another length."""
+    a = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    out = np.zeros((len(a), dim))
+    good = pc.fill_null(pc.equal(pc.list_value_length(a), dim), False).to_numpy(zero_copy_only=False)
+    flat = a.filter(pa.array(good)).flatten()
+    out[good] = pc.fill_null(flat, 0).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return out
+
+
+QUERIES, ROWS = 4096, 65_536  # in a block
+BROADCAST_QUERIES = 4096  # queries that may be sent to all tasks
+
+
+def vector_topk_batch(df: DataFrame, queries: DataFrame, k: int = 10, vector: str = "vector", id_col: str = "id", dim: int | None = None) -> DataFrame:
     """(query_id, id, score, rank) for every row (query_id, query_vector) of ``queries`` against all rows of ``df``.
 
-    Rows with another dimension, without a vector or with a zero norm score 0, as in the single search.
+    Rows with another dimension, without a vector or with a zero norm score 0, as in the single search. Up to
+    ``BROADCAST_QUERIES`` queries go to all tasks and each partition keeps its best; more are cut into blocks, as are the
+    rows, and pairs of blocks meet by an equi-join on the numbers of both, so the driver holds no queries and a task one pair.
     """
     kind = df.schema[id_col].dataType.simpleString()
     qkind = queries.schema["query_id"].dataType.simpleString()
-    parts: DataFrame | None = None
-    block: list = []
-
-    def score(block) -> DataFrame:
-        ids = [r.query_id for r in block]
-        q = np.array([r.query_vector for r in block], dtype=np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+    queries = queries.select("query_id", "query_vector").filter("query_id is not null and query_vector is not null")
+    if dim is None:
+        first = queries.select(F.size("query_vector").alias("n")).first()
+        dim = first.n if first else 0
+    schema = f"query_id {qkind}, {id_col} {kind}, score double"
+    nq = queries.count()
+    if not nq:
+        return df.sparkSession.createDataFrame([], f"{schema}, rank int")
+
+    def batch(ids, rows, q, v):
+        for x, i, s in _best(ids, q, v, k):
+            yield pa.RecordBatch.from_arrays([pa.array(x).cast(_arrow(qkind)), rows.take(pa.array(i)), pa.array(s)], ["query_id", id_col, "score"])
+
+    if nq <= BROADCAST_QUERIES:
+        held = queries.collect()  # BROADCAST_QUERIES rows at most
+        ids = [r.query_id for r in held]
+        q = np.array([r.query_vector if len(r.query_vector) == dim else [0.0] * dim for r in held], dtype=np.float64)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                v = np.zeros((b.num_rows, q.shape[1]))
-                for i, x in enumerate(b.column(1).to_pylist()):
-                    if x is not None and len(x) == q.shape[1]:
-                        v[i] = x
-                n = np.linalg.norm(v, axis=1, keepdims=True)
-                s = np.where(n > 0, v / np.where(n > 0, n, 1), 0) @ q.T
-                m = min(k, len(s))
-                edge = np.partition(s, len(s) - m, axis=0)[len(s) - m]
-                i, j = np.nonzero(s >= edge)  # ties at the edge stay
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[x] for x in j]).cast(_arrow(qkind)), b.column(0).take(pa.array(i)), pa.array(s[i, j])], ["query_id", id_col, "score"]
-                )
-
-        return df.select(id_col, vector).mapInArrow(run, f"query_id {qkind}, {id_col} {kind}, score double")
-
-    for r in queries.select("query_id", "query_vector").toLocalIterator():
-        block.append(r)
-        if len(block) == BLOCK:
-            parts = score(block) if parts is None else parts.unionByName(score(block))
-            block = []
-    if block:
-        parts = score(block) if parts is None else parts.unionByName(score(block))
-    if parts is None:
-        return df.sparkSession.createDataFrame([], f"query_id {qkind}, {id_col} {kind}, score double, rank int")
+            for t in _tables(batches, ROWS):
+                yield from batch(ids, t.column(0).combine_chunks(), q, _matrix(t.column(1), dim))
+
+        parts = df.select(id_col, vector).mapInArrow(run, schema)
+    else:
+        cuts = lambda n, width: max(1, -(-n // width))
+        nr = cuts(df.count(), ROWS)
+        nb = cuts(nq, QUERIES)
+        left = df.select(id_col, vector, F.pmod(F.xxhash64(id_col, vector), F.lit(nr)).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("j"))
+        right = queries.select("*", F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("i"), F.pmod(F.xxhash64("query_id"), F.lit(nb)).alias("j"))
+
+        def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+            out = [pa.RecordBatch.from_pylist([], schema=pa.schema([("query_id", _arrow(qkind)), (id_col, _arrow(kind)), ("score", pa.float64())]))]
+            if len(a) and len(b):
+                out += batch(b.column("query_id").to_pylist(), a.column(id_col).combine_chunks(), _matrix(b.column("query_vector"), dim), _matrix(a.column(vector), dim))
+            return pa.Table.from_batches(out)
+
+        parts = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), id_col)
     return parts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def _tables(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Batches joined to tables of about ``rows`` rows."""
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held)
+
+
 def _arrow(kind: str) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
 
@@ -217,19 +260,23 @@ def inverted_index(df: DataFrame, id_col: str = "id", text: str = "content") ->
     return d.select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def query_terms(query: str) -> list[str]:
+    return sorted(set("".join(ch if ch.isalnum() and ch.isascii() else " " for ch in query.lower()).split()))
+
+
+def bm25_score(n: Column, df: Column, tf: Column, dl: Column, avgdl: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """What one term adds to a document's score."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5)) * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / avgdl))
+
+
 def bm25_topk(df: DataFrame, query: str, k: int = 10, id_col: str = "id", text: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) by BM25. Only the query's terms leave the scan, and of every document its length."""
-    terms = sorted(set(w for w in "".join(ch if ch.isalnum() and ch.isascii() else " " for ch in query.lower()).split()))
+    """(id, score) by BM25 without an index. Only the query's terms leave the scan, and of every document its length; see
+    :mod:`quern.operators.textindex` for the stored form."""
+    terms = query_terms(query)
     d = df.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t")).filter("t is not null")
     tf = [F.size(F.filter("t", _equals(w))).alias(f"tf{i}") for i, w in enumerate(terms)]
     d = d.select("id", F.size("t").alias("dl"), *tf)
     stats = d.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     hit = d.filter(" or ".join(f"tf{i} > 0" for i in range(len(terms))) if terms else "false").crossJoin(stats)  # one row
-    score = _sum(
-        [
-            F.log(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1)
-            / (F.col(f"tf{i}") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-            for i in range(len(terms))
-        ]
-    )
+    score = _sum([bm25_score(F.col("n"), F.col(f"df{i}"), F.col(f"tf{i}"), F.col("dl"), F.col("avgdl"), k1, b) for i in range(len(terms))])
     return hit.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(k)

@@ -64,7 +64,10 @@ def size_gates(spark, sf):
     return table(spark, sf, "code_chunks").select("id", C.too_small(c).alias("small"), C.too_large(c).alias("large"))
 
 
-@query()
+@query(r"""
+WITH l AS (SELECT id, content, list_transform(string_split(content, chr(10))[1:5], lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')) AS ls FROM code_chunks),
+j AS (SELECT *, list_reduce(ls, lambda s, x: CASE WHEN contains(s, '{') OR contains(s, ':') OR x = '' THEN s ELSE s || ' ' || x END) AS t FROM l)
+SELECT id, CASE WHEN content IS NULL OR ls[1] = '' THEN NULL WHEN instr(t, '{') > 1 THEN rtrim(split_part(t, '{', 1)) ELSE t END AS signature FROM j""")
 def signature_extract(spark, sf):
     return table(spark, sf, "code_chunks").select("id", C.signature(F.col("content")).alias("signature"))
 

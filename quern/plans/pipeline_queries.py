@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quern.operators import syntax
 from quern.operators.durable import durable
 from quern.operators.embed import embed_documents
-from quern.plans.session_queries import session_log
+from quern.plans.session_queries import STREAM, session_log
 from quern.queries import query, table
 
 
@@ -30,16 +30,15 @@ def embed_docs(spark, sf):
     return embed_documents(d).select("doc_id", "token_count", "embed_ok", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
-@query()
+@query(STREAM)
 def stream_sessions(spark, sf):
     """The session stream over all events, run to its end; the last state of every session."""
-    import tempfile
     import uuid
 
+    from quern.operators.folders import shared_folder
     from quern.streaming.sessions import session_stream
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quern-")  # its own only where unset
-    work = f"{shared.rstrip('/')}/sessions-{uuid.uuid4().hex}"
+    work = f"{shared_folder(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
     session_log(spark, sf).write.parquet(f"{work}/in")
     events = spark.readStream.schema(spark.read.parquet(f"{work}/in").schema).parquet(f"{work}/in")
     out = session_stream(events, ttl_s=None).writeStream.foreachBatch(lambda b, n: b.write.parquet(f"{work}/out/{n}")).outputMode("update")

@@ -1,11 +1,16 @@
 """Search queries over the current vector records and the embeddings."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as TX
 from quern.functions.vectors import usable
 from quern.operators import predicates as P
 from quern.operators import search as S
+from quern.operators import textindex as TI
+from quern.operators.folders import shared_folder
+from quern.operators.maintenance import SnapshotStore
 from quern.queries import query, table
 
 QUERY = "filter index row cache"  # keywords of the sample searches
@@ -123,18 +128,42 @@ def hybrid_rerank(spark, sf):
     return h.select("id", F.round("vector_score", 6).alias("vector_score"), F.round("combined_score", 6).alias("combined_score"))
 
 
-@query(r"""
+_BM25 = r"""
 WITH d AS (SELECT doc_id AS id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS t FROM documents WHERE text IS NOT NULL),
 f AS (SELECT id, len(t) AS dl, """ + ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(["cache", "index", "rows"])) + r""" FROM d),
 s AS (SELECT count(*) AS n, avg(dl) AS a, """ + ", ".join(f"count(*) FILTER (f{i} > 0) AS d{i}" for i in range(3)) + r""" FROM f)
 SELECT id, round(score, 6) AS score FROM (SELECT id, """ + " + ".join(
     f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / a))" for i in range(3)
-) + """ AS score FROM f, s WHERE f0 + f1 + f2 > 0) ORDER BY score DESC, id LIMIT 20""")
+) + """ AS score FROM f, s WHERE f0 + f1 + f2 > 0) ORDER BY score DESC, id LIMIT 20"""
+
+
+@query(_BM25)
 def bm25_topk(spark, sf):
     d = table(spark, sf, "documents")
     return S.bm25_topk(d, "index rows cache", 20, "doc_id", "text").select("id", F.round("score", 6).alias("score"))
 
 
+def _stored(spark, at, **tables):
+    """Tables written to a store in the shared folder and read back from it."""
+    store = SnapshotStore(spark, f"{shared_folder(spark)}/text-{uuid.uuid4().hex}", buckets=8)
+    store.commit(tables, dict.fromkeys(tables, "id"))
+    return store
+
+
+@query(_BM25.replace("SELECT id, round(score", "SELECT id::VARCHAR AS id, round(score").replace("ORDER BY score DESC, id LIMIT", "ORDER BY score DESC, id::VARCHAR LIMIT"))
+def bm25_indexed(spark, sf):
+    d = table(spark, sf, "documents")
+    store = _stored(spark, sf, postings=TI.postings(d, "doc_id", "text"), lengths=TI.lengths(d, "doc_id", "text"))
+    return TI.bm25(store.read("postings"), store.read("lengths"), "index rows cache", 20).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {CURRENT} SELECT id, file_path, round({_TEXT}, 6) AS combined_score FROM cur WHERE {_TEXT} > 0 ORDER BY {_TEXT} DESC, id LIMIT 50")
+def keyword_indexed(spark, sf):
+    r = current_records(spark, sf)
+    store = _stored(spark, sf, postings=TI.postings(r, more=("name", "signature"), path="file_path"))
+    return TI.keyword_search(r, store.read("postings"), QUERY, 50).select("id", "file_path", F.round("combined_score", 6).alias("combined_score"))
+
+
 @query(r"""
 SELECT term, count(*) AS docs, sum(tf)::BIGINT AS occurrences FROM (
   SELECT doc_id, term, count(*) AS tf FROM (

@@ -53,6 +53,13 @@ def session_summary(spark, sf):
     return SE.summary(session_log(spark, sf))
 
 
+#: The last state of the session stream of plans.pipeline_queries.
+STREAM = f"""WITH {LOG}, {_V}, {_F.format(cap=10000)}
+SELECT session_id, max(seq) AS last_seq, least(count(*) FILTER (action = 'reason'), 1000) AS log_count,
+  (SELECT count(*) FROM vis WHERE vis.session_id = log.session_id AND n <= 10000) AS visited_count, (SELECT count(*) FROM fr WHERE fr.session_id = log.session_id) AS frontier_count,
+  (SELECT count(DISTINCT node_id) FROM log a WHERE a.session_id = log.session_id AND action = 'annotate') AS annotation_count FROM log GROUP BY session_id"""
+
+
 @query(f"WITH {LOG} SELECT session_id, max(ts) AS last_accessed_at FROM log GROUP BY 1 HAVING epoch_ms(TIMESTAMP '2024-01-31 00:00:00') - epoch_ms(max(ts)) > 3600000")
 def session_expired(spark, sf):
     return SE.expired(session_log(spark, sf), "2024-01-31 00:00:00")

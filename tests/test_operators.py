@@ -385,3 +385,38 @@ def test_store_buckets_appends_and_meta(spark, tmp_path):
     with pytest.raises(Conflict):  # what was read before another commit does not overwrite it
         s.commit({"log": one}, seen=seen)
     assert s.read("log", "file_path string, n int").count() == 4
+
+
+def test_blocks_of_queries_equal_broadcast_queries(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(f"v{k:03}", rng.choice([None, [], [0.0] * 8, [1.0] * 3]) if k % 20 == 0 else [rng.gauss(0, 1) for _ in range(8)]) for k in range(300)]
+    df = spark.createDataFrame(rows + rows[:5], "id string, vector array<float>").withColumn("i", F.lit(1)).withColumn("score", F.lit(0.5))
+    q = df.filter("size(vector) = 8 and id < 'v050'").distinct().select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    one = {tuple(r) for r in S.vector_topk_batch(df, q, 4).select("query_id", "id", F.round("score", 9), "rank").collect()}
+    for name, n in (("BROADCAST_QUERIES", 0), ("QUERIES", 7), ("ROWS", 50)):
+        monkeypatch.setattr(S, name, n)
+    blocks = {tuple(r) for r in S.vector_topk_batch(df, q, 4).select("query_id", "id", F.round("score", 9), "rank").collect()}
+    assert one == blocks and len(one) == 4 * q.count()
+    assert S.vector_topk_batch(df, q.filter("false"), 4).count() == 0 and S.vector_topk_batch(df.filter("false"), q, 4).count() == 0
+
+
+def test_text_index_equals_the_scan(spark):
+    from quern.operators import textindex as TI
+
+    rng = random.Random(9)
+    words = ["door", "open", "indoor", "key_9", "Lock", "x1", "é", ""]
+    rows = [(f"d{k}", rng.choice([None, "", " ", "!!"]) if k % 15 == 0 else " ".join(rng.choice(words) for _ in range(rng.randrange(1, 40))), rng.choice([None, "openDoor", "lock"]), rng.choice([None, "fn(door)"])) for k in range(120)]
+    df = spark.createDataFrame(rows, "id string, content string, name string, signature string")
+    index, sizes = TI.postings(df, more=("name", "signature")), TI.lengths(df)
+    have = {(r.term, r.id): (r.tf, r.doc_len) for r in index.collect()}
+    plain = {(r.term, r.id): (r.tf, r.doc_len) for r in S.inverted_index(df).collect()}
+    assert {k: v for k, v in have.items() if v[0]} == plain
+    for query in ("door", "open door key", "nothing here", "DOOR lock x1", "9"):
+        a = [(r.id, round(r.score, 9)) for r in TI.bm25(index, sizes, query, 15).collect()]
+        b = [(r.id, round(r.score, 9)) for r in S.bm25_topk(df, query, 15).collect()]
+        assert a == b
+        cols = ["id", "combined_score"]
+        assert TI.keyword_search(df, index, query, 500).select(cols).collect() == S.keyword_search(df, query, 500).select(cols).collect()
+    assert TI.candidates(index, "key_9 door") is None
+    assert TI.keyword_search(df, index, "key_9", 500).select(cols).collect() == S.keyword_search(df, "key_9", 500).select(cols).collect()
+    assert TI.postings(df.filter("false")).count() == 0
