@@ -17,11 +17,11 @@ FIELDS = "term string, id string, file_path string, tf int, doc_len int"
 
 
 def postings(rows: DataFrame, id_col: str = "id", content: str = "content", more: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
-    """(term, id, file_path, tf, doc_len) of content and the columns ``more``; rows with null content have none. A row's terms
-    never leave its task."""
-    t = tokens(F.col(content))
+    """(term, id, file_path, tf, doc_len) of content and the columns ``more``; null counts as empty. A row's terms never leave
+    its task."""
+    t = F.coalesce(tokens(F.col(content)), F.array().cast("array<string>"))
     rest = F.array_distinct(F.concat(*[F.coalesce(tokens(F.col(c)), F.array().cast("array<string>")) for c in more])) if more else F.array().cast("array<string>")
-    d = rows.filter(F.col(content).isNotNull()).select(F.col(id_col).cast("string").alias("id"), (F.col(path) if path else F.lit(None).cast("string")).alias("file_path"), F.array_sort(t).alias("t"), rest.alias("r"))
+    d = rows.select(F.col(id_col).cast("string").alias("id"), (F.col(path) if path else F.lit(None).cast("string")).alias("file_path"), F.array_sort(t).alias("t"), rest.alias("r"))
     n = F.size("t")
     # Of a sorted list, where each term begins: its count is the distance to the next beginning.
     begins = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.element_at("t", i) != F.element_at("t", F.greatest(i - 1, F.lit(1)))))
