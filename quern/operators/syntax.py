@@ -1,8 +1,9 @@
 """Semantic chunks and symbol edges of source files.
 
-Python files are parsed with the standard ``ast`` module. Other languages are read by a scanner that knows strings,
-comments and brackets and cuts a file into its top-level declarations; it is approximate where a declaration depends
-on more than its first words. A file in an unknown language, one without a declaration of two lines and fifty
+Python files are parsed with the standard ``ast`` module, TypeScript, JavaScript, Go, Rust and C with the bundled grammars
+(:mod:`quern.operators.declarations`). TSX, JSX, Java, C# and C++ are read by a scanner that knows strings, comments and
+brackets and cuts a file into its top-level declarations; it is approximate where a declaration depends on more than its
+first words. A file in an unknown language, one without a declaration of two lines and fifty
 characters, and one that fails falls back to line windows and gives no edges. Files are independent: a failure is a
 row's, not the job's. Chunks over the size limit are split by :func:`quern.operators.chunking.split_large`.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import chunk_id
-from quern.operators import chunking
+from quern.operators import chunking, declarations
 from quern.operators.languages import LANGUAGES, WITH_EDGES, by_extension
 
 Unit = tuple  # (node_type, name, first line, last line, text, docstring)
@@ -269,6 +270,8 @@ def units(path: str, text: str) -> tuple[str | None, list[tuple[Unit, list[Edge]
         return None, []
     if lang == "python":
         found = [(u, python_edges(tree)) for u, tree in python_units(text)]
+    elif lang in declarations.WITH_GRAMMAR:
+        found = [x for x in declarations.units(lang, text) if x[0][0] in LANGUAGES[lang]["types"]]
     else:
         found = [(u, script_edges(u[0], u[4]) if lang in WITH_EDGES else [(u[1], "exports", None)] if u[0] == "export_statement" and u[1] else []) for u in scan_units(lang, text)]
     return {"tsx": "typescript", "jsx": "javascript"}.get(lang, lang), [(u, e) for u, e in found if not small(u[4])]

@@ -61,6 +61,72 @@ def test_scanner(path):
         assert u[4].split("\n")[0].strip() in text.split("\n")[u[2] - 1]
 
 
+NESTED = """import { a } from './a';
+namespace Shop.Parts {
+  // Opens it.
+  export function openShop(key: string): void {
+    return unlock(key, obj?.turn(1), new Key(2), obj.deep.call<string>(3));
+  }
+  interface Door extends Base, Other<Key> {
+    open(): void; close(): void; lock(): void;
+  }
+}
+describe('doors', () => {
+  const handle = makeHandle(1, 2, 3,
+    'more of it');
+  function helper(x) {
+    function inner() { return x }
+    return inner() + 'text that is long enough';
+  }
+});
+if (flag) {
+  class Late<T> extends mixin(Base) implements A.B, C<T> {
+    run<U>(x: U): U { return this.walk(x); }
+    stop() { super.stop(); if (x) { y() } }
+  }
+}
+module.exports = {
+  method(a, b) {
+    return combine(a, b, 'text that is long enough');
+  },
+};
+export default class extends Thing {
+  draw() { return paint(this.color, 'long enough') }
+}
+function broken( {
+export const last = async (n: number) => {
+  return n * 42 + fortyTwo(n);
+};
+abstract class Odd<T = { a: 1 }> {
+  abstract f(): void; g = (x: number) => h(x);
+}
+"""
+
+
+def test_declarations_within_others_and_behind_broken_ones():
+    _, got = syntax.units("x.ts", NESTED)
+    units = [(u[0], u[1], u[2], u[3]) for u, _ in got]
+    assert units == [
+        ("export_statement", "openShop", 4, 6), ("interface_declaration", "Door", 7, 9), ("lexical_declaration", "handle", 12, 13), ("function_declaration", "helper", 14, 17),
+        ("class_declaration", "Late", 20, 23), ("method_definition", "method", 26, 28), ("export_statement", None, 30, 32), ("export_statement", "last", 34, 36), ("class_declaration", "Odd", 37, 39),
+    ]
+    edges = {u[1]: set(e) for u, e in got}
+    assert edges["openShop"] == {("unlock", "calls", None), ("turn", "calls", None), ("call", "calls", None), ("openShop", "exports", None)}
+    assert edges["helper"] == {("inner", "calls", None)} and edges["method"] == {("combine", "calls", None)}
+    assert edges["Late"] == {("mixin", "extends", None), ("mixin", "calls", None), ("A", "implements", None), ("C", "implements", None), ("T", "implements", None), ("walk", "calls", None), ("stop", "calls", None), ("y", "calls", None)}
+    assert {("paint", "calls", None), ("Thing", "extends", None)} == edges[None] and ("h", "calls", None) in edges["Odd"]
+    assert got[0][0][5] == "// Opens it."
+
+
+def test_declarations_of_other_languages():
+    go = "package a\n\nfunc Map[K comparable](m map[K]struct{ a int }, f func(K) (int, error)) (x []K) {\n\treturn nil // some more text\n}\n\ntype (\n\tA struct{ x int }\n\tB = map[string]int // and more\n)\n"
+    assert [(u[0], u[1], u[2], u[3]) for u, _ in syntax.units("a.go", go)[1]] == [("function_declaration", "Map", 3, 5), ("type_declaration", None, 7, 10)]
+    rs = "#[derive(Debug)]\npub struct P<T>(pub T, u8)\nwhere T: Clone + Send + Sync + Default;\nunsafe impl<'a, T: X<Y>> Tr<T> for &'a S<T> where T: Q {\n    fn a(&self) {} // some more text here\n}\nmod inner {\n    pub async fn deep() -> Result<(), E> { work().await }\n}\nmacro_rules! m { () => {\n    fn hidden_in_macro(x: u32) -> u32 {\n        x + 1 + 2 + 3 + 4 + 5 } } }\n"
+    assert [(u[0], u[1], u[2], u[3]) for u, _ in syntax.units("a.rs", rs)[1]] == [("struct_item", "P", 1, 3), ("impl_item", "Tr", 4, 6), ("mod_item", "inner", 7, 9), ("function_item", "hidden_in_macro", 11, 12)]
+    c = "typedef struct node {\n  struct node *next; unsigned flags : 3; int value;\n} node_t;\n\nextern int table[] = {\n  1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15\n};\nstatic int f(int (*cb)(int), char *b[]) {\n  int local_one = cb(1), local_two = cb(2); return b[0][1];\n}\n"
+    assert [(u[0], u[1], u[2], u[3]) for u, _ in syntax.units("a.c", c)[1]] == [("struct_specifier", "node", 1, 3), ("declaration", None, 5, 7), ("function_definition", "f", 8, 10)]
+
+
 def test_python_units():
     lang, got = syntax.units("x.py", PY)
     (f, fe), (c, ce) = got
