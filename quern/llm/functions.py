@@ -34,222 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import gll, lexers, pda
+from quern.grammars.tokens import ORDER, Tokens, body_end, header, parse_header
 from quern.llm.blocks import per_block
 from quern.llm.common import durable
 from quern.llm.parsing import first_error, language_of
 
 TEMPLATE = 5
-_GRAMMAR = {"python": "functions_python", "typescript": "functions_js", "javascript": "functions_js", "go": "functions_go", "rust": "functions_rust", "c": "functions_c"}
-_ORDER = ("typescript", "python", "go", "rust", "c")
-# Words that can never name a function in any of the languages.
-_RESERVED = frozenset(
-    "if for while switch catch return else do try match loop with class struct enum interface type impl trait import from package new throw raise case elif except finally".split()
-)
 _JUNK = re.compile(r"(?:(?:<<<<<<<|>>>>>>>|=======|\|\|\|\|\|\|\||[-+ ]?@@|diff |---|\+\+\+)[^\n]*\n|[ \t\r]*\n)+")
-_shapes: dict[tuple, tuple | None] = {}
-
-
-_CLOSE = {"(": ")", "[": "]", "{": "}"}
-_OPEN = {v: k for k, v in _CLOSE.items()}
-_AGAIN = re.compile(r"(?:async[ \t]+)?def[ \t]+\w+[ \t]*[(\[]|class[ \t]+\w+[ \t]*[:(]|@\w")
-_recognisers: dict[str, pda.Recogniser] = {}
-
-
-class Tokens:
-    """Tokens of a text with their brackets matched, the places where statements can begin and the comments before these."""
-
-    def __init__(self, lang: str, text: str, start: int):
-        self.lang, self.text = lang, text
-        self.base = "javascript" if lang == "typescript" else lang
-        python = self.base == "python"
-        self.texts: list[str] = []
-        self.starts: list[int] = []
-        self.ends: list[int] = []
-        self.fresh: list[bool] = []
-        self.comments: dict[int, list[tuple[int, int]]] = {}
-        self.shut: dict[int, int] = {}  # of an opening bracket the closing one; missing if none is left
-        stack: list[int] = []
-        held: list[tuple[int, int]] = []
-        line = True
-        last = start
-        for m in lexers._LEX[lang].finditer(text, start):
-            t = m[1]
-            if t is None:
-                if not (python and m[0] == "\\\n") and not (self.base == "c" and m[0].lstrip().startswith("#")):
-                    held.append((m.start(), m.end()))
-                continue
-            if t[0] == "\n":
-                if not python:
-                    continue
-                if stack and _AGAIN.match(text, m.end(1)):
-                    stack.clear()
-                if not stack and self.texts and self.texts[-1][0] != "\n":
-                    self._put(t, m, False)
-                line = not stack
-                continue
-            n = len(self.texts)
-            if held:
-                self.comments[n] = held
-                held = []
-            self._put(t, m, n == 0 or self.texts[-1] in ";{}" or (line if python else "\n" in text[last : m.start(1)]))
-            line, last = False, m.end(1)
-            if t in _CLOSE:
-                stack.append(n)
-            elif t in _OPEN:
-                at = len(stack) - 1
-                while at >= 0 and self.texts[stack[at]] != _OPEN[t] and (t == "}" or self.texts[stack[at]] != "{"):
-                    at -= 1
-                if at >= 0 and self.texts[stack[at]] == _OPEN[t]:
-                    for k in stack[at:]:
-                        self.shut[k] = n
-                    del stack[at:]
-
-    def _put(self, t, m, fresh):
-        self.texts.append(t)
-        self.starts.append(m.start(1))
-        self.ends.append(m.end(1))
-        self.fresh.append(fresh)
-
-    def before(self, i: int) -> list[str]:
-        """The comments directly before token ``i``: all for the first, else those with a line of their own."""
-        own = self.comments.get(i, [])
-        text = self.text
-        return [text[a:b] for a, b in own if i == 0 or not text[text.rfind("\n", 0, a) + 1 : a].strip()]
-
-
-def _kind(lang: str, words, t: str) -> str:
-    if t in words and not t.isupper():
-        return t
-    if t in _RESERVED:
-        return "RESERVED"
-    if t[0].isidentifier() or t[0] == "$":
-        return "STR" if t[-1] in "\"'" else "ID"
-    if t[0].isdigit():
-        return "NUM"
-    if t[0] in "\"'`" and len(t) > 1:
-        return "LIFE" if lang == "rust" and t[-1] != t[0] else "STR"
-    return t
-
-
-def _angles(tk: Tokens, j: int) -> int | None:
-    """Index of the token that closes the angle bracket at ``j``."""
-    depth, n = 0, len(tk.texts)
-    while j < n:
-        t = tk.texts[j]
-        if t == "<":
-            depth += 1
-        elif t in (">", ">>"):
-            depth -= len(t)
-            if depth <= 0:
-                return j
-        elif t in _CLOSE:
-            j = tk.shut.get(j, n)
-        elif t in _OPEN or t == ";":
-            return None
-        j += 1
-    return None
-
-
-def _header(tk: Tokens, i: int):
-    """(terminals, their tokens) from token ``i`` up to a body, as far as the function grammar has a parse left."""
-    lang, base = tk.lang, tk.base
-    g = pda.bundled(_GRAMMAR[lang])
-    rec = _recognisers.get(lang)
-    if rec is None or len(rec.states) > rec.LIMIT:
-        rec = _recognisers[lang] = pda.Recogniser(g, {})
-    state = rec.first
-    kinds: list[str] = []
-    at: list[int] = []
-    j, n = i, len(tk.texts)
-    while j < n:
-        t = tk.texts[j]
-        here, nxt = j, j + 1
-        if t == "{" and base != "python" or t == "=>" and base == "javascript" or t == ":" and base == "python":
-            kind = "BODY"
-        elif t in _CLOSE:
-            shut = tk.shut.get(j)
-            if shut is None or tk.texts[shut] != _CLOSE[t]:
-                return None
-            kind, nxt = {"(": "PARENS", "[": "BRACKETS", "{": "BRACES"}[t], shut + 1
-        elif t in _OPEN or t == ";":
-            return None
-        elif t[0] == "\n":
-            kind = "NL"
-        elif t == "<" and base in ("javascript", "rust") and kinds and kinds[-1] in ("ID", "function", "=", "async", "impl"):
-            shut = _angles(tk, j)
-            if shut is None:
-                return None
-            kind, nxt = "ANGLES", shut + 1
-        else:
-            kind = _kind(lang, g.terminals, t)
-        state = state[kind]
-        if state is None:
-            return None
-        kinds.append(kind)
-        at.append(here)
-        if kind == "BODY":
-            return kinds, at
-        j = nxt
-    return None
-
-
-def _body_end(tk: Tokens, i: int, body: int) -> tuple[int, bool]:
-    """(end in the text, whether the body is cut off) of the body that begins with token ``body`` of a function at token ``i``."""
-    texts, n = tk.texts, len(tk.texts)
-    if texts[body] == "=>" and body + 1 < n and texts[body + 1] == "{":
-        body += 1
-    if texts[body] == "{":
-        shut = tk.shut.get(body)
-        cut = shut is None or texts[shut] != "}"
-        return (len(tk.text) if shut is None else tk.ends[shut] if not cut else tk.starts[shut]), cut
-    j = body + 1
-    if tk.base == "python":
-        if j >= n:
-            return len(tk.text), True
-        column = tk.starts[i] - (tk.text.rfind("\n", 0, tk.starts[i]) + 1)
-        while j < n:
-            if texts[j][0] == "\n" and (j + 1 >= n or len(tk.text[tk.text.rfind("\n", 0, tk.starts[j + 1]) + 1 : tk.starts[j + 1]]) <= column):
-                return tk.ends[j - 1], j == body + 1
-            j = tk.shut.get(j, n - 1) + 1 if texts[j] in _CLOSE else j + 1
-        return len(tk.text), False
-    while j < n:
-        t = texts[j]
-        if t in _OPEN or t in ";," or tk.fresh[j] and j > body + 1 and (t[0].isalnum() or t[0] in "_$@") and (texts[j - 1][-1].isalnum() or texts[j - 1][-1] in "_$)]}\"'`"):
-            break
-        j = tk.shut.get(j, n - 1) + 1 if t in _CLOSE else j + 1
-    return (tk.ends[j - 1] if j > body + 1 else tk.ends[body]), j == body + 1
-
-
-def _names(kinds: list[str], p: int) -> bool:
-    """Whether the token at ``p`` stands where a function's name does: after its keyword, or before parameters or ``=``."""
-    if p and kinds[p - 1] in ("def", "fn"):
-        return True
-    if "def" in kinds or "fn" in kinds:
-        return False
-    q = p + 1
-    while q < len(kinds) and kinds[q] in ("?", "ANGLES", "BRACKETS"):
-        q += 1
-    return q < len(kinds) and (kinds[q] == "PARENS" or kinds[q] == "=" or kinds[q] == ":" and "=" in kinds[q:]) and ("=" not in kinds or q <= kinds.index("="))
-
-
-def _parse_header(lang: str, kinds: list[str]) -> int | None:
-    """Index of the function's name token if the header is one of a function, -1 if it has no name."""
-    key = (lang == "javascript" and "typescript" or lang, *kinds)
-    if key in _shapes:
-        return _shapes[key]
-    g = pda.bundled(_GRAMMAR[lang])
-    r = gll.parse(g, kinds)
-    at = None
-    if len(kinds) in r.ends.get((g.start, 0), ()):
-        name = g.number["name"]
-        found = [p for (rule, p), ends in r.ends.items() if rule == name and ends]
-        at = max((p for p in found if _names(kinds, p)), default=-1)
-    if len(kinds) <= 60:  # longer shapes hardly recur
-        if len(_shapes) > 50_000:
-            _shapes.clear()
-        _shapes[key] = at
-    return at
 
 
 class Function(NamedTuple):
@@ -266,13 +57,13 @@ class Function(NamedTuple):
 
 
 def _function(tk: Tokens, i: int) -> tuple[Function, int] | None:
-    h = _header(tk, i)
-    at = h and _parse_header(tk.lang, h[0])
+    h = header(tk, i)
+    at = h and parse_header(tk.lang, h[0])
     if at is None:
         return None
     kinds, where = h
     begin, body = tk.starts[i], tk.ends[where[-1]]
-    end, cut = _body_end(tk, i, where[-1])
+    end, cut = body_end(tk, i, where[-1])
     plain = tk.base != "javascript" or not {"function", "const", "let", "var"}.isdisjoint(kinds)
     name = tk.texts[where[at]] if at >= 0 else None
     return Function(tk.lang, name, tk.text[begin:body].rstrip("{:").strip(), tk.before(i), i == 0, begin, body, max(end, body), cut, plain), where[-1]
@@ -287,7 +78,7 @@ def _begin(text: str) -> tuple[str, int]:
 def _own(lang: str, text: str, start: int):
     """(tokens, function, its body token) of the first language in which a function begins the text, else those of ``lang``."""
     own = None
-    for k in (lang, *(x for x in _ORDER if x != lang and not (x == "typescript" and lang == "javascript"))):
+    for k in (lang, *(x for x in ORDER if x != lang and not (x == "typescript" and lang == "javascript"))):
         tk = Tokens(k, text, start)
         own = own or tk
         f = _function(tk, 0)

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import lexers
+from quern.grammars import lexers
 from quern.llm.blocks import per_block
 from quern.llm.common import bounded_sample, current, durable
 from quern.llm.parsing import assemble, language_of

@@ -1,7 +1,7 @@
 """Source files that do not parse (problem 7).
 
 The chunks of a file are put together by line number, each line once, and the token stream of the file's language is
-run to its end through the table-driven recogniser of :mod:`quern.llm.pda` with the bundled grammar. The first
+run to its end through the table-driven recogniser of :mod:`quern.grammars.pda` with the bundled grammar. The first
 token at which no parse is left is the file's error. JavaScript and TypeScript get their semicolons inserted by the
 rule of the language: only before a token that no parse accepts, after a line end, before ``}`` or at the end.
 
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm import lexers, pda
+from quern.grammars import lexers, pda
 from quern.llm.blocks import per_block
 
 _loaded: dict[str, tuple] = {}
