@@ -1,5 +1,7 @@
 """Typed errors of the engine."""
 
+import re
+
 
 class QuernError(Exception):
     """Base class; ``details`` carries machine-readable context."""
@@ -8,6 +10,14 @@ class QuernError(Exception):
         super().__init__(message)
         self.details = details
 
+    @property
+    def code(self) -> str:
+        """Name of the kind of error for machines, such as INVALID_FILTER."""
+        return re.sub(r"(?<!^)(?=[A-Z])", "_", type(self).__name__).upper()
+
+    def as_dict(self) -> dict:
+        return {"code": self.code, "message": str(self), "details": self.details}
+
 
 class EmbedderError(QuernError):
     """The embedder failed."""

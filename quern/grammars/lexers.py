@@ -211,6 +211,77 @@ def tokens_with_lines(lang: str, text: str) -> list[tuple[str, int]]:
     return out
 
 
+_F_PREFIX = re.compile(r"[rR]?[fF][rR]?(\"\"\"|\'\'\'|[\"\'])")
+
+
+def holes(token: str) -> list[str] | None:
+    """The expressions in the holes of a Python string, those of its format specifications included; none if it is no f-string,
+    None if a hole does not end or a brace stands alone."""
+    m = _F_PREFIX.match(token)
+    if not m:
+        return []
+    out: list[str] = []
+    end = _literal(token[m.end() : len(token) - len(m[1])], 0, out, False)
+    return None if end < 0 else out
+
+
+def _literal(s: str, i: int, out: list[str], spec: bool) -> int:
+    """Position behind a literal part (of a specification: its closing brace), or -1."""
+    while i < len(s):
+        if s[i] == "{":
+            if not spec and s.startswith("{{", i):
+                i += 2
+                continue
+            i = _hole(s, i + 1, out)
+            if i < 0:
+                return -1
+        elif s[i] == "}":
+            if spec:
+                return i
+            if not s.startswith("}}", i):
+                return -1
+            i += 2
+        elif s.startswith("\\N{", i):  # a character by its name
+            i = s.find("}", i) + 1 or len(s)
+        else:
+            i += 2 if s[i] == "\\" and s[i + 1 : i + 2] not in ("{", "}") else 1
+    return -1 if spec else i
+
+
+def _hole(s: str, i: int, out: list[str]) -> int:
+    """Position behind the hole whose expression begins at ``i``, or -1."""
+    start, depth = i, 0
+    while i < len(s):
+        c = s[i]
+        if c in "\"'":
+            q = s[i : i + 3] if s[i : i + 3] in ('"""', "'''") else c
+            i = s.find(q, i + len(q))
+            if i < 0:
+                return -1
+            i += len(q)
+            continue
+        if c in "([{":
+            depth += 1
+        elif c in ")]}" and depth:
+            depth -= 1
+        elif c == "}" or depth == 0 and (c == ":" or c == "!" and s[i + 1 : i + 2] != "="):
+            break
+        i += 1
+    else:
+        return -1
+    out.append(re.sub(r"(?<![=!<>:])=\s*$", "", s[start:i]))
+    if s[i] == "!":
+        m = re.compile(r"!\s*[rsa]\s*").match(s, i)
+        if not m or s[m.end() : m.end() + 1] not in ("}", ":"):
+            return -1
+        i = m.end()
+    if s[i] == ":":
+        i = _literal(s, i + 1, out, True)
+        if i < 0:
+            return -1
+    return i + 1
+
+
 _PIECES = {
     "python": re.compile(rf"(?P<c>#[^\n]*)|(?P<s>{_PRE}(?:{_TRIPLE})|{_PRE}(?:{_DQ}|{_SQ}))"),
     "javascript": re.compile(rf"(?P<c>{_SLASH})|(?P<s>{_DQ}|{_SQ}|{_TPL}|`[^`]*`)"),

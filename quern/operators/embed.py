@@ -72,14 +72,26 @@ def embed_batch(embedder: Embedder, texts: Sequence[str | None], dimension: int)
     return out
 
 
-def embed_documents(df: DataFrame, text: str = "content", make: Callable[[], Embedder] | None = None, dimension: int = 64) -> DataFrame:
-    """``df`` with vector, token_count, embed_ok and embed_error. ``make`` builds the embedder once per task."""
+_made: dict[str, Embedder] = {}
+
+
+def _once(make: Callable[[], Embedder], key: str | None) -> Embedder:
+    if key is None:
+        return make()
+    if key not in _made:
+        _made[key] = make()
+    return _made[key]
+
+
+def embed_documents(df: DataFrame, text: str = "content", make: Callable[[], Embedder] | None = None, dimension: int = 64, key: str | None = None) -> DataFrame:
+    """``df`` with vector, token_count, embed_ok and embed_error. ``make`` builds the embedder once per task, or, with a
+    ``key`` that names it, once per Python worker, which serves many tasks."""
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL("vector array<float>, token_count int, embed_ok boolean, embed_error string").fields])
 
     def run(frames):
-        e = make() if make else HashEmbedder(dimension)
+        e = _once(make, key) if make else HashEmbedder(dimension)
         for f in frames:
             r = embed_batch(e, f[text].tolist(), dimension)
             yield f.assign(vector=[x[0] for x in r], token_count=[x[1] for x in r], embed_ok=[x[2] for x in r], embed_error=[x[3] for x in r])

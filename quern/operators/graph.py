@@ -46,6 +46,21 @@ def nodes_of(chunks: DataFrame) -> DataFrame:
     return part.groupBy("id").agg(F.min(F.struct("start_line", "end_line", "file_path", "symbol_name", "kind")).alias("r")).select("id", "r.*")
 
 
+def node(nodes: DataFrame, node_id: str) -> DataFrame:
+    """The node of an id; the filter reaches the scan."""
+    return nodes.filter(F.col("id") == node_id)
+
+
+def nodes_of_file(nodes: DataFrame, path: str) -> DataFrame:
+    """The nodes of a file in the order of their lines."""
+    return nodes.filter(F.col("file_path") == path).orderBy("start_line", "id")
+
+
+def stale(nodes: DataFrame) -> DataFrame:
+    """The nodes whose file has changed since they were made."""
+    return nodes.filter("stale")
+
+
 def symbol_index(nodes: DataFrame) -> DataFrame:
     """(symbol, id): one row per node with a symbol; no symbol's ids are ever gathered in one row."""
     return nodes.filter("symbol_name is not null").select(F.col("symbol_name").alias("symbol"), "id").distinct()

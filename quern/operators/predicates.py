@@ -14,14 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quern.errors import InvalidFilter, PathOutsideRoot
+from quern.operators.languages import LANGUAGES
 
 LIMIT = 500
 _SAFE = re.compile(r"[A-Za-z0-9_\-%]+")
-# Language by extension, for patterns of the form *.ext.
-PATTERN_LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "py": "python", "go": "go", "rs": "rust",
-    "mjs": "javascript", "cjs": "javascript", "pyw": "python",
-}
+_PLAIN = {"tsx": "typescript", "jsx": "javascript"}
+#: Language by extension, for patterns of the form *.ext.
+PATTERN_LANGUAGES = {e[1:]: _PLAIN.get(k, k) for k in ("typescript", "tsx", "javascript", "jsx", "python", "go", "rust") for e in LANGUAGES[k]["extensions"]}
 #: Spellings of a language in the data: fallback rows carry the bare extension.
 ALIASES = {"typescript": ("typescript", "ts", "tsx"), "javascript": ("javascript", "js", "jsx", "mjs", "cjs"), "python": ("python", "py", "pyw"), "go": ("go",), "rust": ("rust", "rs"), "c": ("c", "h")}
 
@@ -100,11 +99,13 @@ def search_filter(path: str | None = None, file_pattern: str | None = None, comp
     return reduce(lambda a, b: a & b, parts) if parts else F.lit(True)
 
 
-def within_root(root: str, path: str) -> str:
-    """Absolute form of ``path`` below ``root``, or an error."""
+def within_root(root: str, path: str, fold: bool | None = None) -> str:
+    """Absolute form of ``path`` below ``root``, or an error. ``fold``: whether case counts not, as on Windows."""
+    fold = os.name == "nt" if fold is None else fold
+    same = (lambda x: x.casefold()) if fold else (lambda x: x)
     r = os.path.realpath(root)
     p = os.path.realpath(os.path.join(r, path))
-    if p != r and not p.startswith(r.rstrip(os.sep) + os.sep):
+    if same(p) != same(r) and not same(p).startswith(same(r.rstrip(os.sep) + os.sep)):
         raise PathOutsideRoot("path leaves the root", path=path)
     return p
 

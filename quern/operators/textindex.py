@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.functions.text import keywords
-from quern.operators.search import bm25_score, query_terms, text_score, tokens
+from quern.operators.search import bm25_score, query_terms, tokens
 
 FIELDS = "term string, id string, file_path string, tf int, doc_len int"
 
@@ -69,4 +69,4 @@ def keyword_search(rows: DataFrame, index: DataFrame, query: str, k: int = 50, w
     return scan(rows if found is None else rows.join(found, "id", "left_semi").select(*rows.columns), query, k, where)
 
 
-__all__ = ["bm25", "candidates", "keyword_search", "lengths", "postings", "text_score"]
+__all__ = ["bm25", "candidates", "keyword_search", "lengths", "postings"]

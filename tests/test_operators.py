@@ -420,3 +420,25 @@ def test_text_index_equals_the_scan(spark):
     assert TI.candidates(index, "key_9 door") is None
     assert TI.keyword_search(df, index, "key_9", 500).select(cols).collect() == S.keyword_search(df, "key_9", 500).select(cols).collect()
     assert TI.postings(df.filter("false")).count() == 0
+
+
+def test_errors_paths_and_lookups(spark):
+    from quern.errors import InvalidFilter, PathOutsideRoot, QuernError
+    from quern.operators import predicates as P
+
+    e = InvalidFilter("no", pattern="x")
+    assert isinstance(e, QuernError) and e.code == "INVALID_FILTER" and e.as_dict() == {"code": "INVALID_FILTER", "message": "no", "details": {"pattern": "x"}}
+    assert P.within_root("/Srv/Code", "/srv/code/a", fold=True).endswith("/a")
+    with pytest.raises(PathOutsideRoot):
+        P.within_root("/Srv/Code", "/srv/code/a", fold=False)
+    assert P.PATTERN_LANGUAGES["tsx"] == "typescript" and P.PATTERN_LANGUAGES["pyw"] == "python" and len(P.PATTERN_LANGUAGES) == 10
+    n = spark.createDataFrame([("a", "/x", 9, True), ("b", "/x", 2, False), ("c", "/y", 1, False)], "id string, file_path string, start_line int, stale boolean")
+    assert [r.id for r in G.nodes_of_file(n, "/x").collect()] == ["b", "a"] and G.node(n, "c").first().file_path == "/y" and [r.id for r in G.stale(n).collect()] == ["a"]
+
+
+def test_holes_of_format_strings():
+    from quern.grammars.lexers import holes
+
+    good = {"f'{x!r:>{w}} {d[\"k\"]}'": ["x", "w", 'd["k"]'], "f'{{}} {x}'": ["x"], "f'{x=}{z==1}{a!=b}'": ["x", "z==1", "a!=b"], "'{x'": [], "rf'\\{x:%Y-%m}'": ["x"], "f'\\N{DASH}{y}'": ["y"], "f'{ {1:2}[1] }'": [" {1:2}[1] "], 'f"""{\na}"""': ["\na"]}
+    assert {k: holes(k) for k in good} == good
+    assert all(holes(t) is None for t in ("f'{x'", "f'}'", "f'{x!q}'", "f'{x:{y}'"))
