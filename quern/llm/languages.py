@@ -97,7 +97,7 @@ def train(documents: DataFrame) -> np.ndarray:
     rows = bounded_sample(part, "doc_id", TRAIN).collect()
     labelled = []
     for r in rows:
-        for s in sentences_of("\n".join(x for x in r.text.split("\n") if not code_like(x)))[:40]:
+        for s in sentences_of("\n".join(x for x in r.text.split("\n") if not code_like(x))):
             # Commands and names are English in any document; a script settles the rest.
             if r.lang == "en" or r.lang in ("ru", "zh", "ja") and re.search("[Ѐ-ӿ぀-ヿ一-鿿]", s) or r.lang not in ("en", "ru", "zh", "ja"):
                 labelled.append((r.lang, s))
@@ -191,35 +191,40 @@ def file_sentences(lang: str, text: str) -> list[str]:
 
 
 def shares(chunks: DataFrame, model: np.ndarray) -> DataFrame:
-    """(file_path, lang, chars, file_chars, share) for every file and language with text."""
+    """(file_path, lang, chars, bytes, file_chars, share, byte_share) for every file and language with text; bytes are those of
+    UTF-8, and ``byte_share`` is their part of the bytes of the file."""
 
     def run(t: pa.Table) -> pa.Table:
-        paths, sizes, owner, text_of = [], [], [], []
+        paths, sizes, widths, owner, text_of = [], [], [], [], []
         for i, (path, lang, parts) in enumerate(zip(*(t.column(c).to_pylist() for c in ("file_path", "lang", "parts")))):
             text = assemble([(p["start"], p["content"]) for p in parts])
             found = file_sentences(lang, text)
-            size = len(text)
+            size, width = len(text), len(text.encode("utf-8", "replace"))
             docs = sorted({p["docstring"] for p in parts if p["docstring"]})
             if docs:
                 words = _NONWORD.sub("", text)
                 for d in docs:
                     if _NONWORD.sub("", d) not in words:
                         size += len(d)
+                        width += len(d.encode("utf-8", "replace"))
                         found += _prose(d)
             paths.append(path)
             sizes.append(size)
+            widths.append(width)
             owner += [i] * len(found)
             text_of += found
         best = classify(text_of, model)
         chars = np.zeros((len(paths), len(LANGS)), np.int64)
         np.add.at(chars, (np.array(owner, np.int64), best), np.fromiter(map(len, text_of), np.int64, len(text_of)))
+        octets = np.zeros_like(chars)
+        np.add.at(octets, (np.array(owner, np.int64), best), np.fromiter((len(s.encode("utf-8", "replace")) for s in text_of), np.int64, len(text_of)))
         i, k = np.nonzero(chars)
-        size = np.array(sizes, np.int64)[i]
+        size, width = np.array(sizes, np.int64)[i], np.array(widths, np.int64)[i]
         return pa.table(
             {
                 "file_path": pa.array([paths[x] for x in i], pa.string()), "lang": pa.array([LANGS[x] for x in k], pa.string()),
-                "chars": chars[i, k], "file_chars": size, "share": chars[i, k] / np.maximum(size, 1),
+                "chars": chars[i, k], "bytes": octets[i, k], "file_chars": size, "share": chars[i, k] / np.maximum(size, 1), "byte_share": octets[i, k] / np.maximum(width, 1),
             }
         )
 
-    return files(chunks, "docstring").mapInArrow(per_block(run, 16 << 20), "file_path string, lang string, chars bigint, file_chars bigint, share double")
+    return files(chunks, "docstring").mapInArrow(per_block(run, 16 << 20), "file_path string, lang string, chars bigint, bytes bigint, file_chars bigint, share double, byte_share double")

@@ -2,7 +2,7 @@
 
 The chunks of a file are put together by line number, each line once, and the token stream of the file's language is
 run to its end through the table-driven recogniser of :mod:`quern.grammars.pda` with the bundled grammar. The first
-token at which no parse is left is the file's error. JavaScript and TypeScript get their semicolons inserted by the
+token at which no parse is left is the file's error; expressions in the holes of Python's format strings are parsed too. JavaScript and TypeScript get their semicolons inserted by the
 rule of the language: only before a token that no parse accepts, after a line end, before ``}`` or at the end.
 
 Defined results: the language is that of the path's extension; a path that is null or has another extension is not
@@ -14,6 +14,9 @@ are read. The repository of a file is the one with the longest root path that st
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,10 +57,27 @@ def first_error(lang: str, text: str) -> tuple[int, str] | None:
             break
     else:
         if rec.accepts_end(d):
-            return None
+            return _format_error(text) if lang == "python" and _FORMAT.search(text) else None
     return _slow_error(lang, text, toks)
 
 
+_FORMAT = re.compile(r"[fF][rR]?[\"']")
+
+
+def _format_error(text: str) -> tuple[int, str] | None:
+    """The first format string with a hole that does not parse."""
+    for t, line in lexers.tokens_with_lines("python", text):
+        if t[0] in "fFrR" and t[-1] in "\"'" and not _valid_holes(t):
+            return line, t[:80]
+    return None
+
+
+@lru_cache(maxsize=50_000)
+def _valid_holes(token: str) -> bool:
+    found = lexers.holes(token)
+    return found is not None and all(x.strip() and first_error("python", f"({x}\n)\n") is None for x in found)
+
+
 def _slow_error(lang: str, text: str, toks: list[str]) -> tuple[int, str] | None:
     rec, kinds = _tools(lang)
     script = lang in ("javascript", "typescript")

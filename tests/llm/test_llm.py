@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quern.grammars import gll, lexers, pda
+from quern.grammars import gll, pda
 from quern.llm import bpe, functions, handwritten, languages, mixing, nearpairs, parsing, repetition, vectors
 
 SF = "/root/testdata/sf0.001"
@@ -383,6 +383,19 @@ def test_invalid_sources(lang):
         assert parsing.first_error(lang, text) is not None, text
 
 
+def test_holes_of_format_strings_are_parsed():
+    good = ["x = f'{a!r:>{w}} {b[\"k\"]} {{}}'\n", "x = f'{y = }' rf'\\{z:%Y}'\n", "def f():\n    return f'{(yield)}{(lambda: 1)()}{*a, b}'\n", "x = f'\\N{EM DASH} {a if b else c}'\n"]
+    bad = ["x = f'{a b ) }'\n", "x = f'{}'\n", "x = 1\ny = f'{a +}'\n", "x = f'{a!q}'\n", "x = f'{a:{b c}}'\n"]
+    for t in good:
+        ast.parse(t)
+        assert parsing.first_error("python", t) is None, t
+    for t in bad:
+        with pytest.raises(SyntaxError):
+            ast.parse(t)
+        assert parsing.first_error("python", t) is not None, t
+    assert parsing.first_error("python", bad[2])[0] == 2
+
+
 def test_python_grammar_agrees_with_the_library_on_damaged_files():
     rng = random.Random(0)
     text = open(parsing.__file__, encoding="utf-8").read()
