@@ -5,7 +5,8 @@ projections gives a Hilbert key. Each curve's keys are range-partitioned by Spar
 the rows of its key window (its block of ``BLOCK`` successive rows and the ``HALO`` rows before it) over 8-bit copies
 of the vectors. Windows go on over the borders of range partitions: the last rows of a partition and the first of the
 next are brought together once more. Equal keys are parted by the point's number, so no partition follows the rows of
-one key. The candidates of all curves are merged and reranked with the full vectors.
+one key. The candidates of all curves are merged and reranked with the full vectors, and points with a common neighbour
+are compared once more.
 
 Windows keep every pair whose 8-bit cosine may belong to one of at least ``least``; they choose none by it. A row with more
 than ``CROWD * k`` such partners in some window lies in a group that is dense or larger than windows: it is searched exactly.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from quern.llm.blocks import per_block
 from quern.llm.common import bounded_sample, current, durable
 
-DIMS, BITS, CURVES = 8, 6, 12
+DIMS, BITS, CURVES = 8, 6, 16
 BLOCK, HALO = 384, 128
 RANGE_ROWS = 8192  # rows in a range partition, at least on average
 CROWD = 4  # times k
@@ -390,15 +391,28 @@ def similar_points(one: DataFrame, k: int, least: float, dim: int) -> DataFrame:
     over = met.filter("border is not null").groupBy(F.substring("border", 1, 8)).applyInArrow(_over_border(k, _loosened(least, dim)), _FOUND)
     found = durable(met.filter("border is null").unionByName(over).select("a", "b").distinct())
     crowd = found.filter("b is null").select("a")
+    known = found.filter("b is not null")
+    near = durable(_reranked(known, one, least, dim))
+    # Neighbours of one point are mostly neighbours of each other: what no curve brought together meets here.
+    sides = near.select(F.col("a").alias("mid"), F.col("b").alias("x")).unionByName(near.select(F.col("b").alias("mid"), F.col("a").alias("x")))
+    if not crowd.isEmpty():
+        sides = sides.join(crowd.withColumnRenamed("a", "mid"), "mid", "left_anti")
+    more = sides.join(sides.select("mid", F.col("x").alias("y")), "mid").filter("x < y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    exact = near.unionByName(_reranked(more.join(known, ["a", "b"], "left_anti"), one, least, dim))
+    both = exact.select(F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))).alias("p")).select("p.*")
+    return both if crowd.isEmpty() else both.join(crowd, "a", "left_anti").unionByName(crowded_points(one, crowd, k, least, dim))
+
+
+def _reranked(pairs: DataFrame, one: DataFrame, least: float, dim: int) -> DataFrame:
+    """(a, b, cos) of the pairs of points with a cosine of at least ``least``."""
     vec = one.select("pt", "vector")
-    exact = (
-        found.filter("b is not null").join(vec.select(F.col("pt").alias("a"), F.col("vector").alias("va")), "a")
+    return (
+        pairs.join(vec.select(F.col("pt").alias("a"), F.col("vector").alias("va")), "a")
         .join(vec.select(F.col("pt").alias("b"), F.col("vector").alias("vb")), "b")
         .select("a", "b", "va", "vb")
         .mapInArrow(_cosines(dim), "a bigint, b bigint, cos double")
+        .filter(F.col("cos") >= least)
     )
-    both = exact.select(F.explode(F.array(F.struct("a", "b", "cos"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "cos"))).alias("p")).select("p.*")
-    return both if crowd.isEmpty() else both.join(crowd, "a", "left_anti").unionByName(crowded_points(one, crowd, k, least, dim))
 
 
 def most_similar(records: DataFrame, k: int = 5, least: float = 0.9, dim: int = 64) -> DataFrame:
