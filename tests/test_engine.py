@@ -316,6 +316,56 @@ def test_session_stream_expires(spark, tmp_path):
     assert [(r.session_id, r.visited_count, r.log_count, r.last_seq) for r in got] == [("a", 1, 1, 2)]
 
 
+def test_session_stream_over_batches_equals_the_fold(spark, tmp_path):
+    import random
+
+    from quern.streaming.sessions import Session, session_stream
+
+    rng = random.Random(5)
+    schema = "session_id string, seq bigint, action string, node_id string, priority double, text string"
+    rows = [(f"s{rng.randrange(3)}", k, rng.choice(["visit", "frontier", "frontier", "reason", "annotate"]), rng.choice([None, *[f"n{n}" for n in range(12)]]), rng.choice([None, float("nan"), 0.5, 2.0, rng.random()]), f"t{k}") for k in range(240)]
+    for k in range(4):
+        spark.createDataFrame(rows[k * 60 : k * 60 + 60], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = {}
+
+    def keep(b, n):
+        got.update({r.session_id: (r.visited_count, r.frontier_count, r.log_count, r.annotation_count, r.last_seq) for r in b.collect()})
+
+    q = session_stream(s, visited_cap=7, log_cap=5, ttl_s=None).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    want = {}
+    for sid, seq, action, node, priority, text in rows:
+        want.setdefault(sid, Session(None, 7, 5)).apply(seq, action, node, priority, text)
+    assert got == {k: v.counts() for k, v in want.items()} and max(v[2] for v in got.values()) == 5
+
+
+def test_session_stream_drops_idle_sessions(spark, tmp_path):
+    import time
+
+    from quern.streaming.sessions import session_stream
+
+    schema = "session_id string, seq bigint, action string, node_id string, priority double, text string"
+    put = lambda k: spark.createDataFrame([("a", k, "visit", f"n{k}", None, None)], schema).coalesce(1).write.parquet(str(tmp_path / "in" / str(k)))
+    put(1)
+    s = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    got = []
+    q = session_stream(s, ttl_s=1).writeStream.outputMode("update").foreachBatch(lambda b, n: got.extend((r.last_seq, r.visited_count) for r in b.collect())).option("checkpointLocation", str(tmp_path / "cp")).start()
+    def wait(n):
+        end = time.time() + 40
+        while len(got) < n and time.time() < end:
+            time.sleep(0.2)
+
+    try:  # timers keep the query busy, so it is never done with what is available
+        wait(1)
+        time.sleep(6)
+        put(2)
+        wait(2)
+    finally:
+        q.stop()
+    assert got == [(1, 1), (2, 1)]  # the second event begins a new session
+
+
 def test_change_source(spark, tmp_path):
     import os
     import time
