@@ -23,6 +23,7 @@ deliveries by an equi-join on the day, never by comparing every pair.
 from __future__ import annotations
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -165,29 +166,34 @@ class IncrementalReader:
         :func:`reread_positions`). Without it the next run rereads from ``read_upto``. ``clean``: the feed is one of
         :func:`arrivals` already.
         """
-        if run_id not in self.store.meta("runs", []):
-            f = (feed if clean else arrivals(feed)).filter(F.col("arrived") <= _micros(read_upto))
-            pair, kept = f.schema, StructType([StructField("run_id", IntegerType()), *f.schema.fields[:4], StructField("changed", BooleanType())])
-            since, held = self.store.meta("reread_from"), self.store.read("pairs", pair)
-            if since is not None:
-                late = F.col("arrived") >= _micros(since)
-                f, held = f.filter(late), held.filter(late)
-            key = list(_PAIR[:4])
-            new = f.groupBy(*key).agg(F.max("arrived").alias("arrived")).join(held, key, "left_anti")
-            pairs = self.store._write("pairs", new, None)
-            fresh = self.spark.read.schema(pair).parquet(self.store.folder.at(pairs[""]))
-            tops = fresh.groupBy("file_path").agg(F.max(_stamp()).alias("t"))
-            old = self.store.read("state", kept).groupBy("file_path").agg(F.max(_stamp()).alias("h"))
-            rows = (
-                tops.join(old, "file_path", "left")
-                .filter(F.col("h").isNull() | (F.col("t") > F.col("h")))
-                .select(F.lit(run_id).cast("int").alias("run_id"), "file_path", "t.*", (~F.col("t.content_hash").eqNullSafe(F.col("h.content_hash"))).alias("changed"))
-            )
-            state = self.store._write("state", rows, None)
-            position = min(str(read_upto), str(open_from)) if open_from is not None else str(read_upto)
-            self.store.publish_folders({"pairs": pairs, "state": state}, {"reread_from": position, "read_upto": str(read_upto), "runs": [*self.store.meta("runs", []), run_id]})
+        self.process(run_id, feed, read_upto, open_from, clean)
         return self.changes().filter(F.col("run_id") == run_id)
 
+    def process(self, run_id: int, feed: DataFrame, read_upto, open_from=None, clean: bool = False) -> None:
+        """As :meth:`run`, without reading the result back. Pairs and states are written side by side."""
+        view = self.store.snapshot()
+        if run_id in view.meta("runs", []):
+            return
+        f = (feed if clean else arrivals(feed)).filter(F.col("arrived") <= _micros(read_upto))
+        pair, kept = f.schema, StructType([StructField("run_id", IntegerType()), *f.schema.fields[:4], StructField("changed", BooleanType())])
+        since, held = view.meta("reread_from"), view.read("pairs", pair)
+        if since is not None:
+            late = F.col("arrived") >= _micros(since)
+            f, held = f.filter(late), held.filter(late)
+        key = list(_PAIR[:4])
+        new = f.groupBy(*key).agg(F.max("arrived").alias("arrived")).join(held, key, "left_anti")
+        tops = new.groupBy("file_path").agg(F.max(_stamp()).alias("t"))
+        old = view.read("state", kept).groupBy("file_path").agg(F.max(_stamp()).alias("h"))
+        rows = (
+            tops.join(old, "file_path", "left")
+            .filter(F.col("h").isNull() | (F.col("t") > F.col("h")))
+            .select(F.lit(run_id).cast("int").alias("run_id"), "file_path", "t.*", (~F.col("t.content_hash").eqNullSafe(F.col("h.content_hash"))).alias("changed"))
+        )
+        with ThreadPoolExecutor(2) as pool:
+            pairs, state = pool.map(lambda x: self.store._write(*x, None), (("pairs", new), ("state", rows)))
+        position = min(str(read_upto), str(open_from)) if open_from is not None else str(read_upto)
+        self.store.publish_folders({"pairs": pairs, "state": state}, {"reread_from": position, "read_upto": str(read_upto), "runs": [*view.meta("runs", []), run_id]})
+
 
 def replay_ledger(feed: DataFrame, runs: DataFrame, path: str | None = None) -> DataFrame:
     """(run_id, file_path): every successful run of the control table in turn through :class:`IncrementalReader`.
@@ -202,7 +208,7 @@ def replay_ledger(feed: DataFrame, runs: DataFrame, path: str | None = None) ->
     arrivals(feed).repartitionByRange("arrived").sortWithinPartitions("arrived").write.option("parquet.block.size", 8 << 20).parquet(stretch)
     clean = spark.read.parquet(stretch)
     for run, upto, open_from in reread_positions(runs):
-        reader.run(run, clean, upto, open_from, clean=True)
+        reader.process(run, clean, upto, open_from, clean=True)
     if not reader.store.exists("state"):
         return feed.select(F.lit(0).alias("run_id"), clean_path(F.col("file_path")).alias("file_path")).filter("false")
     out = durable(reader.changes().select("run_id", "file_path"))

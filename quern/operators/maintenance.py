@@ -36,6 +36,24 @@ def delete_files(records: DataFrame, paths: DataFrame) -> DataFrame:
     return records.join(paths.select("file_path").distinct(), "file_path", "left_anti").select(*records.columns)
 
 
+class Snapshot:
+    """One manifest of a store."""
+
+    def __init__(self, store: SnapshotStore, version: int, manifest: dict):
+        self.store, self.version, self.manifest = store, version, manifest
+
+    def read(self, table: str, schema=None, buckets: list[str] | None = None) -> DataFrame:
+        held = self.manifest["tables"].get(table, {})
+        at = [self.store.folder.at(x) for b, xs in held.items() if buckets is None or b in buckets for x in xs]
+        spark = self.store.spark
+        if not at:
+            return spark.createDataFrame([], schema or "none int")
+        return (spark.read.schema(schema) if schema else spark.read).parquet(*at)
+
+    def meta(self, key: str, default=None):
+        return self.manifest["meta"].get(key, default)
+
+
 class SnapshotStore:
     """Named tables as immutable Parquet folders under numbered manifests.
 
@@ -72,19 +90,19 @@ class SnapshotStore:
         return self._current()[0]
 
     # -- reading
+    def snapshot(self) -> Snapshot:
+        """The current manifest, for several reads of one state."""
+        return Snapshot(self, *self._current())
+
     def exists(self, table: str) -> bool:
         return table in self._current()[1]["tables"]
 
     def read(self, table: str, schema=None, buckets: list[str] | None = None) -> DataFrame:
         """The table, or those of its buckets, or an empty one of ``schema``."""
-        held = self._current()[1]["tables"].get(table, {})
-        at = [self.folder.at(x) for b, xs in held.items() if buckets is None or b in buckets for x in xs]
-        if not at:
-            return self.spark.createDataFrame([], schema or "none int")
-        return (self.spark.read.schema(schema) if schema else self.spark.read).parquet(*at)
+        return self.snapshot().read(table, schema, buckets)
 
     def meta(self, key: str, default=None):
-        return self._current()[1]["meta"].get(key, default)
+        return self.snapshot().meta(key, default)
 
     def put_meta(self, **values) -> None:
         """Set meta values; None removes one."""
