@@ -129,7 +129,7 @@ def _choose(what: str, start: int):
             parts.append(pa.table(cols))
         return pa.concat_tables(parts)
 
-    return per_block(run, 8 << 20)
+    return per_block(run, 4 << 20)
 
 
 def _close(a: np.ndarray, b: np.ndarray, sk: list[np.ndarray], size: np.ndarray, least: float) -> np.ndarray:
@@ -269,7 +269,7 @@ def _checked(sets: DataFrame, cand: DataFrame, least: float) -> DataFrame:
         .join(some.select(F.col("cls").alias("b"), F.col("shingles").alias("sb")), "b")
         .select("a", "b", "runs", "sa", "sb")
     )
-    return durable(pairs.mapInArrow(per_block(_exact(least), 16 << 20), "a bigint, b bigint, runs bigint"))
+    return durable(pairs.mapInArrow(per_block(_exact(least), 8 << 20), "a bigint, b bigint, runs bigint"))
 
 
 def estimated_recall(pairs: DataFrame) -> float:
@@ -301,7 +301,7 @@ def record_sets(records: DataFrame, n: int = 3) -> tuple[DataFrame, DataFrame]:
     now = durable(current(rows.select("id", "indexed_at", "h"), "h"))
     texts = rows.select("h", "text").dropDuplicates(["h"]).join(now.select("h").distinct(), "h", "left_semi")
     kept = durable(
-        texts.mapInArrow(per_block(lambda t: _sets(t, n), 16 << 20), "h binary, shingles binary").select(F.monotonically_increasing_id().alias("cls"), "h", "shingles")
+        texts.mapInArrow(per_block(lambda t: _sets(t, n), 4 << 20), "h binary, shingles binary").select(F.monotonically_increasing_id().alias("cls"), "h", "shingles")
     )
     return durable(now.join(kept.select("h", "cls"), "h").select("id", "cls")), kept.select("cls", "shingles")
 
