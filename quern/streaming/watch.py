@@ -26,10 +26,13 @@ def coalesce_changes(batch: DataFrame) -> DataFrame:
 
 def debounced(changes: DataFrame, gap: str = "500 milliseconds", late: str = "0 seconds") -> DataFrame:
     """The last change of every run of changes of a file whose gaps are below ``gap``, once the run is over: the watermark on
-    ``ts``, which lags ``late`` behind, has to pass its end. At equal stamps a removal wins."""
+    ``ts``, which lags ``late`` behind, has to pass its end. Removals are not held back: they come at once, and again where
+    they end a run, so a change in front of one cannot bring the file back. At equal stamps a removal wins."""
     order = F.struct("ts", F.when(F.col("kind") == "unlink", 1).otherwise(0).alias("r"), "kind", "content")
     runs = debounce(changes.withWatermark("ts", late), ["file_path"], gap, newest=order)
-    return runs.select("file_path", "last.ts", "last.kind", "last.content", "merged")
+    held = runs.select("file_path", "last.ts", "last.kind", "last.content", "merged")
+    gone = changes.filter("kind = 'unlink'").select("file_path", "ts", "kind", "content", F.lit(1).cast("bigint").alias("merged"))
+    return held.unionByName(gone)
 
 
 def watch(changes: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str, available_now: bool = False, gap: str | None = None):
