@@ -612,7 +612,8 @@ def test_queries_run(spark):
     from quern.llm import queries
 
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for t in ("documents", "vector_records"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, q in queries.QUERIES.items():
         df = q(spark, SF)
         rows = df.collect()
