@@ -280,7 +280,7 @@ def test_search_without_embedder(spark, corpus, tmp_path):
     e.build()
     rows = e.search("door", limit=2).collect()
     assert rows and all(r.from_fallback for r in rows) and e.store.exists("postings")
-    assert e.text_search("door key", 3).count() == 2
+    assert e.text_search("key", 3).count() == 2 and e.text_search("door key", 3).count() == 3
     (corpus / "c.py").write_text("def uses_window():\n    thing = open_window('key')\n    return thing, addNumbers(1, 2)\n")
     e.build()
     assert e.text_search("window", 3).count() == 1 and e.search("uses_door").count() == 0

@@ -112,3 +112,20 @@ def test_rendering():
     assert "(7 graph neighbors)" in text and "... and 2 more" in text and "-> calls: f (function) in /b" in text
     assert render.snake(render.camel({"file_path": 1, "a": 2})) == {"file_path": 1, "a": 2}
     assert "Note: n" in render.annotation({"node_id": "x", "note": "n", "links_created": 0, "session_visited_count": 1})
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from quern.operators.folders import shared_folder
+
+    def fake(conf, held, master):
+        there = N(isDefined=lambda: held is not None, get=lambda: held)
+        return N(conf=N(get=lambda k, d=None: conf), sparkContext=N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: there))))
+
+    assert shared_folder(fake("hdfs:///a", None, "yarn")) == "hdfs:///a"
+    assert shared_folder(fake(None, "hdfs:///b", "yarn")) == "hdfs:///b"
+    with pytest.raises(ValueError):
+        shared_folder(fake(None, None, "spark://x:7077"))
