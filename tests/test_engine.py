@@ -637,3 +637,32 @@ def test_overlapping_roots_are_listed_once(spark, corpus):
     (corpus / "app" / "x.py").write_text("x = 1")
     rows = [r.file_path for r in scan(spark, [str(corpus), str(corpus / "app")]).collect()]
     assert len(rows) == len(set(rows)) == 5
+
+
+@pytest.mark.skipif(not __import__("os").path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_units_are_those_of_the_recorded_chunk_table():
+    """Stored units of whole files come out with the same last line, from the same first line on or behind their comment. What
+    is left are files with a wrong extension or a broken place."""
+    import duckdb
+
+    rows = duckdb.sql("SELECT DISTINCT file_path, start_line, end_line, content, node_type, id FROM '/root/testdata/sf0.01/code_chunks.parquet' WHERE file_path IS NOT NULL").fetchall()
+    files = {}
+    for r in rows:
+        files.setdefault(r[0], []).append(r)
+    same = near = total = 0
+    for path, parts in files.items():
+        text = syntax.put_together(list({(r[1] or 1, r[3] or "") for r in parts}))
+        try:
+            found = syntax.units(path, text)[1]
+        except (SyntaxError, ValueError, RecursionError):
+            continue
+        first = {}
+        for u, _ in found:
+            first.setdefault(u[3], set()).add(u[2])
+        for _, a, b, content, kind, id_ in parts:
+            if kind in (None, "fallback") or "_p" in id_.rsplit("_L", 1)[-1] or syntax.small(content):
+                continue
+            total += 1
+            same += a in first.get(b, ())
+            near += any(a <= x for x in first.get(b, ()))
+    assert total > 800 and near >= 0.98 * total and same >= 0.88 * total
