@@ -35,7 +35,7 @@ def stream_sessions(spark, sf):
     """The session stream over all events, run to its end; the last state of every session."""
     import uuid
 
-    from quern.operators.folders import shared_folder
+    from quern.operators.folders import Folder, shared_folder
     from quern.streaming.sessions import session_stream
 
     work = f"{shared_folder(spark).rstrip('/')}/sessions-{uuid.uuid4().hex}"
@@ -44,4 +44,7 @@ def stream_sessions(spark, sf):
     out = session_stream(events, ttl_s=None).writeStream.foreachBatch(lambda b, n: b.write.parquet(f"{work}/out/{n}")).outputMode("update")
     out.option("checkpointLocation", f"{work}/state").trigger(availableNow=True).start().awaitTermination()
     done = spark.read.option("recursiveFileLookup", "true").parquet(f"{work}/out")
-    return done.groupBy("session_id").agg(F.max(F.struct("last_seq", "visited_count", "frontier_count", "log_count", "annotation_count")).alias("s")).select("session_id", "s.*")
+    last = F.max(F.struct("last_seq", "visited_count", "frontier_count", "log_count", "annotation_count"))
+    result = durable(done.groupBy("session_id").agg(last.alias("s")).select("session_id", "s.*"))
+    Folder(spark, work).delete()
+    return result

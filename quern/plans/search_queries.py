@@ -9,6 +9,7 @@ from quern.functions.vectors import usable
 from quern.operators import predicates as P
 from quern.operators import search as S
 from quern.operators import textindex as TI
+from quern.operators.durable import durable
 from quern.operators.folders import shared_folder
 from quern.operators.maintenance import SnapshotStore
 from quern.queries import query, table
@@ -143,7 +144,7 @@ def bm25_topk(spark, sf):
     return S.bm25_topk(d, "index rows cache", 20, "doc_id", "text").select("id", F.round("score", 6).alias("score"))
 
 
-def _stored(spark, at, **tables):
+def _stored(spark, sf, **tables):
     """Tables written to a store in the shared folder and read back from it."""
     store = SnapshotStore(spark, f"{shared_folder(spark)}/text-{uuid.uuid4().hex}", buckets=8)
     store.commit(tables, dict.fromkeys(tables, "id"))
@@ -154,14 +155,18 @@ def _stored(spark, at, **tables):
 def bm25_indexed(spark, sf):
     d = table(spark, sf, "documents")
     store = _stored(spark, sf, postings=TI.postings(d, "doc_id", "text"), lengths=TI.lengths(d, "doc_id", "text"))
-    return TI.bm25(store.read("postings"), store.read("lengths"), "index rows cache", 20).select("id", F.round("score", 6).alias("score"))
+    out = durable(TI.bm25(store.read("postings"), store.read("lengths"), "index rows cache", 20).select("id", F.round("score", 6).alias("score")))
+    store.folder.delete()
+    return out
 
 
 @query(f"WITH {CURRENT} SELECT id, file_path, round({_TEXT}, 6) AS combined_score FROM cur WHERE {_TEXT} > 0 ORDER BY {_TEXT} DESC, id LIMIT 50")
 def keyword_indexed(spark, sf):
     r = current_records(spark, sf)
     store = _stored(spark, sf, postings=TI.postings(r, more=("name", "signature"), path="file_path"))
-    return TI.keyword_search(r, store.read("postings"), QUERY, 50).select("id", "file_path", F.round("combined_score", 6).alias("combined_score"))
+    out = durable(TI.keyword_search(r, store.read("postings"), QUERY, 50).select("id", "file_path", F.round("combined_score", 6).alias("combined_score")))
+    store.folder.delete()
+    return out
 
 
 @query(r"""
