@@ -3,6 +3,9 @@
 Fixed values: extensions and node types by language.
 """
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 LANGUAGES: dict[str, dict] = {
     "typescript": {"extensions": (".ts",), "types": ("function_declaration", "method_definition", "class_declaration", "interface_declaration", "type_alias_declaration", "enum_declaration", "export_statement", "lexical_declaration", "variable_declaration")},
     "tsx": {"extensions": (".tsx",), "types": ("function_declaration", "method_definition", "class_declaration", "interface_declaration", "type_alias_declaration", "enum_declaration", "export_statement", "lexical_declaration", "variable_declaration")},
@@ -23,5 +26,11 @@ EXTENSIONS = tuple(sorted(BY_EXTENSION))
 WITH_EDGES = ("typescript", "tsx", "javascript", "jsx", "python")
 
 
+def language_column(path: Column) -> Column:
+    """Language of a path by its extension, or null."""
+    table = F.create_map(*[F.lit(x) for kv in sorted(BY_EXTENSION.items()) for x in kv])
+    return F.element_at(table, F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)))
+
+
 def by_extension(ext: str) -> str | None:
     return BY_EXTENSION.get(ext.lower())

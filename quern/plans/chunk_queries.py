@@ -1,11 +1,16 @@
 """Chunking and maintenance queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from quern.functions import text as TX
 from quern.operators import chunking as C
 from quern.operators import maintenance as M
+from quern.operators.durable import durable
+from quern.operators.folders import shared_folder
 from quern.operators.graph import node_kind
+from quern.operators.languages import BY_EXTENSION, language_column
 from quern.operators.metrics import index_stats as stats_of
 from quern.queries import query, table
 
@@ -137,3 +142,27 @@ SELECT kind, count(*) AS n FROM (SELECT CASE WHEN (contains(node_type, 'function
   WHEN contains(node_type, 'variable') OR contains(node_type, 'lexical') OR contains(node_type, 'declaration') THEN 'variable' ELSE 'unknown' END AS kind FROM code_chunks) GROUP BY 1""")
 def node_kind_counts(spark, sf):
     return table(spark, sf, "code_chunks").groupBy(node_kind(F.col("node_type")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+_LANGUAGE = "CASE lower(regexp_extract(file_path, '(\\.[^./]+)$', 1)) " + " ".join(f"WHEN '{e}' THEN '{k}'" for e, k in sorted(BY_EXTENSION.items())) + " END"
+
+
+@query(f"SELECT DISTINCT file_path, {_LANGUAGE} AS language FROM code_chunks")
+def file_languages(spark, sf):
+    return table(spark, sf, "code_chunks").select("file_path", language_column(F.col("file_path")).alias("language")).distinct()
+
+
+@query("SELECT id, file_path, content_hash FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, content_hash DESC, file_path DESC) AS n FROM vector_records WHERE id IS NOT NULL) WHERE n = 1")
+def store_upsert(spark, sf):
+    """The first rows of all ids committed to a bucketed store, then the last ones of the ids that have others put over them."""
+    r = table(spark, sf, "vector_records").filter("id is not null").select("id", "indexed_at", "content_hash", "file_path").distinct()
+    key = F.struct("indexed_at", "content_hash", "file_path")
+    ends = r.groupBy("id").agg(F.min(key).alias("a"), F.max(key).alias("z"))
+    store = M.SnapshotStore(spark, f"{shared_folder(spark)}/records-{uuid.uuid4().hex}", buckets=16)
+    store.commit({"r": ends.select("id", "a.*")}, {"r": "id"})
+    new = durable(ends.filter("a <> z").select("id", "z.*"))
+    at = store.touched(new, "id")
+    store.replace({"r": (M.upsert(store.read("r", new.schema, at), new), "id", at)}, seen=store.version())
+    out = durable(store.read("r", new.schema).select("id", "file_path", "content_hash"))
+    store.folder.delete()
+    return out

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.operators import graph as G
+from quern.operators.sessions import frontier_priority
 from quern.queries import query, table
 
 
@@ -126,3 +127,28 @@ def nodes_by_file(spark, sf):
 @query("SELECT DISTINCT id, file_path, updated_at FROM graph_nodes WHERE stale")
 def stale_nodes(spark, sf):
     return _nodes(spark, sf).filter("stale").select("id", "file_path", "updated_at")
+
+
+@query("SELECT DISTINCT id, file_path, symbol_name, kind, false AS stale FROM graph_nodes")
+def node_upsert(spark, sf):
+    """Stale nodes taken up anew: the last write of an id wins."""
+    n = _nodes(spark, sf)
+    fresh = n.filter("stale").withColumn("stale", F.lit(False)).withColumn("updated_at", F.col("updated_at") + F.expr("interval 1 day"))
+    return G.upsert_nodes(n, fresh).select("id", "file_path", "symbol_name", "kind", "stale")
+
+
+@query("SELECT DISTINCT id, file_path, symbol_name, kind FROM graph_nodes WHERE id = (SELECT max(id) FROM graph_nodes)")
+def node_by_id(spark, sf):
+    n = _nodes(spark, sf)
+    return G.node(n, n.agg(F.max("id")).first()[0]).select("id", "file_path", "symbol_name", "kind")
+
+
+@query("""WITH e AS (SELECT source_id, target_id, edge_type, arg_max(weight, (weight, coalesce(metadata, ''))) AS weight FROM graph_edges GROUP BY ALL),
+adj AS (SELECT source_id AS a, target_id AS b, edge_type, weight, true AS o FROM e UNION ALL SELECT target_id, source_id, edge_type, weight, false FROM e),
+r AS (SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY NOT o, edge_type, weight DESC) AS n FROM adj WHERE a <> b AND a IN (SELECT id FROM graph_nodes) AND b IN (SELECT id FROM graph_nodes))
+SELECT a AS root_id, b AS node_id, edge_type, weight, CASE WHEN o THEN 'outgoing' ELSE 'incoming' END AS direction, CASE WHEN o THEN 'outgoing' ELSE 'incoming' END AS hop_direction, weight / 1 AS priority FROM r WHERE n = 1""")
+def neighbors_directions(spark, sf):
+    """Direct neighbours of every node with their directions, and the priority that they get on a frontier."""
+    n = _nodes(spark, sf)
+    g = G.neighbors(_edges(spark, sf), n, n.select(F.col("id").alias("root_id")), 1)
+    return g.select("root_id", "node_id", "edge_type", "weight", "direction", "hop_direction", frontier_priority(F.col("weight"), F.col("depth")).alias("priority"))
