@@ -39,13 +39,16 @@ def path_functions(spark, sf):
     return table(spark, sf, "code_chunks").select("file_path").distinct().select("file_path", TX.extension(p).alias("ext"), TX.basename(p).alias("base"), TX.relative_to(p, "/srv/code").alias("rel"))
 
 
-@query(rf"""
+_WINDOWS = rf"""
 WITH d AS (SELECT {_PATH} AS p, string_split(text, E'\n') AS l FROM documents WHERE text IS NOT NULL),
 k AS (SELECT p, l, unnest(range(0, CASE WHEN len(l) <= 50 THEN 1 ELSE ceil((len(l) - 5) / 45.0)::INT END)) AS k FROM d),
 w AS (SELECT p, k, list_slice(l, k * 45 + 1, least(k * 45 + 50, len(l))) AS s FROM k),
 t AS (SELECT p, k, len(s) AS n, array_to_string(s, E'\n') AS c FROM w),
 b AS (SELECT *, row_number() OVER (PARTITION BY p ORDER BY k) - 1 AS i FROM t WHERE regexp_replace(c, '[\s\x0b\x1c-\x1f]+', '', 'g') <> '')
-SELECT regexp_replace(p, '[^a-zA-Z0-9_-]', '_', 'g') || '_L' || (k * 45 + 1) || '_fallback' || i AS id, p AS file_path, md5(c) AS digest, (k * 45 + 1)::INT AS start_line, (k * 45 + n)::INT AS end_line FROM b""")
+SELECT regexp_replace(p, '[^a-zA-Z0-9_-]', '_', 'g') || '_L' || (k * 45 + 1) || '_fallback' || i AS id, p AS file_path, md5(c) AS digest, (k * 45 + 1)::INT AS start_line, (k * 45 + n)::INT AS end_line FROM b"""
+
+
+@query(_WINDOWS)
 def line_windows(spark, sf):
     return C.line_windows(corpus(spark, sf)).select("id", "file_path", F.md5("content").alias("digest"), "start_line", "end_line")
 
@@ -166,3 +169,23 @@ def store_upsert(spark, sf):
     out = durable(store.read("r", new.schema).select("id", "file_path", "content_hash"))
     store.folder.delete()
     return out
+
+
+@query(f"SELECT id, file_path, start_line, end_line FROM ({_WINDOWS})")
+def engine_index(spark, sf):
+    """All documents as files through the engine's index in two builds: the first with other texts of every second source and
+    with files that are gone in the second."""
+    from quern.config import IndexConfig
+    from quern.engine import Engine
+
+    files = corpus(spark, sf).filter("content is not null").withColumn("content_hash", TX.content_hash(F.col("content")))
+    odd = F.pmod(F.crc32(F.col("file_path")), F.lit(2)) == 1
+    older = files.withColumn("content", F.when(odd, F.concat(F.col("content"), F.lit("\nmore"))).otherwise(F.col("content")))
+    gone = files.filter(odd).withColumn("file_path", F.concat("file_path", F.lit(".old.txt")))
+    at = f"{shared_folder(spark)}/engine-{uuid.uuid4().hex}"
+    e = Engine(spark, at, IndexConfig("/corpus"))
+    e.index(older.unionByName(gone).withColumn("content_hash", TX.content_hash(F.col("content"))))
+    e.index(files)
+    out = durable(e.records().select("id", "file_path", "start_line", "end_line"))
+    e.store.folder.delete()
+    return out
