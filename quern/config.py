@@ -50,3 +50,18 @@ class IndexConfig:
     def load(root: str | None = None, env: Mapping[str, str] | None = None) -> IndexConfig:
         env = os.environ if env is None else env
         return IndexConfig(os.path.abspath(root or env.get("QUERN_ROOT") or os.getcwd()), graph=GraphConfig.load(env))
+
+
+def ignore_hint(root: str, store: str) -> str | None:
+    """What to add to ``.gitignore`` if the store lies in the working copy that is indexed and is not ignored there."""
+    root, store = os.path.realpath(root), os.path.realpath(store.removeprefix("file://"))
+    if not os.path.isdir(os.path.join(root, ".git")) or not store.startswith(root + os.sep):
+        return None
+    parts = os.path.relpath(store, root).split(os.sep)
+    above = {"/".join(parts[:n]) for n in range(1, len(parts) + 1)} | set(parts)
+    try:
+        with open(os.path.join(root, ".gitignore"), encoding="utf-8", errors="replace") as f:
+            lines = {x.strip().strip("/") for x in f}
+    except OSError:
+        lines = set()
+    return None if lines & above else parts[0] + "/"

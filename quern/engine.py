@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern import schemas
-from quern.config import IndexConfig
+from quern.config import IndexConfig, ignore_hint
 from quern.errors import Closed, Conflict, EmbedderError, InvalidFilter, InvalidId
 from quern.functions.text import content_hash, is_valid_id, round2
 from quern.operators import graph as G
@@ -117,6 +117,8 @@ class Engine:
     def build(self, force: bool = False) -> dict:
         """Index the configured root; only one build runs at a time. ``force`` starts from nothing."""
         with self._operation(), self._lock:
+            if hint := ignore_hint(self.config.root, self.store.folder.path):
+                log.warning("the index lies in the working copy; add %s to .gitignore", hint)
             if force:
                 self.store.clear("records", "postings", "lengths", "nodes", "edges", "raw_edges")
             return self.index(scan(self.spark, self.config.root, limit=self.config.max_file_bytes))

@@ -129,3 +129,15 @@ def test_a_cluster_needs_a_shared_folder():
     assert shared_folder(fake(None, "hdfs:///b", "yarn")) == "hdfs:///b"
     with pytest.raises(ValueError):
         shared_folder(fake(None, None, "spark://x:7077"))
+
+
+def test_hint_for_an_index_in_the_working_copy(tmp_path):
+    from quern.config import ignore_hint
+
+    root, store = str(tmp_path), str(tmp_path / ".quern" / "index")
+    assert ignore_hint(root, store) is None  # no working copy
+    (tmp_path / ".git").mkdir()
+    assert ignore_hint(root, store) == ".quern/" and ignore_hint(root, "/elsewhere/x") is None
+    for line in (".quern", "/.quern/", ".quern/index"):
+        (tmp_path / ".gitignore").write_text(f"*.log\n{line}\n")
+        assert ignore_hint(root, "file://" + store) is None
