@@ -19,8 +19,16 @@ name does not have. Texts that, apart from proper names, numbers and the functio
 functions with different names are dropped as templates (licence notices, placeholders) by exact counts of hashes over the
 whole corpus; there is no list of such words.
 
+The whole table is read. A function stored in several rows (``_p0``, ``_p1``, ...) is put together by line before it is
+parsed, each line once, and comes out whole under the id of its first row; the line windows of a file (``fallback``) are put
+together too. Functions found in windows, or in parts whose first row is not there, count for the templates and are among the
+pairs under the id of the row that has their first line, with places from 1 on: no row begins with them, so place 0, which
+``documented_ids`` reports, never holds a window or a later part.
+
 Defined results: null docstring, name and signature count as absent; null content gives no function; repeated rows
-count once; of several rows with one id any that qualifies is enough. Rows of node type ``fallback`` are left out.
+count once; of several rows with one id any that qualifies is enough. Only the docstring and name of a function's first row
+are used. A part without start_line follows the part before it. The language is that of the extension, else that of the
+language column; where neither is known all languages are tried. Rows without an id are left out, as they cannot be named.
 """
 
 from __future__ import annotations
@@ -31,9 +39,10 @@ from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quern.grammars.lexers import EXTENSIONS, GRAMMARS
 from quern.grammars.tokens import ORDER, Tokens, body_end, header, parse_header
 from quern.llm.blocks import per_block
 from quern.llm.common import durable
@@ -187,40 +196,95 @@ def template_key(text: str, name: str | None = None) -> int:
 _FIRST = re.compile(r"\s*(?:#[^\n]*\n\s*)*([rRuU]?(?:\"\"\"(?:[^\\]|\\[\s\S])*?(?:\"\"\"|$)|'''(?:[^\\]|\\[\s\S])*?(?:'''|$)|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'))")
 
 
-def describe(lang: str, content: str, docstring: str | None, given: str | None) -> list[tuple]:
-    """(place in the row, name, signature, content, description, state of the body) of the documented functions of a row; place
-    0 is the function that the row begins with."""
+def describe(lang: str, content: str, docstring: str | None, given: str | None, head: bool = True) -> list[tuple]:
+    """(line, place, name, signature, content, description, state of the body) of the documented functions of a text; place 0
+    is the function that the text begins with, if it is one row's own (``head``). Lines count from 0."""
     text, found = functions_in(lang, content)
     out = []
-    for place, f in enumerate(found, 0 if found and found[0].first else 1):
-        sources = [docstring if f.first else None, "\n".join(f.comments)]
+    for place, f in enumerate(found, 0 if head and found and found[0].first else 1):
+        own = place == 0
+        sources = [docstring if own else None, "\n".join(f.comments)]
         if f.lang == "python" and (m := _FIRST.match(text, f.body)):
             sources.append(m[1] if m[1].endswith(('"', "'")) else m[1] + m[1].lstrip("rRuU")[:3])
-        name = f.name or (re.sub(r" \(part \d+\)$", "", given) if given and f.first else None)
+        name = f.name or (re.sub(r" \(part \d+\)$", "", given) if given and own else None)
         for s in sources:
             if s and descriptive(d := clean(s), name):
-                out.append((place, name, f.signature, content if f.first else text[f.start : f.end], d, body_state(f, text)))
+                out.append((text.count("\n", 0, f.start), place, name, f.signature, content if own else text[f.start : f.end], d, body_state(f, text)))
                 break
     return out
 
 
+class Piece(NamedTuple):
+    number: int  # of the part or window
+    start: int | None
+    id: str
+    content: str
+    docstring: str | None
+    name: str | None
+
+
+def joined(pieces: list[Piece]) -> tuple[str, list[str]]:
+    """One text of the pieces, each line once, and the id of the row that each line is from."""
+    lines: dict[int, tuple[str, str]] = {}
+    at = 1
+    for p in sorted(pieces, key=lambda p: (p.number, p.start is None, p.start or 0, -len(p.content), p.content, p.id)):
+        at = at if p.start is None else p.start
+        for line in p.content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            lines.setdefault(at, (line, p.id))
+            at += 1
+    order = sorted(lines)
+    return "\n".join([lines[i][0] for i in order]), [lines[i][1] for i in order]
+
+
+def described(lang: str, kind: str, pieces: list[Piece]) -> list[tuple]:
+    """(id, place, name, signature, content, description, state of the body) of the documented functions of a unit: a row
+    (``kind`` row), the parts of a function (part) or the windows of a file (window)."""
+    if kind == "row":
+        return [(p.id, *r[1:]) for p in pieces for r in describe(lang, p.content, p.docstring, p.name)]
+    heads = [p for p in pieces if kind == "part" and p.number == 0]
+    rest = [p for p in pieces if kind == "window" or p.number > 0]
+    out = []
+    for h in heads or [None]:
+        text, ids = joined([h, *rest] if h else rest)
+        out += [(ids[r[0]], *r[1:]) for r in describe(lang, text, h and h.docstring, h and h.name, bool(h))]
+    return out
+
+
 _OUT = "id string, place int, name string, signature string, content string, description string, body string, template bigint"
 
 
+def _language() -> Column:
+    known = F.create_map(*[F.lit(x) for kv in (EXTENSIONS | {k: k for k in GRAMMARS}).items() for x in kv])
+    return F.coalesce(language_of(F.col("file_path")), F.element_at(known, F.lower(F.trim("language"))), F.lit(ORDER[0]))
+
+
+def units(chunks: DataFrame) -> DataFrame:
+    """(lang, kind, pieces): rows that stand alone, the parts of each function and the windows of each file; only parts and
+    windows are shuffled, repeated ones combined before."""
+    window = "node_type in ('fallback', 'fallback_chunk') or id rlike '_fallback[0-9]+$'"
+    kind = F.expr(f"case when {window} then 'window' when id rlike '_p[0-9]+$' then 'part' else 'row' end")
+    number = F.coalesce(F.regexp_extract("id", "_(?:p|fallback)([0-9]+)$", 1).try_cast("int"), F.lit(0))
+    rows = (
+        chunks.filter("id is not null and content is not null")
+        .withColumns({"lang": _language(), "kind": kind})
+        .select("lang", "kind", "file_path", "id", F.struct(F.when(F.col("kind") != "row", number).otherwise(0).alias("number"), F.col("start_line").alias("start"), "id", "content", "docstring", "name").alias("piece"))
+    )
+    unit = F.expr("if(kind = 'window' and file_path is not null, '', regexp_replace(id, '(_L[0-9]+)?_fallback[0-9]+$|_p[0-9]+$', ''))")
+    split = rows.filter("kind <> 'row'").groupBy("lang", "kind", "file_path", unit.alias("unit")).agg(F.collect_set("piece").alias("pieces"))
+    return rows.filter("kind = 'row'").select("lang", "kind", F.array("piece").alias("pieces")).unionByName(split.select("lang", "kind", "pieces"))
+
+
 def documented(chunks: DataFrame) -> DataFrame:
-    """(id, place, name, signature, content, description, body, template): the documented functions of the rows."""
+    """(id, place, name, signature, content, description, body, template): the documented functions of the table."""
 
     def run(t: pa.Table) -> pa.Table:
         out = []
-        for i, (lang, content, doc, name) in enumerate(zip(*(t.column(c).to_pylist() for c in ("lang", "content", "docstring", "name")))):
-            out += [(i, *r, template_key(r[4], r[1])) for r in describe(lang, content, doc, name)]
-        cols = {"id": t.column("id").take(pa.array([o[0] for o in out], pa.int64())), "place": pa.array([o[1] for o in out], pa.int32())}
-        cols |= {n: pa.array([o[k] for o in out], pa.string()) for k, n in enumerate(("name", "signature", "content", "description", "body"), 2)}
-        return pa.table(cols | {"template": pa.array([o[7] for o in out], pa.int64())})
-
-    rows = chunks.filter("id is not null and content is not null and (node_type is null or node_type <> 'fallback') and not id rlike '_(p[1-9][0-9]*|fallback[0-9]+)$'")
-    part = rows.select("id", language_of(F.col("file_path")).alias("lang"), "content", "docstring", "name").filter("lang is not null")
-    return part.mapInArrow(per_block(run, 16 << 20), _OUT)
+        for lang, kind, pieces in zip(*(t.column(c).to_pylist() for c in ("lang", "kind", "pieces"))):
+            out += [(*r, template_key(r[5], r[2])) for r in described(lang, kind, [Piece(**p) for p in pieces])]
+        kinds = (pa.string(), pa.int32(), *[pa.string()] * 5, pa.int64())
+        return pa.table({n.split()[0]: pa.array([o[k] for o in out], kinds[k]) for k, n in enumerate(_OUT.split(", "))})
+
+    return units(chunks).mapInArrow(per_block(run, 16 << 20), _OUT)
 
 
 def _without_templates(d: DataFrame) -> DataFrame:

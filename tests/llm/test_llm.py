@@ -521,6 +521,24 @@ def test_functions_within_rows_and_broken_bodies(spark):
     assert {r.id for r in functions.documented_ids(chunks(spark, rows)).collect()} == {"js", "rs", "go"}
 
 
+def test_parts_and_windows_are_read_whole(spark):
+    d = "// Every caller of fooBar waits for lock number {} and then gives up."
+    lines = [d.format(1), "function pick(a, b) {", "  let x = 1;", "  " + d.format(2), "  function inner(c) {", "    return c;", "  }", "  return x;", "}"]
+    part = lambda k, a, b, **x: (f"i_L3_p{k}", "/r/a.ts", "\n".join(lines[a:b]), x.get("start", 3 + a), f"pick (part {k + 1})", "function_declaration", None)
+    file = [d.format(3), "func f(x int) (int, error) {", "\treturn 1, nil", "}", "", d.format(4), "func g() {", "\tf(1)", "\tf(2)", "}"]
+    window = lambda k, a, b: (f"w_L{a + 1}_fallback{k}", "/r/b.go", "\n".join(file[a:b]), a + 1, None, "fallback", None)
+    rows = [part(0, 0, 4), part(1, 2, 6), part(1, 2, 6), part(2, 6, 9, start=None), window(0, 0, 6), window(1, 4, 8), window(2, 7, 10), ("o_p4", "/r/c.ts", "  return 1;\n}\n" + d.format(5) + "\nfunction alone() {}", 90, None, "function_declaration", d.format(6))]
+    got = {(r.id, r.place): r for r in functions.pairs(chunks(spark, rows)).collect()}
+    assert {(k, r.name, r.body) for k, r in got.items()} == {(("i_L3_p0", 0), "pick", "whole"), (("i_L3_p1", 1), "inner", "whole"), (("w_L1_fallback0", 1), "f", "whole"), (("w_L5_fallback1", 2), "g", "whole"), (("o_p4", 1), "alone", "whole")}
+    assert got["i_L3_p0", 0].content == "\n".join(lines) and got["w_L5_fallback1", 2].content == "\n".join(file[6:])
+    assert {r.id for r in functions.documented_ids(chunks(spark, rows)).collect()} == {"i_L3_p0"}
+    # windows count for the templates; a row is read by its language column, or tried in all, if the extension says nothing
+    t = "// Description of the method goes in this place.\nfunc m{}() {{\n}}"
+    rows = [(f"x_L{k}_fallback0", f"/r/{k}.go", t.format(k), 1, None, "fallback", None) for k in range(1, functions.TEMPLATE)] + [("y", "/r/y.go", t.format(0), 1, None, "function_declaration", None)]
+    more = [("n", None, d.format(7) + "\nfn f() {}", 1, None, "function_item", None), ("u", "/r/a.tsx", d.format(8) + "\nfunction f() {}", 1, None, "function_declaration", None)]
+    assert {r.id for r in functions.documented_ids(chunks(spark, rows + more)).collect()} == {"n", "u"}
+
+
 # -- problem 2 ----------------------------------------------------------------------------------------------------------
 def test_language_model_on_held_out_sentences():
     model = languages.fit([])
