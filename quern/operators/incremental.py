@@ -23,7 +23,6 @@ deliveries by an equi-join on the day, never by comparing every pair.
 from __future__ import annotations
 
 import uuid
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -170,7 +169,8 @@ class IncrementalReader:
         return self.changes().filter(F.col("run_id") == run_id)
 
     def process(self, run_id: int, feed: DataFrame, read_upto, open_from=None, clean: bool = False) -> None:
-        """As :meth:`run`, without reading the result back. Pairs and states are written side by side."""
+        """As :meth:`run`, without reading the result back. The states come from the pairs that were just written, so the feed
+        is read and joined with the ledger once."""
         view = self.store.snapshot()
         if run_id in view.meta("runs", []):
             return
@@ -182,15 +182,15 @@ class IncrementalReader:
             f, held = f.filter(late), held.filter(late)
         key = list(_PAIR[:4])
         new = f.groupBy(*key).agg(F.max("arrived").alias("arrived")).join(held, key, "left_anti")
-        tops = new.groupBy("file_path").agg(F.max(_stamp()).alias("t"))
+        pairs = self.store._write("pairs", new, None)
+        tops = self.spark.read.schema(pair).parquet(*map(self.store.folder.at, pairs.values())).groupBy("file_path").agg(F.max(_stamp()).alias("t"))
         old = view.read("state", kept).groupBy("file_path").agg(F.max(_stamp()).alias("h"))
         rows = (
             tops.join(old, "file_path", "left")
             .filter(F.col("h").isNull() | (F.col("t") > F.col("h")))
             .select(F.lit(run_id).cast("int").alias("run_id"), "file_path", "t.*", (~F.col("t.content_hash").eqNullSafe(F.col("h.content_hash"))).alias("changed"))
         )
-        with ThreadPoolExecutor(2) as pool:
-            pairs, state = pool.map(lambda x: self.store._write(*x, None), (("pairs", new), ("state", rows)))
+        state = self.store._write("state", rows, None)
         position = min(str(read_upto), str(open_from)) if open_from is not None else str(read_upto)
         self.store.publish_folders({"pairs": pairs, "state": state}, {"reread_from": position, "read_upto": str(read_upto), "runs": [*view.meta("runs", []), run_id]})
 

@@ -353,6 +353,22 @@ def test_a_run_that_dies_leaves_nothing(spark, tmp_path, monkeypatch, step):
     assert reader.pairs().count() == 6 and reader.store.vacuum(keep_ms=-10_000) >= (step != "publish") and reader.pairs().count() == 6
 
 
+def test_a_run_reads_the_feed_once(spark, tmp_path, monkeypatch):
+    feed(spark, [(1, "/a", "1", 1, 1), (2, "/b", "1", 2, 2), (3, "/a", "2", 5, 6)]).write.parquet(str(tmp_path / "feed"))
+    f, reader, read = spark.read.parquet(str(tmp_path / "feed")), IncrementalReader(spark, str(tmp_path / "ledger")), []
+    write = reader.store._write
+
+    def noting(name, df, key):
+        read.append((name, any("/feed/" in x for x in df.inputFiles())))
+        return write(name, df, key)
+
+    monkeypatch.setattr(reader.store, "_write", noting)
+    for run, upto in ((1, 3), (2, 8)):
+        reader.process(run, f, minute(upto))
+    assert read == [("pairs", True), ("state", False)] * 2
+    assert {(r.run_id, r.file_path, r.content_hash) for r in reader.changes().collect()} == {(1, "/a", "1"), (1, "/b", "1"), (2, "/a", "2")}
+
+
 def test_store_buckets_appends_and_meta(spark, tmp_path):
     s = M.SnapshotStore(spark, str(tmp_path / "s"), buckets=8)
     rows = spark.createDataFrame([(f"/f{k}", k) for k in range(40)], "file_path string, n int")
